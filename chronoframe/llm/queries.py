@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import chat, exact_dedup, html_text, mixing, url_rules, warc
+from chronoframe.llm import chat, decontaminate, exact_dedup, html_text, mixing, quality, url_rules, warc
 from chronoframe.llm.common import table, written
 
 
@@ -21,6 +21,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,6 +50,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
     "op5_html_text": op5_html_text,
     "op6_chat": op6_chat,
@@ -50,6 +60,7 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
 }
 ORACLES = {
+    "op2_decontamination": decontaminate.ORACLE,
     "op3_warc": warc.ORACLE,
     "op6_chat": chat.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,

@@ -83,17 +83,19 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
 
 
 def tokenize(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, values: np.ndarray) -> Tokens:
-    """Maximal runs of member bytes; no run crosses the border of two texts."""
+    """Maximal runs of bytes of one class other than 0 (False); no run crosses the border of two texts."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Tokens(none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    inside = member[data]
+    kind = member[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1] | cut[1:n]
-    last[:-1] &= ~inside[1:] | cut[1:n]
+    cut[1:n] |= kind[1:] != kind[:-1]
+    cut[n] = True
+    first, last = kind != 0, kind != 0
+    first[1:] &= cut[1:n]
+    last &= cut[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     power, inverse = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
