@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import chat, decontaminate, exact_dedup, html_text, mixing, quality, url_rules, warc
+from chronoframe.llm import chat, decontaminate, exact_dedup, html_text, mixing, near_dedup, quality, url_rules, warc
 from chronoframe.llm.common import table, written
 
 
@@ -45,6 +45,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(hostile)))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op6_chat": op6_chat,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op9_near_dedup": op9_near_dedup,
     "op10_url_rules": op10_url_rules,
 }
 ORACLES = {
