@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import chat, decontaminate, exact_dedup, html_text, mixing, near_dedup, quality, url_rules, warc
+from chronoframe.llm import chat, decontaminate, exact_dedup, html_text, language_model, mixing, near_dedup, quality, url_rules, warc
 from chronoframe.llm.common import table, written
 
 
@@ -34,6 +34,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
+    "op4_language_model": op4_language_model,
     "op5_html_text": op5_html_text,
     "op6_chat": op6_chat,
     "op7_exact_dedup": op7_exact_dedup,
