@@ -114,22 +114,23 @@ def _index_vectors(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.nda
     return rng.integers(0, DIMENSIONS, (n, NONZERO)), rng.choice((-1.0, 1.0), (n, NONZERO))
 
 
-def _random_indexing(rows: np.ndarray, bounds: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """Word vectors: own index vector plus the mean of the neighbours', weighted by rarity."""
+def _random_indexing(parts: Iterator[tuple[np.ndarray, np.ndarray]], n: int, rng: np.random.Generator) -> np.ndarray:
+    """Word vectors from (rows, bounds) of chunks: own index vector plus the mean of the neighbours', weighted by rarity."""
     place, sign = _index_vectors(n, rng)
     own = np.zeros((n, DIMENSIONS))
     np.add.at(own, (np.repeat(np.arange(n), NONZERO), place.ravel()), sign.ravel())
-    context, seen = np.zeros(n * DIMENSIONS), np.zeros(n)
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    for step in range(1, REACH + 1):
-        same = doc[step:] == doc[:-step]
-        for one, other in ((rows[step:][same], rows[:-step][same]), (rows[:-step][same], rows[step:][same])):
-            seen += np.bincount(one, minlength=n)
-            for k in range(NONZERO):
-                context += np.bincount(one * DIMENSIONS + place[other, k], weights=sign[other, k], minlength=n * DIMENSIONS)
+    context, seen, counts = np.zeros(n * DIMENSIONS), np.zeros(n), np.zeros(n)
+    for rows, bounds in parts:
+        counts += np.bincount(rows, minlength=n)
+        doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        for step in range(1, REACH + 1):
+            same = doc[step:] == doc[:-step]
+            for one, other in ((rows[step:][same], rows[:-step][same]), (rows[:-step][same], rows[step:][same])):
+                seen += np.bincount(one, minlength=n)
+                for k in range(NONZERO):
+                    context += np.bincount(one * DIMENSIONS + place[other, k], weights=sign[other, k], minlength=n * DIMENSIONS)
     context = context.reshape(n, DIMENSIONS) / np.maximum(seen, 1)[:, None]
-    share = np.bincount(rows, minlength=n) / max(1, len(rows))
-    return ((own + context) * (1e-3 / (1e-3 + share))[:, None]).astype(np.float32)
+    return ((own + context) * (1e-3 / (1e-3 + counts / max(1, counts.sum())))[:, None]).astype(np.float32)
 
 
 def fit(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float], seed: int = 7) -> Model:
@@ -138,10 +139,11 @@ def fit(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float], seed:
     empty = np.zeros(0)
     if len(set(labels.tolist())) < 2:
         return Model(empty, empty, empty, empty, (), 1.0, float(shares[1]))
-    p = pieces(texts)
-    shapes = _random_indexing(p.shapes, p.bounds, SHAPES, rng)
-    model = Model(_random_indexing(p.rows, p.bounds, BUCKETS, rng), shapes, 0.0, 1.0, (), 1.0, None)
-    x = model.features(p)
+    chunks = list(tk.chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text"))
+    shapes = _random_indexing(((p.shapes, p.bounds) for p in map(pieces, (c.column(0) for c in chunks))), SHAPES, rng)
+    words = _random_indexing(((p.rows, p.bounds) for p in map(pieces, (c.column(0) for c in chunks))), BUCKETS, rng)
+    model = Model(words, shapes, 0.0, 1.0, (), 1.0, None)
+    x = np.vstack([model.features(pieces(c.column(0))) for c in chunks])
     mean, scale = x.mean(0), x.std(0) + 1e-6
     model = model._replace(mean=mean, scale=scale)
     y = labels.astype(float)
