@@ -1,4 +1,10 @@
 """Every query of the engine by name, with the SQL that gives the same rows."""
 
+from chronoframe.plans import planner_queries, signal_queries
+
+_PARTS = (signal_queries, planner_queries)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in _PARTS:
+    QUERIES.update(_part.QUERIES)
+    ORACLES.update(_part.ORACLES)
