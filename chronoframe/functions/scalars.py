@@ -108,7 +108,8 @@ def parse_target(text: Column, total: Column) -> Column:
     clock3 = found(three, 1) * 3600 + found(three, 2) * 60 + found(three, 3)
     clock2 = found(two, 1) * 60 + found(two, 2)
     value = F.coalesce(percent, seconds, minutes, hours, clock3, clock2)
-    return F.when((value > 0) & (half_up(value, 3) < half_up(total, 3)), value)
+    # A lambda's argument is computed once, however often it is used.
+    return F.get(F.filter(F.array(value), lambda v: (v > 0) & (half_up(v, 3) < half_up(total, 3))), F.lit(0))
 
 
 def cue_time(hours: Column, minutes: Column, seconds: Column, millis: Column) -> Column:

@@ -173,8 +173,8 @@ def parse_target(spark, sf_dir):
         .when(kind == 5, F.concat(n % 3, F.lit(".5h"))).otherwise(F.concat(n, F.lit(" mucho")))
     )
     rows = orders.select(F.col("o_orderkey").alias("job"), text.alias("text"), (F.col("o_orderkey") % 50 * 60.0 + 600.0).alias("total"))
-    seconds = target_of(F.col("text"), F.col("total"))
-    return rows.select("job", "text", half_up(seconds, 6).alias("seconds"), half_up(tolerance(seconds), 6).alias("tolerance"))
+    rows = rows.withColumn("value", target_of(F.col("text"), F.col("total")))
+    return rows.select("job", "text", half_up(F.col("value"), 6).alias("seconds"), half_up(tolerance(F.col("value")), 6).alias("tolerance"))
 
 
 def labels_fallback(spark, sf_dir):
