@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +42,7 @@ NEGATIVE = frozenset(
 )
 POSITIVE = frozenset("article body content entry main page post story text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -68,7 +69,13 @@ def _marks(attributes: str) -> set[str]:
 def tree(page: str) -> Node:
     """The page without the parts that are never text. Linear in the page's length."""
     root = Node("body", None)
-    open_nodes, within, at = [root], 0, 0
+    open_nodes, at = [root], 0
+    opened: Counter[str] = Counter()
+
+    def close(up: int) -> None:
+        opened.subtract(n.tag for n in open_nodes[up:])
+        del open_nodes[up:]
+
     skipping: list[str] = []  # open elements inside a part that is left out
     while at < len(page):
         found = _TOKEN.search(page, at)
@@ -94,9 +101,9 @@ def tree(page: str) -> Node:
                 skipping.append(tag)
             continue
         if closing:
-            for up in range(len(open_nodes) - 1, 0, -1):
+            for up in range(len(open_nodes) - 1, 0, -1) if opened[tag] else ():
                 if open_nodes[up].tag == tag:
-                    del open_nodes[up:]
+                    close(up)
                     break
                 if tag in INLINE and open_nodes[up].tag not in INLINE:
                     break
@@ -107,9 +114,8 @@ def tree(page: str) -> Node:
                 open_nodes[-1].children.append(Node("hr", open_nodes[-1]))
             continue
         marks = _marks(attributes) if attributes else set()
-        in_article = any(n.tag in ("article", "main") for n in open_nodes[1:])
         negative = bool(marks & NEGATIVE) and not (tag in ("article", "main") or marks & POSITIVE and not marks & {"ad", "ads", "comment", "comments", "sidebar"})
-        if tag in DROPPED or negative or tag == "header" and not in_article:
+        if tag in DROPPED or negative or tag == "header" and not opened["article"] and not opened["main"]:
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}[\s>/]|</{re.escape(tag)}$", re.I).search(page, at)
                 at = stop.start() if stop else len(page)
@@ -126,7 +132,7 @@ def tree(page: str) -> Node:
             for up in range(len(open_nodes) - 1, 0, -1):
                 name = open_nodes[up].tag
                 if name == "p" or name == tag and tag in SAME_CLOSES:
-                    del open_nodes[up:]
+                    close(up)
                     break
                 if name not in INLINE:
                     break
@@ -134,6 +140,7 @@ def tree(page: str) -> Node:
         open_nodes[-1].children.append(node)
         if not attributes.endswith("/") or tag in INLINE or tag in PARAGRAPHS:
             open_nodes.append(node)
+            opened[tag] += 1
     return root
 
 
