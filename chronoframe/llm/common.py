@@ -28,6 +28,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """df in no more partitions than `rows` (a bound of its rows) call for, so that small tables do not become many small files."""
+    n = 1 + rows // each
+    return df.coalesce(n) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of one Arrow batch, since single texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -10,10 +10,10 @@ words in an alignment of least edits, inside the band of diagonals that the thre
 k-mers bounds it from above and spares the alignment of most wrong candidates.
 
 Texts of equal words are one representative first. In each bucket all are held against the bucket's first member; classes
-are the connected components of verified pairs. Then, until no untried pair is left, members of each class that
-meet other classes in a bucket (the least and the greatest by hash) are held against each other. So no bucket emits all
-its pairs, and no bucket is cut; a pair of two classes may stay unseen if neither bucket picks it, which the tests
-measure against brute force.
+are the connected components of verified pairs. Then, until no untried pair or no new link is left, where classes meet in a
+bucket two members of each are held against two of the bucket's first class and against the next by length. So a
+bucket's pairs grow with its members, and no bucket is cut. A single link between two classes that no bucket picks
+stays unseen; tests hold the classes against brute force.
 
 Defined cases: null, empty and wordless texts are one class; repeated rows are members of their own; of a class the row with
 the most words, then the smallest doc_id stays; other columns are ignored here and kept by keep_one.
@@ -27,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm import textkernel as tk
-from chronoframe.llm.common import free_name, small_batches, written
+from chronoframe.llm.common import free_name, sized, small_batches, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -216,8 +216,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Of the pairs (a, b) of row ids those that are similar. a's words go once to each task of about PAIRS_A_TASK pairs."""
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    groups = written(many.select("a", F.ceil(F.col("n") / PAIRS_A_TASK).cast("int").alias("parts")), "pair-groups")
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / PAIRS_A_TASK).cast("int").alias("parts"))
+    groups = written(sized(many, pairs.count()), "pair-groups")
     members = pairs.join(groups, "a").select("a", "b", (F.pmod(F.xxhash64("b"), F.col("parts"))).cast("int").alias("part"))
     members = members.join(texts.select(F.col("rid").alias("b"), "words"), "b")
     firsts = groups.join(texts.select(F.col("rid").alias("a"), "words"), "a")
@@ -240,29 +240,53 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY)
     return dealt.mapInArrow(run, "a long, b long")
 
 
+LOCAL_EDGES = 20_000
+EDGES = pa.schema([("rid", pa.int64()), ("label", pa.int64())])
+
+
+def _small_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for a graph of at most LOCAL_EDGES edges, which is one task's work."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            one, other = top(a), top(b)
+            above[max(one, other)] = min(one, other)
+    rows = [(x, top(x)) for x in list(above) if top(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows)) or [()] * 2], schema=EDGES)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(rid, label): the least row id of its component, for each end of an edge; by large and small stars in turn."""
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    """(rid, label): the least row id of its component, for each row id on an edge but that least one; by large and small stars in turn."""
+    n = edges.count()
+    if n <= LOCAL_EDGES:
+        return written(edges.select("a", "b").coalesce(1).mapInArrow(_small_components, "rid long, label long"), "labels")
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        # The centre of a large star may have very many neighbours: a written side lets that join be split.
+        least = written(sized(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), 2 * n), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        small = written(small.where("u <> v").distinct(), "small-star")
-        if not small.exceptAll(edges).limit(1).count() and small.count() == edges.count():
-            break
-        edges = small
-    return edges.select(F.col("u").alias("rid"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("rid"), F.col("v").alias("label")).distinct())
+        large = written(sized(large, 2 * n), "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = written(sized(small.where("u <> v").distinct(), 2 * n), "small-star")
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        ends = ends.groupBy("x").agg(F.sum("below").alias("below"), F.sum("above").alias("above"))
+        if not ends.where("below > 1 or (below > 0 and above > 0)").limit(1).count():
+            return edges.select(F.col("u").alias("rid"), F.col("v").alias("label"))
 
 
 def _buckets(texts: DataFrame, representatives: DataFrame) -> DataFrame:
     """(band, rid, n) of representatives in buckets of two or more."""
     dealt = representatives.select("rid", "n_words", F.posexplode("bands").alias("nth", "value"))
     dealt = dealt.select("rid", "n_words", F.xxhash64("nth", "value").alias("band"))
-    shared = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first")).where("n > 1")
+    shared = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "n_words")).alias("first")).where("n > 1")
     return written(dealt.join(written(shared.select("band", "first"), "shared-buckets"), "band"), "buckets")
 
 
@@ -272,6 +296,31 @@ def _fits(a, b):
     return F.least(k(a), k(b)) >= F.greatest(k(a), k(b)) * SIMILARITY - 1e-6
 
 
+def _meetings(marked: DataFrame, rows: int) -> DataFrame:
+    """Pairs (a, b) to hold against each other where classes meet in a bucket; marked: band, rid, n_words, label, that many rows.
+
+    Two members stand for a class in a bucket, the least and the greatest by a hash that differs between buckets. Each is paired with those
+    of the bucket's first class and with the next of another class by length; so the pairs of a bucket grow with its classes.
+    """
+    held = F.struct(F.xxhash64("rid", "band").alias("h"), F.col("rid"), F.col("n_words"))
+    met = marked.groupBy("band", "label").agg(F.min(held).alias("low"), F.max(held).alias("high"))
+    first = F.min(F.struct("label", "low", "high"))
+    several = met.groupBy("band").agg(first.alias("first"), F.max("label").alias("last")).where("first.label <> last")
+    met = written(sized(met.join(several.select("band", "first"), "band"), rows), "meeting-classes")
+    pair = lambda x, y: F.struct(x["rid"].alias("x"), x["n_words"].alias("nx"), y["rid"].alias("y"), y["n_words"].alias("ny"))
+    low, high, first = F.col("low"), F.col("high"), F.col("first")
+    star = met.where("label <> first.label").select(F.array(pair(low, first["low"]), pair(high, first["high"])).alias("pairs"))
+    stand = met.select("band", "label", F.explode(F.array_distinct(F.array("low", "high"))).alias("one"))
+    stand = stand.select("band", "label", "one.rid", "one.n_words")
+    along = Window.partitionBy("band").orderBy("n_words", "rid")
+    self = F.struct("rid", "n_words", "label")
+    nexts = stand.select(self.alias("one"), *[F.lead(self, k).over(along).alias(f"next{k}") for k in (1, 2)])
+    beside = nexts.select(F.array(*[F.when(F.col("one.label") != F.col(f"next{k}.label"), pair(F.col("one"), F.col(f"next{k}"))) for k in (1, 2)]).alias("pairs"))
+    both = star.unionByName(beside).select(F.filter("pairs", lambda p: p.isNotNull() & _fits(p["nx"], p["ny"])).alias("pairs"))
+    both = both.select(F.explode("pairs").alias("p"))
+    return both.select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, class_id (doc_id of the row that stays), class_size, kept, mark."""
     texts = sketches(docs)
@@ -282,35 +331,33 @@ def classes(docs: DataFrame) -> DataFrame:
     representatives = texts.select("rid", "n_words", "bands", "digest").join(copies, "digest", "left")
     representatives = representatives.where("rep is null or rep = rid").select("rid", "n_words", "bands")
     buckets = _buckets(texts, representatives)
-    sizes = texts.select("rid", "n_words")
-    first = buckets.where("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b"), "n_words").distinct()
-    first = first.join(sizes.select(F.col("rid").alias("a"), F.col("n_words").alias("other")), "a").where(_fits(F.col("n_words"), F.col("other")))
-    tried = written(first.select("a", "b"), "tried-pairs")
+    rows = buckets.count()
+    first = buckets.where((F.col("rid") != F.col("first.rid")) & _fits(F.col("n_words"), F.col("first.n_words")))
+    tried = written(sized(first.select(F.col("first.rid").alias("a"), F.col("rid").alias("b")).distinct(), rows), "tried-pairs")
     links = written(verified(tried, texts), "links")
+    before = None
     while True:
-        labels = written(components(links), "labels")
-        marked = buckets.join(labels, "rid", "left").select("band", "rid", "n_words", F.coalesce("label", "rid").alias("label"))
-        # Of each class in a bucket the least and the greatest member by a hash that differs between buckets.
-        held = F.struct(F.xxhash64("rid", "band").alias("h"), F.col("rid"), F.col("n_words"))
-        met = marked.groupBy("band", "label").agg(F.min(held).alias("low"), F.max(held).alias("high"))
-        several = met.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band")
-        met = met.join(several, "band").select("band", "label", F.explode(F.array_distinct(F.array("low", "high"))).alias("one"))
-        met = written(met.select("band", "label", "one.rid", "one.n_words"), "meeting-classes")
-        x, y = met.alias("x"), met.alias("y")
-        pairs = x.join(y, F.expr("x.band = y.band and x.label < y.label")).where(_fits(F.col("x.n_words"), F.col("y.n_words")))
-        pairs = pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
-        fresh = written(pairs.join(tried, ["a", "b"], "left_anti"), "fresh-pairs")
+        labels, met = components(links), buckets
+        if before is not None:
+            # Pairs are new only in buckets with a member whose class is another than in the round before.
+            old = before.select("rid", F.col("label").alias("old"))
+            moved = labels.join(old, "rid", "left").where("old is null or old <> label").select("rid")
+            met = buckets.join(buckets.join(moved, "rid", "left_semi").select("band").distinct(), "band", "left_semi")
+        before = labels
+        marked = met.join(labels, "rid", "left").select("band", "rid", "n_words", F.coalesce("label", "rid").alias("label"))
+        pairs = _meetings(marked, rows).distinct()
+        fresh = written(sized(pairs.join(tried, ["a", "b"], "left_anti"), 4 * rows), "fresh-pairs")
         if not fresh.limit(1).count():
             break
         found = written(verified(fresh, texts), "links")
         tried, links = tried.unionByName(fresh), links.unionByName(found)
         if not found.limit(1).count():
             break
-    rows = placed.join(labels.select(F.col("rid").alias("rep"), "label"), "rep", "left")
-    rows = written(rows.select("rid", "doc_id", "mark", "n_words", F.coalesce("label", "rep").alias("label")), "classes")
+    found = placed.join(labels.select(F.col("rid").alias("rep"), "label"), "rep", "left")
+    found = written(found.select("rid", "doc_id", "mark", "n_words", F.coalesce("label", "rep").alias("label")), "classes")
     best = F.min(F.struct((-F.col("n_words")).alias("less"), F.col("doc_id"), F.col("rid"))).alias("best")
-    groups = written(rows.groupBy("label").agg(best, F.count(F.lit(1)).alias("class_size")), "class-sizes")
-    return rows.join(groups, "label").select(
+    groups = written(found.groupBy("label").agg(best, F.count(F.lit(1)).alias("class_size")), "class-sizes")
+    return found.join(groups, "label").select(
         "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("best.rid") == F.col("rid")).alias("kept"), "mark"
     )
 
