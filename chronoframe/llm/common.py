@@ -20,14 +20,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that written() has made and release() has not deleted.
+made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: list[str]) -> None:
+    """Delete the tables written so far but for those to keep; what was derived from them must have been written by then."""
+    for folder in [x for x in made if x not in keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        made.remove(folder)
+
+
 def sized(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     """df in no more partitions than `rows` (a bound of its rows) call for, so that small tables do not become many small files."""
     n = 1 + rows // each
