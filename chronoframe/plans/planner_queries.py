@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoframe.functions.scalars import frame_count, frames_for, half_up, parse_target as target_of, samples_for, snap, tolerance
-from chronoframe.operators import intervals, planner
+from chronoframe.operators import blocks, intervals, planner, reports
 from chronoframe.sources import bindings as B
 
 
@@ -145,10 +145,9 @@ def part_checks(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir):
-    cuts, jobs = _jobs(spark, sf_dir)
-    blocks = jobs.select("job", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("total") / 60) - 1)).alias("block"))
-    lo, hi = F.col("block") * 60.0, F.least(F.col("total"), F.col("block") * 60.0 + 60.0)
-    return blocks.select("job", "block", lo.alias("lo"), hi.alias("hi"), frame_count(lo, hi, 15.0).alias("frames"))
+    _, jobs = _jobs(spark, sf_dir)
+    rows = blocks.blocks(jobs.select("job", F.lit(0.0).alias("a"), F.col("total").alias("b")), 60.0, ["job"])
+    return rows.withColumn("frames", frame_count(F.col("lo"), F.col("hi"), 15.0))
 
 
 def sweep_blocks(spark, sf_dir):
@@ -156,11 +155,19 @@ def sweep_blocks(spark, sf_dir):
 
 
 def sweep_budget(spark, sf_dir):
-    from pyspark.sql import Window
+    found = blocks.within_budget(_blocks(spark, sf_dir), ["job"], ["block"], "frames", 10)
+    return found.select("job", "block", "frames", F.col("now").alias("done"))
+
+
+def resume_blocks(spark, sf_dir):
+    planned = _blocks(spark, sf_dir)
+    done = planned.where("block % 3 = 0").withColumn("frames", F.col("frames") + F.when(F.col("job") % 4 == 0, 1).otherwise(0))
+    left = blocks.pending(planned, done, ["job", "block", "frames"])
+    return blocks.within_budget(left, ["job"], ["block"], "frames", 8).select("job", "block", "frames", "now")
+
 
-    along = Window.partitionBy("job").orderBy("block")
-    spent = F.sum("frames").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    return _blocks(spark, sf_dir).select("job", "block", "frames", (spent <= 10).alias("done"))
+def proposal_text(spark, sf_dir):
+    return reports.proposal(planner.estimate(*_jobs(spark, sf_dir)))
 
 
 def parse_target(spark, sf_dir):
@@ -210,7 +217,7 @@ _M = _J + MEASURED_SQL
 QUERIES = {f.__name__: f for f in (
     frame_snap, plan_estimate, plan_state, plan_alternatives, suggest_drop, suggest_add, suggest_infeasible, cut_warnings, global_warnings, dependency_warnings,
     topic_warnings, draft_violations, version_diff, import_draft, revert_draft, fused_cuts, dependency_remap, subcut_split, part_checks, sweep_blocks,
-    sweep_budget, parse_target, labels_fallback, version_reserve,
+    sweep_budget, resume_blocks, proposal_text, parse_target, labels_fallback, version_reserve,
 )}
 
 _PIECES_SQL = """with p0 as (select l_suppkey as job, l_orderkey::double as lo, max(l_quantity) as q from lineitem where l_suppkey < 200 and l_linenumber = 1 group by all),
@@ -307,6 +314,15 @@ select job, block, lo, hi, frames, cast(greatest(1, ceil(frames / 25.0::double))
     "sweep_budget": _J + """, b as (select job, total, unnest(range(0, cast(ceil(total / 60) as bigint))) as block from jobs),
 d as (select job, block, cast(greatest(1, ceil(floor((least(total, block * 60.0::double + 60) - block * 60.0::double) / 15.0::double * 1e9::double + 0.5::double) / 1e9::double)) as bigint) as frames from b)
 select job, block, frames, sum(frames) over (partition by job order by block) <= 10 as done from d""",
+    "resume_blocks": _J + """, b as (select job, total, unnest(range(0, cast(ceil(total / 60) as bigint))) as block from jobs),
+d as (select job, block, cast(greatest(1, ceil(floor((least(total, block * 60.0::double + 60) - block * 60.0::double) / 15.0::double * 1e9::double + 0.5::double) / 1e9::double)) as bigint) as frames from b),
+l as (select * from d where not (block % 3 = 0 and job % 4 <> 0))
+select job, block, frames, sum(frames) over (partition by job order by block) <= 8 as now from l""",
+    "proposal_text": _M + """,
+k as (select *, floor(100 * output / total * 100.0::double + 0.5::double) / 100.0::double as percent from st),
+c as (select *, cast(floor(total) as bigint) as t, cast(floor(output) as bigint) as o, cast(floor(target) as bigint) as g, cast(floor(percent * 10.0::double + 0.5::double) as bigint) as p from k)
+select job, cuts || case when cuts = 1 then ' corte, ' else ' cortes, ' end || (t // 60) || ':' || lpad((t % 60)::varchar, 2, '0') || ' → ' || (o // 60) || ':' || lpad((o % 60)::varchar, 2, '0')
+ || ' (' || (p // 10) || ',' || (p % 10) || ' %), ' || case when target is null then 'sin objetivo' else 'objetivo ' || (g // 60) || ':' || lpad((g % 60)::varchar, 2, '0') end || ': ' || state as text from c""",
     "parse_target": """with o as (select o_orderkey as job, o_orderkey % 97 + 1 as n, o_orderkey % 7 as k, o_orderkey % 50 * 60.0::double + 600 as total from orders),
 t as (select *, case k when 0 then n || '%' when 1 then n || ' s' when 2 then (n % 40) || ',5 min' when 3 then '0:' || lpad((n % 60)::varchar, 2, '0') || ':30'
   when 4 then (n % 60) || ':15' when 5 then (n % 3) || '.5h' else n || ' mucho' end as text,

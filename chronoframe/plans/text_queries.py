@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.scalars import ACCENTED, PLAIN, ellipsis, frames_for, half_up, samples_for, stamp
-from chronoframe.operators import documents, montage, placement, transcript
+from chronoframe.operators import documents, montage, placement, reports, transcript
 from chronoframe.sources import bindings as B
 from chronoframe.streaming import levels as streams
 
@@ -170,6 +170,10 @@ def placements(spark, sf_dir):
     return rows.select("job", "id", F.col("k").cast("long").alias("k"), F.col("s.a").alias("a"), F.col("s.b").alias("b"), half_up(F.col("s.out"), 6).alias("out"))
 
 
+def index_table(spark, sf_dir):
+    return reports.index_table(_placed(spark, sf_dir))
+
+
 def _instants(spark, sf_dir):
     jobs = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"))
     return jobs.select("job", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select("job", (F.col("k") * 7.25).alias("t"))
@@ -222,6 +226,10 @@ def validation_marks(spark, sf_dir):
     return rows.groupBy("label").agg(worst("mark").alias("image"), worst("sound").alias("sound"), F.count_if((F.col("mark") != "ok") | (F.col("sound") != "ok")).alias("marks"))
 
 
+def montage_report(spark, sf_dir):
+    return reports.montage_report(_marks(spark, sf_dir).withColumnRenamed("label", "cut"))
+
+
 def level_stream(spark, sf_dir):
     stream = streams.hourly(streams.event_stream(spark, f"{sf_dir}/events.parquet"))
     found = streams.run_available(stream, "level-stream")
@@ -269,7 +277,7 @@ _MARKS_SQL = "with f as (select label, arg_min(embedding, vec_id) as first from
 
 QUERIES = {f.__name__: f for f in (
     word_coverage, coverage_summary, words_flatten, subtitle_parse, word_edges, adjusted_edges, word_hit_offset, transcript_search, search_context, question_validation,
-    document_lint, tag_strip, fingerprint, tree_digest, history_log, cut_key, plan_digest, cache_hits, montage_eta, placements, output_time_map, time_mark_labels,
+    document_lint, tag_strip, fingerprint, tree_digest, history_log, cut_key, plan_digest, cache_hits, montage_eta, placements, index_table, montage_report, output_time_map, time_mark_labels,
     mark_expand, timeline_bar, image_distance, image_placement_checks, validation_marks, level_stream,
 )}
 
@@ -322,6 +330,9 @@ co as (select job, sum(ms) / sum(frames)::double / 1000.0::double as cost from n
 su as (select job, count(*) filter (where hit) as reused, count(*) filter (where not hit) as new, coalesce(sum(frames) filter (where not hit), 0) as f, sum(frames) as a from hit group by job)
 select su.job, cast(reused as bigint) as reused, cast(new as bigint) as new, floor((f * coalesce(cost, 0.5::double / 25) + a / 25.0::double * 0.25::double) * 1000.0::double + 0.5::double) / 1000.0::double as eta from su left join co on co.job = su.job""",
     "placements": _PLACED_SQL + f" select job, id, 0::bigint as k, a1 as a, b1 as b, {_R6('off')} as out from pl union all select job, id, 1, a2, b2, {_R6('off + (b1 - a1) / 1.25::double')} from pl where two",
+    "index_table": _PLACED_SQL + f""", r as (select job, s, id, '| ' || id || ' | ' || {_LONG_CLOCK('s')} || '–' || {_LONG_CLOCK('e')} || ' | ' || {_LONG_CLOCK('off')} || '–' || {_LONG_CLOCK('(off + len)')} || ' |' as line from pl)
+select job, '| Corte | Original | Resumen |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) order by s, id) as text from r group by job""",
+    "montage_report": _MARKS_SQL + " select label as cut, max(distance) as distance, cast(count(*) as bigint) as ends, cast(count(*) filter (where mark <> 'ok') as bigint) as bad from m group by label",
     "output_time_map": _MAP_SQL + " select job, t, o as out from tm",
     "time_mark_labels": _MAP_SQL + f" select job, t, case when o is null then {_LONG_CLOCK('t')} || ' (no incluido en el resumen)' else {_LONG_CLOCK('t')} || ' (resumen ' || {_LONG_CLOCK('o')} || ')' end as label from tm",
     "mark_expand": _MAP_SQL + f""",
