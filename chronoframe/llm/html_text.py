@@ -41,9 +41,13 @@ NEGATIVE = frozenset(
     "alert warning paywall".split()
 )
 POSITIVE = frozenset("article body content entry main page post story text".split())
+# Of those against, the ones that count even beside one in favour; and words that turn a name like with-sidebar around.
+STRONG = frozenset("ad ads advert advertisement comment comments".split())
+NEGATING = frozenset("with has no without".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -59,11 +63,19 @@ class Node:
         self.chars = self.linked = 0
 
 
-def _marks(attributes: str) -> set[str]:
-    words: set[str] = set()
+def _judged(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id and role say that an element is not article text; whether they say that it is."""
+    if _HIDDEN.search(attributes):
+        return True, False
+    against, strongly, favour = False, False, False
     for found in _MARKS.finditer(attributes):
-        words.update(_WORD.findall((found[1] or found[2] or found[3] or "").lower()))
-    return words
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            words = set(_WORD.findall(name))
+            if words & NEGATIVE and not words & NEGATING:
+                against, strongly = True, strongly or bool(words & STRONG)
+            elif words & POSITIVE:
+                favour = True
+    return against and (strongly or not favour), favour
 
 
 def tree(page: str) -> Node:
@@ -113,8 +125,8 @@ def tree(page: str) -> Node:
             if tag == "hr":
                 open_nodes[-1].children.append(Node("hr", open_nodes[-1]))
             continue
-        marks = _marks(attributes) if attributes else set()
-        negative = bool(marks & NEGATIVE) and not (tag in ("article", "main") or marks & POSITIVE and not marks & {"ad", "ads", "comment", "comments", "sidebar"})
+        negative, positive = _judged(attributes) if attributes else (False, False)
+        negative = negative and tag not in ("article", "main")
         if tag in DROPPED or negative or tag == "header" and not opened["article"] and not opened["main"]:
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}[\s>/]|</{re.escape(tag)}$", re.I).search(page, at)
@@ -136,7 +148,7 @@ def tree(page: str) -> Node:
                     break
                 if name not in INLINE:
                     break
-        node = Node(tag, open_nodes[-1], bool(marks & POSITIVE) or tag in ("article", "main"))
+        node = Node(tag, open_nodes[-1], positive or tag in ("article", "main"))
         open_nodes[-1].children.append(node)
         if not attributes.endswith("/") or tag in INLINE or tag in PARAGRAPHS:
             open_nodes.append(node)

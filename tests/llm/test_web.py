@@ -26,6 +26,15 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("attributes, kept", [
+    ('class="main-content with-sidebar"', True), ('class="sidebar-content"', False), ('class="content ad"', False), ('id=comment-7', False),
+    ("class='post-body'", True), ("hidden", False), ('style="display: none"', False), ('class="overflow-hidden"', True), ('class="downloads"', True), ('role="navigation"', False),
+])
+def test_names_for_and_against(attributes, kept):
+    page = f"<div {attributes}><p>This, is a text of some length, with commas.</p></div><div><p>Other, text.</p></div>"
+    assert ("This, is" in html_text.main_text(page)) == kept
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 20000 + "<p>deep, text</p>") == "deep, text"
     body = "<p>" + "word, " * 200_000 + "</p>"
