@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoframe.operators.montage import digest
 from chronoframe.operators.placement import moment, output_at, span_label
 
+# Fixed value: the grammar of a time mark.
 MARK = r"\[\[(?:t=\d+(?:\.\d+)?|r=\d+(?:\.\d+)?-\d+(?:\.\d+)?)\]\]"
 
 

@@ -29,6 +29,9 @@ def band(target: Column) -> tuple[Column, Column]:
     return F.when(target.isNotNull(), F.greatest(F.lit(0.0), target - margin)), target + margin
 
 
+# The names of states and warnings below are fixed values.
+
+
 def state_of(output: Column, essentials: Column, target: Column, top: Column) -> Column:
     low, high = band(target)
     return (

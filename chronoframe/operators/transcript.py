@@ -9,6 +9,7 @@ from chronoframe import parameters as P
 from chronoframe.functions.scalars import cue_time, half_up, normal
 from chronoframe.operators.intervals import overlap_join
 
+# The grammar of a cue and of styling tags.
 CUE = r"(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{1,3})\s*-->\s*(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{1,3})"
 TAG = r"<[^>]*>|\{\\[^}]*\}"
 
