@@ -18,6 +18,7 @@ repeat an id with other texts too; clashing extra columns are passed through by
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm import textkernel as tk
-from chronoframe.llm.common import free_name, small_batches
+from chronoframe.llm.common import free_name, small_batches, written
 
 WINDOW = 10
 SHINGLE = 5
-MAX_WORDS = 1_000_000
+MAX_WORDS = 200_000
 
 RESULT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 RESULT_DDL = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -126,19 +127,18 @@ def _words(column: pa.Array) -> tk.Tokens:
     return tk.tokenize(data, offsets, tk.WORDS, tk.FOLDED)
 
 
-def _slices(benchmark: DataFrame, max_words: int) -> list[Index]:
-    """Indexes of slices of at most max_words words (or one longer item)."""
+def _slices(benchmark: DataFrame, max_words: int) -> Iterator[Index]:
+    """Indexes of slices of at most max_words words (or one longer item), one at a time."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
-    out, items, n = [], [], 0
+    items, n = [], 0
     for row in rows.toLocalIterator():
         words = _words(pa.array([row["text"]], pa.string())).hash
         if items and n + len(words) > max_words:
-            out.append(Index(items))
+            yield Index(items)
             items, n = [], 0
         items.append((row["item_id"], words))
         n += len(words)
-    out.append(Index(items))
-    return [index for index in out if index.windows]
+    yield Index(items)
 
 
 def _counted(docs: DataFrame, index: Index) -> None:
@@ -216,12 +216,15 @@ def _annotated(docs: DataFrame, index: Index | None, columns: list[str], names:
     return rows.mapInArrow(run, ddl)
 
 
-def _by_slices(docs: DataFrame, indexes: list[Index], columns: list[str], names: list[str]) -> DataFrame:
-    """The same for several slices: ranges of each slice, joined by the row's content."""
+def _by_slices(docs: DataFrame, indexes: Iterator[Index], columns: list[str], names: list[str]) -> DataFrame:
+    """The same for several slices: ranges of each slice, written one after the other, joined by the row's content."""
     key = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("_key")
     keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key)
     hits = None
     for index in indexes:
+        if not index.windows:
+            continue
+        _counted(docs, index)
         fixed = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], fixed=fixed) -> Iterator[pa.RecordBatch]:
@@ -233,7 +236,11 @@ def _by_slices(docs: DataFrame, indexes: list[Index], columns: list[str], names:
                     yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.list_(pa.int64())), pa.array(c[2], pa.list_(pa.string()))], ["_key", "ranges", "items"])
 
         found = keyed.mapInArrow(run, "_key long, ranges array<long>, items array<string>").dropDuplicates(["_key"])
+        found = written(found, "slice-hits")
+        fixed.unpersist()
         hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return _annotated(docs, None, columns, names)
     joined = hits.groupBy("_key").agg(F.collect_list("ranges").alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
     @F.udf("long")
@@ -254,12 +261,14 @@ def annotate(docs: DataFrame, benchmark: DataFrame, columns: list[str], max_word
     names = []
     for name in RESULT.names:
         names.append(free_name([*columns, *names], name))
-    indexes = _slices(benchmark, max_words)
-    for index in indexes:
-        _counted(docs, index)
-    if len(indexes) <= 1:
-        return _annotated(docs, indexes[0] if indexes else None, columns, names), names
-    return _by_slices(docs, indexes, columns, names), names
+    slices = _slices(benchmark, max_words)
+    first, second = next(slices), next(slices, None)
+    if second is not None:
+        return _by_slices(docs, itertools.chain((first, second), slices), columns, names), names
+    if not first.windows:
+        return _annotated(docs, None, columns, names), names
+    _counted(docs, first)
+    return _annotated(docs, first, columns, names), names
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
