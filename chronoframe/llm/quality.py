@@ -6,8 +6,8 @@ REACH tokens, summed over the training texts and weighted by rarity. A document
 by the mean vector of their shapes (case and length, or that they repeat the token before), which are indexed alike. A network with one hidden layer, trained by
 Adam, gives a logit; a temperature fitted on training rows set apart makes it a probability.
 
-The model is fitted on the driver from at most MAX_PER_CLASS labelled documents of each class (the first by md5 of the id),
-weighted back to the classes' counts among all labelled rows; its size is fixed by the parameters here. Scoring is one map
+The model is fitted on the driver from at most MAX_PER_CLASS labelled documents of each class (the first by md5 of the id, less
+those of over MAX_FIT_CHARS code points, so that the sample's bytes are bounded too), weighted back to the classes' counts among all labelled rows; its size is fixed by the parameters here. Scoring is one map
 over all rows and whole texts. Neither labels nor lang, source and doc_id are inputs.
 
 Defined cases: a null or empty text is scored as a document without tokens; labels that are null or neither 0 nor 1 are
@@ -35,6 +35,7 @@ REACH = 2
 HIDDEN = 32
 EPOCHS = 250
 MAX_PER_CLASS = 3000
+MAX_FIT_CHARS = 200_000
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -192,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return fit(pa.array([], pa.string()), np.zeros(0, int), shares)
     keys = docs.sparkSession.createDataFrame(ids, chosen.schema)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(keys), "doc_id")
+    texts = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_FIT_CHARS)
     found = texts.orderBy(place, "doc_id", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).toArrow()
     return fit(found.column("text").combine_chunks(), np.asarray(found.column("quality").to_numpy(), int), shares)
 
