@@ -31,10 +31,17 @@ def merge(rows: DataFrame, keys: list[str], slack: float = 0.0) -> DataFrame:
 
 
 def complement(gaps: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
-    """What the gaps leave of each frame (keys, a, b): keys, a, b, lo, hi with hi above lo."""
-    points = gaps.select(*keys, "lo", "hi").unionByName(frames.select(*keys, F.col("b").alias("lo"), F.col("b").alias("hi")))
-    order = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    cursor = points.join(frames.select(*keys, "a", "b"), keys).withColumn("cursor", F.greatest(F.col("a"), F.coalesce(F.max("hi").over(order), F.col("a"))))
+    """What the gaps leave of each frame (keys, a, b): keys, a, b, lo, hi with hi above lo.
+
+    Each frame goes in with its gaps as an empty gap at its end, so that one shuffle brings both together.
+    """
+    none = F.lit(None).cast("double")
+    ends = frames.select(*keys, F.col("b").alias("lo"), F.col("b").alias("hi"), "a", "b")
+    points = gaps.select(*keys, "lo", "hi", none.alias("a"), none.alias("b")).unionByName(ends)
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    points = points.withColumns({"a": F.max("a").over(whole), "b": F.max("b").over(whole), "before": F.max("hi").over(order)})
+    cursor = points.withColumn("cursor", F.greatest("a", F.coalesce("before", "a")))
     return cursor.where("lo > cursor").select(*keys, "a", "b", F.col("cursor").alias("lo"), F.least("lo", "b").alias("hi")).where("hi > lo")
 
 

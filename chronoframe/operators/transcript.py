@@ -37,16 +37,17 @@ def subtitles(files: DataFrame) -> DataFrame:
 
 
 def word_edges(edges: DataFrame, words: DataFrame, width: float = 30.0) -> DataFrame:
-    """Edges (job, edge, side) moved to the gap next to the word they split: with moved, null if no gap is near enough.
+    """Edges (job, edge, side and what else) moved to the gap next to the word they split: with moved, null if no gap is near enough.
 
-    side is -1 for a start and 1 for an end. A word that is at least half inside the cut is kept, else dropped.
+    side is -1 for a start and 1 for an end. A word that is at least half inside the cut is kept, else dropped. Words of a
+    job do not overlap, so an edge meets one at most.
     """
     order = Window.partitionBy("job").orderBy("lo", "hi")
-    around = words.select("job", "lo", "hi", F.lag("hi").over(order).alias("before"), F.lead("lo").over(order).alias("after"))
-    points = edges.select("job", F.col("edge").alias("lo"), F.col("edge").alias("hi"), "edge", "side")
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    spread = around.withColumn("_b", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi"))))).withColumnsRenamed({"lo": "wlo", "hi": "whi"})
-    hit = points.withColumn("_b", bucket(F.col("edge"))).join(spread, ["job", "_b"]).where("wlo < edge and edge < whi")
+    around = words.select("job", F.col("lo").alias("wlo"), F.col("hi").alias("whi"), F.lag("hi").over(order).alias("before"), F.lead("lo").over(order).alias("after"))
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    spread = around.withColumn("_b", F.explode(F.sequence(bucket("wlo"), bucket("whi")))).withColumnRenamed("job", "_job")
+    here = (F.col("job") == F.col("_job")) & (F.col("_at") == F.col("_b")) & (F.col("wlo") < F.col("edge")) & (F.col("edge") < F.col("whi"))
+    hit = edges.withColumn("_at", bucket("edge")).join(spread, here, "left")
     ahead = F.when(F.col("before").isNull(), F.col("wlo") - P.WORD_PAD).otherwise(F.greatest((F.col("before") + F.col("wlo")) / 2, F.col("wlo") - P.WORD_PAD))
     behind = F.when(F.col("after").isNull(), F.col("whi") + P.WORD_PAD).otherwise(F.least((F.col("whi") + F.col("after")) / 2, F.col("whi") + P.WORD_PAD))
     start = F.col("side") < 0
@@ -55,8 +56,8 @@ def word_edges(edges: DataFrame, words: DataFrame, width: float = 30.0) -> DataF
     wide, narrow = F.when(start, F.greatest(F.lit(0.0), ahead)).otherwise(behind), F.when(start, behind).otherwise(ahead)
     first, second = F.when(keep, wide).otherwise(narrow), F.when(keep, narrow).otherwise(wide)
     near = lambda c: F.abs(c - F.col("edge")) <= P.WORD_SHIFT
-    moved = hit.select("job", "edge", "side", F.when(near(first), half_up(first, 6)).when(near(second), half_up(second, 6)).alias("moved"), F.lit(True).alias("inside"))
-    return edges.join(moved, ["job", "edge", "side"], "left").select("job", "edge", "side", F.when(F.col("inside"), F.col("moved")).otherwise(F.col("edge")).alias("moved"))
+    moved = F.when(F.col("wlo").isNull(), F.col("edge")).when(near(first), half_up(first, 6)).when(near(second), half_up(second, 6))
+    return hit.select(*edges.columns, moved.alias("moved"))
 
 
 def clamp(rows: DataFrame) -> DataFrame:

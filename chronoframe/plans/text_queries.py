@@ -60,10 +60,11 @@ def word_edges(spark, sf_dir):
 def adjusted_edges(spark, sf_dir):
     segments = _segments(spark, sf_dir)
     length = F.col("hi") - F.col("lo")
-    cuts = segments.select("job", F.col("seg").alias("id"), (F.col("lo") + length * 0.37).alias("start"), (F.col("lo") + length * 0.61).alias("end"))
-    moved = _edges(spark, sf_dir)
-    at = lambda side, old, new: moved.where(F.col("side") == side).select("job", F.col("edge").alias(old), F.coalesce("moved", "edge").alias(new))
-    rows = cuts.join(at(-1, "start", "lo"), ["job", "start"]).join(at(1, "end", "hi"), ["job", "end"])
+    ends = F.array(F.struct(F.lit(-1).alias("side"), (F.col("lo") + length * 0.37).alias("edge")), F.struct(F.lit(1).alias("side"), (F.col("lo") + length * 0.61).alias("edge")))
+    edges = segments.select("job", F.col("seg").alias("id"), F.explode(ends).alias("e")).select("job", "id", "e.side", "e.edge")
+    moved = transcript.word_edges(edges, B.words(segments)).withColumn("to", F.coalesce("moved", "edge"))
+    at = lambda side, column: F.max(F.when(F.col("side") == side, F.col(column)))
+    rows = moved.groupBy("job", "id").agg(at(-1, "edge").alias("start"), at(-1, "to").alias("lo"), at(1, "to").alias("hi"))
     return transcript.clamp(rows).select("job", "id", half_up(F.col("lo"), 6).alias("lo"), half_up(F.col("hi"), 6).alias("hi"))
 
 
