@@ -24,12 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
 made: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Writer options of tables whose values are compressed already and large.
+PACKED = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+
+
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     made.append(path)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
