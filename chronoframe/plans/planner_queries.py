@@ -87,9 +87,9 @@ def draft_violations(spark, sf_dir):
 def _versions(spark, sf_dir):
     cuts = _cuts(spark, sf_dir)
     old = cuts.where("included").select("job", "id", (F.col("end_ms") - F.col("start_ms")).alias("length_ms"), F.concat(F.lit("cut "), "id").alias("title"))
-    new = cuts.where("(included and id % 5 <> 0) or (not included and id % 3 = 0)")
-    less = F.when(F.col("id") % 7 == 0, 1000).when(F.col("id") % 7 == 1, 40).otherwise(0)
-    title = F.concat(F.lit("cut "), "id", F.when(F.col("id") % 11 == 0, F.lit(" b")).otherwise(F.lit("")))
+    new = cuts.where("(included and (pinned or priority < 3)) or (not included and priority = 1)")
+    less = F.when(F.col("remove_pauses") & F.col("depends_on").isNotNull(), 1000).when(F.col("pinned"), 40).otherwise(0)
+    title = F.concat(F.lit("cut "), "id", F.when(F.col("pinned") & (F.col("priority") == 2), F.lit(" b")).otherwise(F.lit("")))
     return old, new.select("job", "id", (F.col("end_ms") - F.col("start_ms") - less).alias("length_ms"), title.alias("title"))
 
 
@@ -125,7 +125,7 @@ def dependency_remap(spark, sf_dir):
 
 def _pieces(spark, sf_dir):
     """Many short spans per supplier, so that parts of 40 arise."""
-    rows = B.table(spark, sf_dir, "lineitem").where("l_suppkey < 200 and l_linenumber = 1")
+    rows = B.table(spark, sf_dir, "lineitem")
     spans = rows.select(F.col("l_suppkey").alias("job"), F.col("l_orderkey").cast("double").alias("lo"), F.col("l_quantity").alias("q")).groupBy("job", "lo").agg(F.max("q").alias("q"))
     return spans.select("job", "lo", (F.col("lo") + F.floor(F.col("q")) / 64.0).alias("hi"))
 
@@ -161,7 +161,8 @@ def sweep_budget(spark, sf_dir):
 
 def resume_blocks(spark, sf_dir):
     planned = _blocks(spark, sf_dir)
-    done = planned.where("block % 3 = 0").withColumn("frames", F.col("frames") + F.when(F.col("job") % 4 == 0, 1).otherwise(0))
+    # The first two minutes are done, but short blocks were left damaged.
+    done = planned.where("lo < 120").withColumn("frames", F.when(F.col("hi") - F.col("lo") < 60, 0).otherwise(F.col("frames")))
     left = blocks.pending(planned, done, ["job", "block", "frames"])
     return blocks.within_budget(left, ["job"], ["block"], "frames", 8).select("job", "block", "frames", "now")
 
@@ -186,7 +187,8 @@ def parse_target(spark, sf_dir):
 
 def labels_fallback(spark, sf_dir):
     cuts = _cuts(spark, sf_dir).where("included")
-    labels = B.table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("label"))
+    named = F.when(F.col("p_size") > 20, F.col("p_name"))
+    labels = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), named.alias("label"))
     title = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Title "), "id")).otherwise(F.lit(" "))
     rows = cuts.withColumn("title", title).join(labels, "part", "left")
     named = F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit("Corte "), "id"))
@@ -220,7 +222,7 @@ QUERIES = {f.__name__: f for f in (
     sweep_budget, resume_blocks, proposal_text, parse_target, labels_fallback, version_reserve,
 )}
 
-_PIECES_SQL = """with p0 as (select l_suppkey as job, l_orderkey::double as lo, max(l_quantity) as q from lineitem where l_suppkey < 200 and l_linenumber = 1 group by all),
+_PIECES_SQL = """with p0 as (select l_suppkey as job, l_orderkey::double as lo, max(l_quantity) as q from lineitem group by all),
 sp as (select job, lo, lo + floor(q) / 64.0::double as hi from p0),
 tt as (select job, count(*) as n, cast(floor(sum(hi - lo) * 25 / 1.25::double + 0.5) as bigint) as frames from sp group by job),
 pp as (select job, (row_number() over (partition by job order by lo) - 1) // 40 as part, hi - lo as len from sp),
@@ -285,9 +287,10 @@ union all select job, id, 'duplicate', count(*) from d group by job, id having c
 union all select job, id, 'reference', count(*) from d where depends_on is not null and not exists (select 1 from d e where e.job = d.job and e.id = d.depends_on) group by job, id""",
     "version_diff": _C + """,
 o as (select job, id, end_ms - start_ms as before_ms from cuts where included),
-n as (select job, id, end_ms - start_ms - case id % 7 when 0 then 1000 when 1 then 40 else 0 end as after_ms from cuts where (included and id % 5 <> 0) or (not included and id % 3 = 0)),
-b as (select coalesce(o.job, n.job) as job, coalesce(o.id, n.id) as id, before_ms, after_ms from o full join n on o.job = n.job and o.id = n.id),
-c as (select *, case when before_ms is null then 'added' when after_ms is null then 'removed' when abs(before_ms - after_ms) > 50 or id % 11 = 0 then 'changed' end as change from b)
+n as (select job, id, end_ms - start_ms - case when remove_pauses and depends_on is not null then 1000 when pinned then 40 else 0 end as after_ms, pinned and priority = 2 as renamed
+      from cuts where (included and (pinned or priority < 3)) or (not included and priority = 1)),
+b as (select coalesce(o.job, n.job) as job, coalesce(o.id, n.id) as id, before_ms, after_ms, renamed from o full join n on o.job = n.job and o.id = n.id),
+c as (select *, case when before_ms is null then 'added' when after_ms is null then 'removed' when abs(before_ms - after_ms) > 50 or renamed then 'changed' end as change from b)
 select job, id, change, before_ms, after_ms from c where change is not null""",
     "import_draft": _C + " select job, id, start_ms, end_ms, 1 as priority, true as included, false as pinned from cuts",
     "revert_draft": _C + " select job, id, start_ms, end_ms, included from cuts",
@@ -316,7 +319,7 @@ d as (select job, block, cast(greatest(1, ceil(floor((least(total, block * 60.0:
 select job, block, frames, sum(frames) over (partition by job order by block) <= 10 as done from d""",
     "resume_blocks": _J + """, b as (select job, total, unnest(range(0, cast(ceil(total / 60) as bigint))) as block from jobs),
 d as (select job, block, cast(greatest(1, ceil(floor((least(total, block * 60.0::double + 60) - block * 60.0::double) / 15.0::double * 1e9::double + 0.5::double) / 1e9::double)) as bigint) as frames from b),
-l as (select * from d where not (block % 3 = 0 and job % 4 <> 0))
+l as (select d.* from d join jobs using (job) where not (block < 2 and total >= (block + 1) * 60))
 select job, block, frames, sum(frames) over (partition by job order by block) <= 8 as now from l""",
     "proposal_text": _M + """,
 k as (select *, floor(100 * output / total * 100.0::double + 0.5::double) / 100.0::double as percent from st),
@@ -329,6 +332,6 @@ t as (select *, case k when 0 then n || '%' when 1 then n || ' s' when 2 then (n
   case k when 0 then n * total / 100 when 1 then n::double when 2 then (n % 40 + 0.5::double) * 60 when 3 then (n % 60) * 60.0::double + 30 when 4 then (n % 60) * 60.0::double + 15 when 5 then (n % 3 + 0.5::double) * 3600 end as s from o),
 v as (select *, case when s > 0 and s < total then s end as x from t)
 select job, text, floor(x * 1000000.0::double + 0.5::double) / 1000000.0::double as seconds, case when x is not null then floor(greatest(x * 0.05::double, 10) * 1000000.0::double + 0.5::double) / 1000000.0::double end as tolerance from v""",
-    "labels_fallback": _C + " select job, id, coalesce(nullif(trim(p_name), ''), case when id % 2 = 0 then 'Title ' || id end, 'Corte ' || id) as label from cuts left join part on part = p_partkey and p_partkey % 3 = 0 where included",
+    "labels_fallback": _C + " select job, id, coalesce(case when p_size > 20 then nullif(trim(p_name), '') end, case when id % 2 = 0 then 'Title ' || id end, 'Corte ' || id) as label from cuts left join part on part = p_partkey where included",
     "version_reserve": "select o_custkey as job, cast(max(o_orderkey % 1000) + 1 as bigint) as version from orders group by o_custkey",
 }

@@ -56,15 +56,14 @@ def speech_islands(spark, sf_dir):
 
 def spoken_difference(spark, sf_dir):
     segments = B.transcript(B.table(spark, sf_dir, "conversations"))
-    said = B.words(segments).where("w % 5 = 0")
-    protected = said.select("job", (F.col("lo") - 0.02).alias("lo"), (F.least(F.col("hi"), F.col("lo") + 0.5) + 0.02).alias("hi"))
-    gaps = segments.where("seg % 2 = 0").select("job", F.col("seg").alias("gap"), "lo", "hi")
+    protected = B.words(segments).select("job", (F.col("lo") - 0.02).alias("lo"), (F.least(F.col("hi"), F.col("lo") + 0.5) + 0.02).alias("hi"))
+    gaps = segments.select("job", F.col("seg").alias("gap"), "lo", "hi")
     left = intervals.difference(gaps, protected, ["job"], 30.0)
     return left.select("job", "gap", half_up(F.col("lo"), 6).alias("lo"), half_up(F.col("hi"), 6).alias("hi"))
 
 
 def nearest_silence_asof(spark, sf_dir):
-    edges = _levels(spark, sf_dir).where("i % 7 = 0").select("track", (F.col("i") + 0.5).alias("edge"))
+    edges = _levels(spark, sf_dir).select("track", (F.col("i") + 0.5).alias("edge"))
     quiet = _silences(spark, sf_dir)
     before = intervals.asof(edges, quiet, ["track"], "edge", "hi", 24.0).withColumnRenamed("nearest", "before").select("track", "edge", "before")
     after = intervals.asof(edges, quiet, ["track"], "edge", "lo", 24.0, forward=True).withColumnRenamed("nearest", "after").select("track", "edge", "after")
@@ -81,9 +80,10 @@ def speech_blocks(spark, sf_dir):
 
 def uncovered_loud_gaps(spark, sf_dir):
     levels = _levels(spark, sf_dir)
-    heard = levels.where("i % 40 < 25").select("track", F.col("i").cast("double").alias("lo"), (F.col("i") + 1.0).alias("hi"))
+    loud = intervals.runs(levels.where("db >= -9"), ["track"])
+    heard = loud.select("track", F.col("first").cast("double").alias("lo"), (F.col("last") + 1.0).alias("hi"))
     frames = levels.groupBy("track").agg(F.lit(0.0).alias("a"), (F.max("i") + 1.0).alias("b"))
-    return signal.uncovered(heard, frames, levels, ["track"], threshold=-6.0, least=2.0, step=HOUR, width=48.0)
+    return signal.uncovered(heard, frames, levels, ["track"], threshold=QUIET_DB, least=2.0, step=HOUR, width=48.0)
 
 
 def pts_gaps(spark, sf_dir):
@@ -108,10 +108,9 @@ def envelope_stretch(spark, sf_dir):
 
 
 def _shifted(spark, sf_dir):
-    levels = _levels(spark, sf_dir).where("i between 100 and 160")
-    names = levels.select("track").distinct()
+    levels = _levels(spark, sf_dir)
     lag = F.length("track") % 5 - 2
-    return levels, levels.join(names, "track").select("track", (F.col("i") + lag).alias("i"), "db")
+    return levels, levels.select("track", (F.col("i") + lag).alias("i"), "db")
 
 
 def envelope_align(spark, sf_dir):
@@ -147,13 +146,13 @@ ok as (select *, coalesce(cast(lo - lag(hi) over (partition by track, cut order
 gr as (select *, sum(new) over (partition by track, cut order by lo) as g from ok)
 select track, cut, min(lo)::double as lo, max(hi)::double as hi from gr group by track, cut, g""",
     "spoken_difference": "with " + B.TRANSCRIPT_SQL + """,
-pr as (select job, lo - 0.02::double as lo, least(hi, lo + 0.5::double) + 0.02::double as hi from words where w % 5 = 0),
-gp as (select job, seg as gap, lo as a, hi as b from segments where seg % 2 = 0),
+pr as (select job, lo - 0.02::double as lo, least(hi, lo + 0.5::double) + 0.02::double as hi from words),
+gp as (select job, seg as gap, lo as a, hi as b from segments),
 pt as (select g.job, gap, a, b, p.lo, p.hi from gp g join pr p on p.job = g.job and p.lo < b and p.hi > a union all select job, gap, a, b, b, b from gp),
 cu as (select *, greatest(a, coalesce(max(hi) over (partition by job, gap order by lo, hi rows between unbounded preceding and 1 preceding), a)) as c from pt)
 select job, gap, floor(c * 1000000.0::double + 0.5::double) / 1000000.0::double as lo, floor(least(lo, b) * 1000000.0::double + 0.5::double) / 1000000.0::double as hi from cu where lo > c and least(lo, b) > c""",
     "nearest_silence_asof": _S + """,
-e as (select track, i + 0.5::double as edge from levels where i % 7 = 0)
+e as (select track, i + 0.5::double as edge from levels)
 select track, edge, (select max(hi) from silences s where s.track = e.track and s.hi <= edge and s.hi >= edge - 24) as before,
        (select min(lo) from silences s where s.track = e.track and s.lo >= edge and s.lo <= edge + 24) as after from e""",
     "quiet_cut": _L + """,
@@ -169,12 +168,13 @@ rec as (select track, 0 as k, 0::bigint as edge from tot union all
 ed as (select track, k, edge from rec union all select r.track, max(k) + 1, max(n) from rec r join tot on tot.track = r.track group by r.track)
 select track, cast(k as bigint) as block, cast(edge as double) as lo, cast(nx as double) as hi from (select *, lead(edge) over (partition by track order by k) as nx from ed) where nx is not null""",
     "uncovered_loud_gaps": _L + """,
-s as (select track, i::double as lo, i + 1.0::double as hi from levels where i % 40 < 25),
+sl as (select track, i, i - row_number() over (partition by track order by i) as run from levels where db >= -9),
+s as (select track, min(i)::double as lo, max(i) + 1.0::double as hi from sl group by track, run),
 f as (select track, max(i) + 1.0::double as b from levels group by track),
 p as (select track, lo, hi from s union all select track, b, b from f),
 c as (select *, coalesce(max(hi) over (partition by track order by lo, hi rows between unbounded preceding and 1 preceding), 0) as e from p),
 g as (select track, e as lo, lo as hi from c where lo - e >= 2)
-select g.track, lo, hi from g join levels l on l.track = g.track and l.i >= lo and l.i < hi and l.db > -6 group by g.track, lo, hi having count(*) >= 1""",
+select g.track, lo, hi from g join levels l on l.track = g.track and l.i >= lo and l.i < hi and l.db > -18 group by g.track, lo, hi having count(*) >= 1""",
     "pts_gaps": """with g as (select user_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events)
 select user_id, cast(count(*) filter (where gap > 21600000000) as bigint) as gaps, max(gap) as longest_us, cast(count(gap) as bigint) as steps from g group by user_id""",
     "event_sessions": """with g as (select *, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events),
@@ -186,7 +186,7 @@ p as (select track, k, least(k * 1.25::double, (select max(i) from levels)) as p
 select p.track, k as i, floor((x.db + (coalesce(y.db, x.db) - x.db) * (pos - floor(pos))) * 10000.0::double + 0.5::double) / 10000.0::double as db
 from p join levels x on x.track = p.track and x.i = cast(floor(pos) as bigint) left join levels y on y.track = p.track and y.i = cast(floor(pos) as bigint) + 1""",
     "envelope_align": _L + """,
-r as (select * from levels where i between 100 and 160),
+r as (select * from levels),
 p as (select track, i + length(track) % 5 - 2 as i, db from r),
 l as (select *, unnest(range(-6, 7)) as lag from p),
 s as (select l.track, lag, floor(avg(abs(l.db - r.db)) * 10000.0::double + 0.5::double) / 10000.0::double as difference, corr(l.db, r.db) as c from l join r on r.track = l.track and r.i = l.i - lag group by l.track, lag)

@@ -125,12 +125,13 @@ def _parts(spark, sf_dir):
     rows = cuts.withColumn("frames", frames_for(F.col("kept_ms") / 1000.0, 25.0, 1.25))
     rows = rows.withColumn("samples", samples_for(F.col("frames"), 25.0, 48000.0))
     key = montage.digest(montage.canonical(frames=F.col("frames"), id=F.col("id"), job=F.col("job"), samples=F.col("samples")), 32)
-    return rows.select("job", "id", "frames", "samples", key.alias("key"))
+    return rows.select("job", "id", "frames", "samples", key.alias("key"), "priority", "pinned", "remove_pauses")
 
 
 def _notes(spark, sf_dir):
-    seconds = F.when(F.col("id") % 2 == 0, F.col("frames") * 8 + F.col("id"))
-    rows = _parts(spark, sf_dir).where("id % 3 <> 0").withColumn("frames", F.col("frames") + (F.col("id") % 7 == 0).cast("int"))
+    """Notes of the parts that are not pinned; some are out of date, some lack the seconds."""
+    rows = _parts(spark, sf_dir).where("not pinned").withColumn("frames", F.col("frames") + (F.col("priority") == 3).cast("int"))
+    seconds = F.when(F.col("remove_pauses"), F.col("frames") * 8 + F.col("id"))
     return rows.withColumns({"seconds_ms": seconds, "seconds": seconds / 1000.0})
 
 
@@ -268,10 +269,10 @@ tm as (select ti.job, ti.t, """ + _R6("o") + """ as o from ti left join tb on tb
 _CLOCK = lambda x: f"(cast(floor({x}) as bigint) // 60 || ':' || lpad(cast(cast(floor({x}) as bigint) % 60 as varchar), 2, '0'))"
 _LONG_CLOCK = lambda x: f"(case when {x} >= 3600 then cast(floor({x}) as bigint) // 3600 || ':' || lpad(cast(cast(floor({x}) as bigint) % 3600 // 60 as varchar), 2, '0') || ':' || lpad(cast(cast(floor({x}) as bigint) % 60 as varchar), 2, '0') else {_CLOCK(x)} end)"
 _PARTS_SQL = "with " + B.CUTS_SQL + """,
-pq as (select job, id, cast(floor(kept_ms / 1000.0::double * 25 / 1.25::double + 0.5) as bigint) as frames from cuts where included),
+pq as (select job, id, cast(floor(kept_ms / 1000.0::double * 25 / 1.25::double + 0.5) as bigint) as frames, priority, pinned, remove_pauses from cuts where included),
 parts as (select *, cast(floor(frames / 25.0::double * 48000 + 0.5) as bigint) as samples from pq),
 keyed as (select *, substr(sha256('{"frames":' || frames || ',"id":' || id || ',"job":' || job || ',"samples":' || samples || '}'), 1, 32) as key from parts),
-notes as (select job, id, frames + case when id % 7 = 0 then 1 else 0 end as frames, samples, key, case when id % 2 = 0 then (frames + case when id % 7 = 0 then 1 else 0 end) * 8 + id end as ms from keyed where id % 3 <> 0),
+notes as (select job, id, frames + case when priority = 3 then 1 else 0 end as frames, samples, key, case when remove_pauses then (frames + case when priority = 3 then 1 else 0 end) * 8 + id end as ms from keyed where not pinned),
 hit as (select k.*, exists (select 1 from notes n where n.key = k.key and n.frames = k.frames and n.samples = k.samples) as hit from keyed k)"""
 _DISTANCE = "list_sum(list_transform(list_zip({0}, {1}), lambda z: abs(cast(z[1] as double) - cast(z[2] as double)))) / len({0}) / {2}::double"
 _MARKS_SQL = "with f as (select label, arg_min(embedding, vec_id) as first from embeddings group by label), d as (select vec_id, e.label, floor((" + _DISTANCE.format("embedding", "first", "10.0") + ") * 100000.0::double + 0.5::double) / 100000.0::double as distance from embeddings e join f on f.label = e.label), m as (select *, case when distance > 0.15::double then 'fail' when distance > 0.08::double then 'mark' else 'ok' end as mark from d)"
