@@ -8,8 +8,8 @@ The loss mask covers assistant texts alone.
 Formatting is a map over turns. Reading back streams through each conversation's pieces in order, so that a very long
 conversation needs no more memory than its longest turn.
 
-Defined cases: a null text or part is empty, a null role is the empty role; turns are ordered by turn (null first), role
-and text; repeated rows are turns of their own; an empty conversation has no rows; other columns are ignored.
+Defined cases: a null text or part is empty, a null role is the empty role; turns are ordered by turn (null first), then by their
+formatted text; repeated rows are turns of their own; an empty conversation has no rows; other columns are ignored.
 """
 
 from __future__ import annotations
