@@ -29,8 +29,8 @@ def word_count(column):
 
 
 def _size_class(size):
-    """Exact below 16, then eight classes to each doubling."""
-    return F.when(size < 16, size).otherwise(F.floor(F.log2(size.cast("double")) * 8.0)).cast("long")
+    """Exact below 16, then eight classes to each doubling; the slack keeps powers of two where they belong."""
+    return F.when(size < 16, size).otherwise(F.floor(F.log2(size.cast("double")) * 8.0 + 1e-9)).cast("long")
 
 
 def _order(id_column):
@@ -117,7 +117,7 @@ l as (select *, ((sum(source_size) over () * 1.5::double) - coalesce(sum(most) o
 f as (select min_by(level, nth) filter (where level * weight <= most) as final from l),
 t as (select source, source_size, case when final is null or most <= final * weight then most else final * weight end as target from l, f),
 o as (select d.*, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
-             row_number() over (partition by d.source order by case when size < 16 then size else cast(floor(log2(cast(size as double)) * 8) as bigint) end, place) as rank,
+             row_number() over (partition by d.source order by case when size < 16 then size else cast(floor(log2(cast(size as double)) * 8 + 1e-9::double) as bigint) end, place) as rank,
              (instr('0123456789abcdef', substr(md5('mix:' || coalesce(d.source, 'null')), 1, 1)) * 256 - 256
               + instr('0123456789abcdef', substr(md5('mix:' || coalesce(d.source, 'null')), 2, 1)) * 16 - 16
               + instr('0123456789abcdef', substr(md5('mix:' || coalesce(d.source, 'null')), 3, 1)) - 1 + 0.5::double) / 4096 as u
