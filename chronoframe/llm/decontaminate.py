@@ -218,7 +218,8 @@ def _annotated(docs: DataFrame, index: Index | None, columns: list[str], names:
 
 def _by_slices(docs: DataFrame, indexes: Iterator[Index], columns: list[str], names: list[str]) -> DataFrame:
     """The same for several slices: ranges of each slice, written one after the other, joined by the row's content."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("_key")
+    row = F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    key = F.concat(row, F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))).alias("_key")
     keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key)
     hits = None
     for index in indexes:
@@ -233,9 +234,9 @@ def _by_slices(docs: DataFrame, indexes: Iterator[Index], columns: list[str], na
                     _, found = _per_document(part.column(1), fixed.value)
                     rows = [(part.column(2)[i].as_py(), [x for r in ranges for x in r], sorted(items)) for i, (ranges, items) in found.items()]
                     c = list(zip(*rows)) or [()] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.list_(pa.int64())), pa.array(c[2], pa.list_(pa.string()))], ["_key", "ranges", "items"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.list_(pa.int64())), pa.array(c[2], pa.list_(pa.string()))], ["_key", "ranges", "items"])
 
-        found = keyed.mapInArrow(run, "_key long, ranges array<long>, items array<string>").dropDuplicates(["_key"])
+        found = keyed.mapInArrow(run, "_key string, ranges array<long>, items array<string>").dropDuplicates(["_key"])
         found = written(found, "slice-hits")
         fixed.unpersist()
         hits = found if hits is None else hits.unionByName(found)
@@ -249,9 +250,11 @@ def _by_slices(docs: DataFrame, indexes: Iterator[Index], columns: list[str], na
         return sum(b - a for a, b in _union(np.array(flat[::2]), np.array(flat[1::2])))
 
     joined = joined.select("_key", hit_words("ranges").alias("_hit"), F.size("items").cast("long").alias("_items"), F.sha2(F.encode(F.array_join(F.array_sort("items"), ","), "UTF-8"), 256).alias("_sha"))
-    rows = _annotated(docs, None, columns, names).select("*", key).join(joined, "_key", "left")
+    own = [free_name([*columns, *names], c) for c in ("_key", "_hit", "_items", "_sha")]
+    joined = joined.toDF(*own)
+    rows = _annotated(docs, None, columns, names).select("*", key.alias(own[0])).join(joined, own[0], "left")
     n, hit, items, sha, bad = names
-    return rows.select(*[F.col(f"`{c}`") for c in columns], n, F.coalesce("_hit", F.lit(0)).alias(hit), F.coalesce("_items", F.lit(0)).alias(items), F.coalesce("_sha", F.lit(NOTHING)).alias(sha), F.col("_hit").isNotNull().alias(bad))
+    return rows.select(*[F.col(f"`{c}`") for c in columns], n, F.coalesce(own[1], F.lit(0)).alias(hit), F.coalesce(own[2], F.lit(0)).alias(items), F.coalesce(own[3], F.lit(NOTHING)).alias(sha), F.col(own[1]).isNotNull().alias(bad))
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, columns: list[str], max_words: int = MAX_WORDS) -> tuple[DataFrame, list[str]]:

@@ -105,7 +105,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of wholly repeated rows one stays."""
     kept = written(exact_groups(docs).where("kept").select("doc_id", "n_chars", "text_sha256", "group_size"), "kept-copies")
-    mark, length = free_name(docs.columns, "mark"), free_name(docs.columns, "length")
+    mark, length, key_id, key_length, key_mark = (free_name(docs.columns, n) for n in ("mark", "length", "key_id", "key_length", "key_mark"))
     keyed = docs.select(
         "*",
         F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256).alias(mark),
@@ -113,8 +113,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     )
 
     def chosen(keys: DataFrame) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("_id"), F.col("n_chars").alias("_length"), F.col("text_sha256").alias("_mark"))
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(length) == F.col("_length")) & (F.col(mark) == F.col("_mark"))
+        keys = keys.select(F.col("doc_id").alias(key_id), F.col("n_chars").alias(key_length), F.col("text_sha256").alias(key_mark))
+        same = F.col("doc_id").eqNullSafe(F.col(key_id)) & (F.col(length) == F.col(key_length)) & (F.col(mark) == F.col(key_mark))
         return keyed.join(keys, same, "left_semi")
 
     # A row that has no copies cannot be repeated; only the others need their repeated rows told apart.

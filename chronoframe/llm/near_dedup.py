@@ -365,12 +365,12 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, with all its columns."""
     kept = written(classes(docs).where("kept").select("doc_id", "mark", "class_size"), "kept-texts")
-    mark = free_name(docs.columns, "mark")
+    mark, key_id, key_mark = (free_name(docs.columns, n) for n in ("mark", "key_id", "key_mark"))
     keyed = docs.select("*", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(mark))
 
     def chosen(keys: DataFrame) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-        return keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_mark")), "left_semi")
+        keys = keys.select(F.col("doc_id").alias(key_id), F.col("mark").alias(key_mark))
+        return keyed.join(keys, F.col("doc_id").eqNullSafe(F.col(key_id)) & (F.col(mark) == F.col(key_mark)), "left_semi")
 
     # Only rows of larger classes can be repeated in id and text.
     alone = chosen(kept.where("class_size = 1"))

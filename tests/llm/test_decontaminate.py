@@ -43,6 +43,14 @@ def test_hits_agree_with_brute_force(spark, max_words):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(((d, *brute(t, items)) for d, t in docs), key=key)
 
 
+def test_slices_take_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, "k"), (2, "z", 8, None)], "doc_id long, text string, _key int, _hit string")
+    items = spark.createDataFrame([(1, "A-b"), (2, "q r s")], "item_id long, text string")
+    found, names = decontaminate.annotate(docs, items, docs.columns, 2)
+    assert found.columns == [*docs.columns, *names]
+    assert sorted((r["_key"], r["n_hit"]) for r in found.collect()) == [(7, 2), (8, 0)]
+
+
 def test_clean_keeps_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c", 5, "q"), (2, "z", 6, None)], "doc_id long, text string, n_words int, contaminated string")
     items = spark.createDataFrame([(1, "A-b")], "item_id long, text string")

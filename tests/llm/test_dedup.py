@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 
 from chronoframe.llm import exact_dedup, near_dedup
 
-EXTRA = "doc_id long, text string, lang string, name string, mark long"
+EXTRA = "doc_id long, text string, lang string, key_id string, mark long"
 
 
 def test_exact_groups_agree_with_brute_force(spark, monkeypatch):
