@@ -11,9 +11,11 @@ k-mers bounds it from above and spares the alignment of most wrong candidates.
 
 Texts of equal words are one representative first. In each bucket all are held against the bucket's first member; classes
 are the connected components of verified pairs. Then, until no untried pair or no new link is left, where classes meet in a
-bucket two members of each are held against two of the bucket's first class and against the next by length. So a
-bucket's pairs grow with its members, and no bucket is cut. A single link between two classes that no bucket picks
-stays unseen; tests hold the classes against brute force.
+bucket two members of each are held against two of the bucket's first class and against the next by length. These rounds only
+join most of what belongs together cheaply. Texts of buckets in which several classes are left are then joined exactly: k-mers
+are ordered from rare to frequent, and two texts at the threshold share one of their first k-mers, at a place that
+leaves enough k-mers behind it. All such pairs of different classes are tried, so no pair of a bucket is lost; tests hold the classes
+against brute force.
 
 Defined cases: null, empty and wordless texts are one class; repeated rows are members of their own; of a class the row with
 the most words, then the smallest doc_id stays; other columns are ignored here and kept by keep_one.
@@ -22,6 +24,7 @@ the most words, then the smallest doc_id stays; other columns are ignored here a
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -38,6 +41,8 @@ SIMILARITY = 0.8
 BANDS = 32
 MINIMA = 6
 PAIRS_A_TASK = 256
+#: Texts whose k-mers are counted, and counted k-mers that are kept, for the order from rare to frequent; any order gives the same pairs.
+COUNTED_TEXTS, FREQUENT = 100_000, 1 << 17
 
 _rng = np.random.default_rng(4242)
 _SEEDS = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
@@ -321,6 +326,93 @@ def _meetings(marked: DataFrame, rows: int) -> DataFrame:
     return both.select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b"))
 
 
+def _needed(n, other):
+    """Shared k-mers of two texts at the threshold."""
+    return SIMILARITY / (1 + SIMILARITY) * (n + other) - 1e-6
+
+
+def _open_texts(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rid, label) of the texts in buckets of several classes."""
+    marked = buckets.join(labels, "rid", "left").select("band", "rid", F.coalesce("label", "rid").alias("label"))
+    several = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    several = written(several.select("band"), "open-buckets")
+    return written(marked.join(several, "band", "left_semi").select("rid", "label").distinct(), "open-texts")
+
+
+def _frequent(held: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled k-mers that are frequent in (a sample of) the n texts, sorted, and how often each occurs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_labelled_of(words) for words in batch.column(0).to_pylist()]
+            kmers, many = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kmers.view(np.int64)), pa.array(many, pa.int64())], ["kmer", "n"])
+
+    some = held.where(F.pmod(F.xxhash64("rid"), F.lit(1 + n // COUNTED_TEXTS)) == 0).select("words")
+    counted = some.mapInArrow(run, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n")).where("n > 2")
+    top = counted.orderBy(F.desc("n"), "kmer").limit(FREQUENT).toArrow()
+    kmers = top.column(0).to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(kmers)
+    return kmers[order], top.column(1).to_numpy()[order]
+
+
+def _labelled_of(words: bytes) -> np.ndarray:
+    kmers = _grams_of(np.frombuffer(words, np.uint32))
+    return _labelled(kmers, np.array([0, len(kmers)]))
+
+
+def _prefix(n: int, share: float) -> int:
+    """How many of n ordered k-mers must hold one in common with a text that shares that share of them."""
+    return n - math.ceil(share * n - 1e-6) + 1
+
+
+def _exact_pairs(texts: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes of held (rid, label) that can be similar; none that is at the threshold is left out.
+
+    A shared k-mer is a key. The shorter text has fewer keys than the longer, as it must share more of its own. A frequent key's
+    shorter texts are dealt in parts of about PAIRS_A_TASK, and each part meets all texts of the key.
+    """
+    n = held.count()
+    held = texts.select("rid", "words").join(held, "rid")
+    known = held.sparkSession.sparkContext.broadcast(_frequent(held, n))
+    names = ["key", "rid", "label", "n", "place", "leads"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, many = known.value
+        for batch in batches:
+            out, size = [], 0
+            for rid, label, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kmers = _labelled_of(words)
+                rank = np.zeros(len(kmers), np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, kmers), len(frequent) - 1)
+                    rank = np.where(frequent[at] == kmers, many[at], 0)
+                first = kmers[np.lexsort((kmers, rank))[: _prefix(len(kmers), SIMILARITY)]]
+                place, one = np.arange(len(first)), np.ones(len(first), np.int64)
+                leads = place < _prefix(len(kmers), 2 * SIMILARITY / (1 + SIMILARITY))
+                out.append((first.view(np.int64), one * rid, one * label, one * len(kmers), place, leads))
+                size += len(first)
+                if size > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+
+    keys = held.select("rid", "label", "words").mapInArrow(run, "key long, rid long, label long, n long, place long, leads boolean")
+    keys = written(keys, "prefix-keys")
+    shared = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if("leads").alias("many"))
+    shared = shared.where("low <> high and many > 0").select("key", F.ceil(F.col("many") / PAIRS_A_TASK).cast("int").alias("parts"))
+    dealt = written(keys.join(written(shared, "prefix-shared"), "key"), "prefix-dealt")
+    one = dealt.where("leads").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    one = one.select("key", "part", *(F.col(c).alias(f"{c}1") for c in ("rid", "label", "n", "place")))
+    other = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = other.select("key", "part", *(F.col(c).alias(f"{c}2") for c in ("rid", "label", "n", "place")))
+    left = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))
+    later = (F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("rid1") < F.col("rid2"))
+    fits = later & (F.col("label1") != F.col("label2")) & (F.col("n1") >= SIMILARITY * F.col("n2") - 1e-6) & (left >= _needed(F.col("n1"), F.col("n2")))
+    met = one.join(other, ["key", "part"]).where(fits)
+    return met.select(F.least("rid1", "rid2").alias("a"), F.greatest("rid1", "rid2").alias("b")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, class_id (doc_id of the row that stays), class_size, kept, mark."""
     texts = sketches(docs)
@@ -353,6 +445,12 @@ def classes(docs: DataFrame) -> DataFrame:
         tried, links = tried.unionByName(fresh), links.unionByName(found)
         if not found.limit(1).count():
             break
+    held = _open_texts(buckets, labels)
+    if held.limit(1).count():
+        fresh = written(_exact_pairs(texts, held).join(tried, ["a", "b"], "left_anti"), "exact-pairs")
+        found = written(verified(fresh, texts), "links")
+        if found.limit(1).count():
+            labels = components(links.unionByName(found))
     found = placed.join(labels.select(F.col("rid").alias("rep"), "label"), "rep", "left")
     found = written(found.select("rid", "doc_id", "mark", "n_words", F.coalesce("label", "rep").alias("label")), "classes")
     best = F.min(F.struct((-F.col("n_words")).alias("less"), F.col("doc_id"), F.col("rid"))).alias("best")

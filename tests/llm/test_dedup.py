@@ -154,3 +154,45 @@ def test_order_counts():
 
     assert near_dedup.similar(text(one), text(one[:30] + ["x"] + one[31:]))
     assert not near_dedup.similar(text(one), text(one[30:] + one[:30]))
+
+
+def similar_classes(rows):
+    """Classes by brute force over pairs that share a five-word k-mer; for texts whose shared k-mers are in the same order."""
+    grams, parent, holders = {d: kmers(t) for d, t in rows}, {d: d for d, _ in rows}, defaultdict(list)
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for d in grams:
+        for g in grams[d]:
+            holders[g].append(d)
+    # A k-mer of very many texts is of the common passage; a pair at the threshold shares others too.
+    for a, b in {(x, y) for ds in holders.values() if len(ds) < 500 for x in ds for y in ds if x < y}:
+        shared = sum((grams[a] & grams[b]).values())
+        if shared >= 0.8 * (sum(grams[a].values()) + sum(grams[b].values()) - shared) - 1e-9:
+            parent[root(a)] = root(b)
+    wanted = defaultdict(set)
+    for d, _ in rows:
+        wanted[root(d)].add(d)
+    return {frozenset(x) for x in wanted.values()}
+
+
+def found_classes(spark, rows):
+    got = defaultdict(set)
+    for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["class_id"]].add(r["doc_id"])
+    return {frozenset(x) for x in got.values()}
+
+
+def test_pairs_inside_hot_buckets_are_found(spark):
+    """Texts share a passage of 85 % of their words, and each has one copy that shares little beside it."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(200)]
+    firsts = [[f"o{i}x{j}" for j in range(rng.randrange(33, 38))] for i in range(1000)]
+    copies = [[f"c{i}x{j}" for j in range(len(own) - 15)] + own[-15:] for i, own in enumerate(firsts)]
+    rng.shuffle(copies)
+    rows = [(d, " ".join(own + passage)) for d, own in enumerate(firsts + copies)]
+    wanted = similar_classes(rows)
+    assert len(wanted) < 1100 and found_classes(spark, rows) == wanted
