@@ -3,7 +3,9 @@
 Words are runs of letters and digits, A-Z lower-cased; a k-mer is SHINGLE consecutive words (a shorter text is one k-mer),
 labelled with how often it occurred before in its text. For each of BANDS hash functions the MINIMA smallest labelled k-mers
 are taken and kept in the order of the text; their combined hash is a bucket. Texts that share most of their k-mers in the
-same order meet in some bucket; a pair at the threshold is missed by all buckets with a chance of about 6 in 100,000.
+same order meet in some bucket; a pair at the threshold is missed by all buckets with a chance of about 6 in 100,000 for long
+texts and 2 in 10,000 for the shortest that are sketched. A text of up to SHORT k-mers, and any that can be similar to one, is in the
+buckets of its smallest k-mers, as many as it takes for a similar text to hold one of them among its own; so none of these is missed.
 
 Similarity is that of aligned k-mers: shared / (all of both - shared), where shared counts the k-mers within the runs of equal
 words in an alignment of least edits, inside the band of diagonals that the threshold allows. The multiset of
@@ -24,7 +26,6 @@ the most words, then the smallest doc_id stays; other columns are ignored here a
 from __future__ import annotations
 
 import hashlib
-import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -40,6 +41,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 MINIMA = 6
+SHORT = 30
 PAIRS_A_TASK = 256
 #: Texts whose k-mers are counted, and counted k-mers that are kept, for the order from rare to frequent; any order gives the same pairs.
 COUNTED_TEXTS, FREQUENT = 100_000, 1 << 17
@@ -79,24 +81,27 @@ def _labelled(kmers: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return tk.mix(kmers + nth * np.uint64(0xD1B54A32D192ED03))
 
 
-def sketch(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Bucket of each text (with words) for each band, as int64; a row of zeros for texts without words."""
+def _prefix(n, share: float):
+    """How many of n ordered k-mers must hold one in common with a text that shares that share of them."""
+    return n - np.ceil(share * n - 1e-6).astype(np.int64) + 1
+
+
+def sketch(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the texts, as int64, one text after another; and how many each text has, none if without words."""
     kmers, begins = _kmers(hashes, bounds)
     labelled = _labelled(kmers, begins)
     n = np.diff(begins)
     doc = np.repeat(np.arange(len(n)), n)
     chance = np.minimum(1.0, (MINIMA + 18) / np.maximum(n, 1))
     limit = np.where(chance >= 1, np.uint64((1 << 64) - 1), (chance * 2.0**63).astype(np.uint64) * np.uint64(2))[doc] if len(doc) else np.zeros(0, np.uint64)
-    wanted = np.minimum(n, MINIMA)
-    out = np.zeros((len(n), BANDS), np.int64)
+    wanted = np.where(n > SHORT, MINIMA, 0)
     full = np.flatnonzero(wanted)
-    if not len(full):
-        return out
-    starts = np.concatenate(([0], np.cumsum(wanted[full])[:-1]))
-    place = np.arange(wanted.sum()) - np.repeat(starts, wanted[full])
-    for band in range(BANDS):
+    bands = np.zeros((len(full), BANDS), np.int64)
+    sketched = (n > SHORT)[doc]
+    place = np.tile(np.arange(MINIMA), len(full))
+    for band in range(BANDS) if len(full) else ():
         value = (labelled ^ _SEEDS[band]) * _ODDS[band]
-        near = np.flatnonzero(value <= limit)
+        near = np.flatnonzero((value <= limit) & sketched)
         short = np.flatnonzero(np.bincount(doc[near], minlength=len(n)) < wanted)
         for d in short:  # too few below the limit: all of this text
             near = np.union1d(near, np.arange(begins[d], begins[d + 1]))
@@ -105,8 +110,15 @@ def sketch(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         rank = np.arange(len(near)) - np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(n)))))[owner[order]]
         chosen = np.sort(near[order[rank < MINIMA]])
         parts = labelled[chosen] * _PLACES[place]
-        out[full, band] = tk.mix(np.add.reduceat(parts, starts) + _SEEDS[band]).view(np.int64)
-    return out
+        bands[:, band] = tk.mix(parts.reshape(-1, MINIMA).sum(axis=1, dtype=np.uint64) + _SEEDS[band]).view(np.int64)
+    few = np.flatnonzero((n <= SHORT / SIMILARITY)[doc])
+    order = few[np.lexsort((labelled[few], doc[few]))]
+    counts = np.bincount(doc[few], minlength=len(n))
+    rank = np.arange(len(few)) - (np.cumsum(counts) - counts)[doc[order]]
+    least = order[rank < _prefix(n, SIMILARITY)[doc[order]]]
+    owner = np.concatenate((np.repeat(full, BANDS), doc[least]))
+    values = np.concatenate((bands.ravel(), labelled[least].view(np.int64)))
+    return values[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(n))
 
 
 def _next_mismatch(a: np.ndarray, b: np.ndarray, diagonal: int) -> list[int]:
@@ -205,9 +217,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             for part in tk.chunks(batch, "text"):
                 data, offsets = tk.text_bytes(part.column(3))
                 tokens = tk.tokenize(data, offsets, tk.WORDS, tk.FOLDED)
-                bands = sketch(tokens.hash, tokens.bounds)
+                values, many = sketch(tokens.hash, tokens.bounds)
                 n = np.diff(tokens.bounds)
-                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32), bands[n > 0].ravel())
+                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(many))).astype(np.int32), values)
                 full = [tokens.hash[a:b].tobytes() for a, b in zip(tokens.bounds[:-1], tokens.bounds[1:], strict=True)]
                 words = [tokens.hash[a:b].astype(np.uint32).tobytes() for a, b in zip(tokens.bounds[:-1], tokens.bounds[1:], strict=True)]
                 digests = pa.array([hashlib.blake2b(w, digest_size=16).digest() for w in full], pa.binary())
@@ -289,8 +301,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _buckets(texts: DataFrame, representatives: DataFrame) -> DataFrame:
     """(band, rid, n) of representatives in buckets of two or more."""
-    dealt = representatives.select("rid", "n_words", F.posexplode("bands").alias("nth", "value"))
-    dealt = dealt.select("rid", "n_words", F.xxhash64("nth", "value").alias("band"))
+    dealt = representatives.select("rid", "n_words", F.explode("bands").alias("band"))
     shared = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "n_words")).alias("first")).where("n > 1")
     return written(dealt.join(written(shared.select("band", "first"), "shared-buckets"), "band"), "buckets")
 
@@ -360,11 +371,6 @@ def _labelled_of(words: bytes) -> np.ndarray:
     return _labelled(kmers, np.array([0, len(kmers)]))
 
 
-def _prefix(n: int, share: float) -> int:
-    """How many of n ordered k-mers must hold one in common with a text that shares that share of them."""
-    return n - math.ceil(share * n - 1e-6) + 1
-
-
 def _exact_pairs(texts: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs (a, b) of different classes of held (rid, label) that can be similar; none that is at the threshold is left out.
 

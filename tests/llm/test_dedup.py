@@ -196,3 +196,17 @@ def test_pairs_inside_hot_buckets_are_found(spark):
     rows = [(d, " ".join(own + passage)) for d, own in enumerate(firsts + copies)]
     wanted = similar_classes(rows)
     assert len(wanted) < 1100 and found_classes(spark, rows) == wanted
+
+
+def test_short_texts_with_one_edit_are_found(spark):
+    """One word appended, removed and replaced at each place, for all lengths from 5 to 40 words."""
+    rows, n = [], 0
+    for size in range(5, 41):
+        for at in range(size):
+            for edit in range(3):
+                n += 1
+                base = [f"t{n}x{j}" for j in range(size)]
+                rows += [base, [base + ["more"], base[:at] + base[at + 1 :], base[:at] + ["other"] + base[at + 1 :]][edit]]
+    rows = [(d, " ".join(w)) for d, w in enumerate(rows)]
+    wanted = similar_classes(rows)
+    assert len(wanted) < len(rows) * 0.8 and found_classes(spark, rows) == wanted
