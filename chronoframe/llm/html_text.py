@@ -2,12 +2,13 @@
 
 A page is read into a tree; parts that are never article text (scripts, menus, forms, asides, elements whose class, id or
 role says advert, notice, sidebar, comments and the like) are left out. Every paragraph gives points for its
-length and its commas to its ancestors, less with the distance; an element's points are discounted by its link
-density. The best container is kept together with those of its siblings that read like text, and their blocks are put out
-in page order.
+length and its commas to its ancestors, less with the distance; so does every run of text and inline elements that stands directly
+in another block, up to a block or line break. An element's points are discounted by its link
+density. The best container is kept together with those of its siblings that read like text, and with what lies between
+these and is not mostly links; their blocks are put out in page order.
 
 Defined cases: null or empty html gives the empty text; broken markup is closed as browsers do for paragraphs, list
-items and table cells, and end tags without a start are ignored; a page without any scored paragraph gives the text of its
+items and table cells, and end tags without a start are ignored; a page without any scored text gives the text of its
 body; a null page_id or url is passed on; other columns are ignored.
 """
 
@@ -52,6 +53,13 @@ _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Break(str):
+    """The white space of a line break."""
+
+
+BREAK = Break(" ")
+
+
 class Node:
     __slots__ = ("tag", "parent", "level", "children", "score", "chars", "linked", "positive", "order")
 
@@ -121,7 +129,7 @@ def tree(page: str) -> Node:
                     break
             continue
         if tag in VOID:
-            open_nodes[-1].children.append(" " if tag in ("br", "wbr") else "")
+            open_nodes[-1].children.append(BREAK if tag == "br" else " " if tag == "wbr" else "")
             if tag == "hr":
                 open_nodes[-1].children.append(Node("hr", open_nodes[-1]))
             continue
@@ -191,19 +199,55 @@ def _commas(node: Node) -> int:
     return total
 
 
+def _runs(children: list, breaks: bool) -> list[list]:
+    """Children in runs of text and inline elements (that end at line breaks, too) and each block alone."""
+    out, run = [], []
+    for c in children:
+        block = isinstance(c, Node) and c.tag not in INLINE
+        if not block:
+            run.append(c)
+        if run and (block or breaks and isinstance(c, Break)):
+            out.append(run)
+            run = []
+        if block:
+            out.append([c])
+    return [*out, run] if run else out
+
+
+def _gathered(run: list) -> Node:
+    """A run as a measured node of its own."""
+    node = Node("div", None)
+    node.children = run
+    for c in run:
+        node.chars += len(_SPACE.sub(" ", c).strip()) if isinstance(c, str) else c.chars
+        node.linked += 0 if isinstance(c, str) else c.linked
+    return node
+
+
+def _give_points(part: Node, up: Node | None) -> None:
+    """The points of a paragraph or run for the element that holds it and those above."""
+    points, share = (1 + _commas(part) + min(part.chars / 100, 3)) * (1 - _density(part)), 1.0
+    for distance in range(4):
+        if up is None:
+            break
+        up.score += points * share
+        up, share = up.parent, 1 / (2 * (distance + 1))
+
+
 def best_containers(root: Node) -> list[Node]:
     nodes = _nodes(root)
     _measure(nodes)
     for node in nodes:
-        if node.tag not in PARAGRAPHS or not node.chars:
+        if not node.chars or node.tag in INLINE:
+            continue
+        if node.tag in PARAGRAPHS:
+            _give_points(node, node.parent)
             continue
-        points = (1 + _commas(node) + min(node.chars / 100, 3)) * (1 - _density(node))
-        up, share = node.parent, 1.0
-        for distance in range(4):
-            if up is None:
-                break
-            up.score += points * share
-            up, share = up.parent, 1 / (2 * (distance + 1))
+        for run in _runs(node.children, True):
+            if isinstance(run[0], str) or run[0].tag in INLINE:
+                part = _gathered(run)
+                if part.chars:
+                    _give_points(part, node)
     best, most = None, 0.0
     for node in nodes:
         if node.tag in PARAGRAPHS or node.tag in INLINE or not node.score:
@@ -217,15 +261,17 @@ def best_containers(root: Node) -> list[Node]:
         best = best.parent
     if best.parent is None:
         return [best]
-    kept = []
-    for other in best.parent.children:
-        if not isinstance(other, Node) or not other.chars:
+    parts = []
+    for run in _runs(best.parent.children, False):
+        bare = isinstance(run[0], str) or run[0].tag in INLINE
+        other = _gathered(run) if bare else run[0]
+        if not other.chars:
             continue
         value = (other.score + 25 * other.positive) * (1 - _density(other))
-        text = other.tag in PARAGRAPHS and _density(other) < 0.25 and (other.chars > 80 or other.tag in HEADINGS)
-        if other is best or value >= max(10, most / 5) or text:
-            kept.append(other)
-    return kept
+        text = (bare or other.tag in PARAGRAPHS) and _density(other) < 0.25 and (other.chars > 80 or other.tag in HEADINGS)
+        parts.append((other, other is best or value >= max(10, most / 5) or text))
+    kept = [at for at, (_, keep) in enumerate(parts) if keep]
+    return [other for other, keep in parts[kept[0] : kept[-1] + 1] if keep or _density(other) < 0.5]
 
 
 def blocks(container: Node) -> Iterator[str]:

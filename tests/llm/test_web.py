@@ -35,6 +35,19 @@ def test_names_for_and_against(attributes, kept):
     assert ("This, is" in html_text.main_text(page)) == kept
 
 
+LONG = "This is a sentence of the article, with commas, and it goes on for a while so that it is long."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div class=c1>{LONG}<br><br>{LONG} <b>Bold</b> end.<br><br>{LONG}</div><div><p>short note</p></div>", f"{LONG} {LONG} Bold end. {LONG}"),
+    (f"<section>{LONG}<br>{LONG}<br>{LONG}<br>{LONG}</section><div><p>note</p></div>", " ".join([LONG] * 4)),
+    ("<div><div>" + f"<p>{LONG}</p>" * 9 + f"</div><p>Short.</p><ul><li>one<li>two</ul>bare <i>text</i><table><tr><td>cell</table><p><a href=x>only a link</a></p><div>" + f"<p>{LONG}</p>" * 4 + "</div><p>After.</p></div>",
+     "\n".join([LONG] * 9 + ["Short.", "one", "two", "bare text", "cell"] + [LONG] * 4)),
+])
+def test_text_outside_paragraphs_and_short_siblings(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 20000 + "<p>deep, text</p>") == "deep, text"
     body = "<p>" + "word, " * 200_000 + "</p>"
