@@ -66,6 +66,26 @@ def test_predictive_probabilities_add_up_to_one(spark):
     assert sums[seen] + back[seen] == pytest.approx(np.ones(seen.sum()))
 
 
+def test_each_sample_is_scored_with_its_own_totals(spark, monkeypatch):
+    words = ["a b a c a b d", "a b b e f", "g a b a a", None, "c d c d c d"]
+    owned, _, placement = lm.deal(spark.createDataFrame([(i, words[i % 5]) for i in range(60)], "doc_id long, text string"))
+    corpus, totals = lm.train(owned, placement)
+    seen, predictive = [], lm.Owner.predictive
+
+    def kept(owner, corpus, state):
+        seen[-1].append((np.bincount(owner.context, owner.tables, lm.CONTEXTS), owner.tables.sum(), state))
+        return predictive(owner, corpus, state)
+
+    monkeypatch.setattr(lm.Owner, "predictive", kept)
+    for r in owned.collect():
+        seen.append([])
+        list(lm.score_owner(lm.Owner(r["p"], bytes(r["data"]), placement), corpus, totals))
+    for sample in zip(*seen, strict=True):
+        state = sample[0][2]
+        assert sum(tables for tables, _, _ in sample).tolist() == state.tables.tolist()
+        assert sum(n for _, n, _ in sample) == state.root_customers
+
+
 def test_seating_has_the_expected_tables():
     rng = np.random.default_rng(1)
     for c, w, d in ((5, 0.7, 0.3), (200, 2.0, 0.5)):
