@@ -7,9 +7,10 @@ in another block, up to a block or line break. An element's points are discounte
 density. The best container is kept together with those of its siblings that read like text, and with what lies between
 these and is not mostly links; their blocks are put out in page order.
 
-Defined cases: null or empty html gives the empty text; broken markup is closed as browsers do for paragraphs, list
-items and table cells, and end tags without a start are ignored; a page without any scored text gives the text of its
-body; a null page_id or url is passed on; other columns are ignored.
+Defined cases: null or empty html gives the empty text; elements whose end tags may be left out (paragraphs, items, cells, rows,
+head and body) end as in browsers, inside the parts that are left out as well; end tags without a start are ignored;
+character references are decoded text by text; form controls go without splitting the line they stand in; a page without any scored
+text gives the text of its body; a null page_id or url is passed on; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +24,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.llm import textkernel as tk
 from chronoframe.llm.common import small_batches
 
 # Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea title select option canvas audio video".split())
-DROPPED = frozenset("nav footer aside form button dialog menu head label".split()) | RAW
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style iframe textarea title".split())
+DROPPED = frozenset("nav footer aside form button dialog menu noscript template object select datalist canvas audio video annotation".split()) | RAW
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup svg "
+    "time tt u var button select datalist textarea object canvas audio video iframe script style template annotation".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre blockquote td dd li figcaption".split()) | HEADINGS
-SAME_CLOSES = frozenset("li dt dd tr td th option p".split())
+BLOCK = PARAGRAPHS | frozenset(
+    "address article aside body caption center details dialog dir div dl dt fieldset figure footer form header hgroup hr legend main menu nav ol "
+    "search section summary table tbody tfoot th thead tr ul".split()
+)
+CELLS, GROUPS, TABLE = frozenset("td th".split()), frozenset("tbody thead tfoot".split()), frozenset(["table"])
+LISTED = frozenset("address div p li dt dd".split())
+# What the start of an element ends (the nearest such element), and what keeps it from being looked for further up.
+ENDS = {
+    "li": (frozenset(["li"]), BLOCK - LISTED), "dt": (frozenset("dt dd".split()), BLOCK - LISTED), "dd": (frozenset("dt dd".split()), BLOCK - LISTED),
+    "td": (CELLS, TABLE | {"tr"}), "th": (CELLS, TABLE | {"tr"}), "tr": (frozenset(["tr"]), TABLE),
+    "tbody": (GROUPS, TABLE), "thead": (GROUPS, TABLE), "tfoot": (GROUPS, TABLE),
+}
+IN_TABLES = CELLS | GROUPS | TABLE | frozenset("tr caption".split())
 # Words of class, id and role that mark what is not article text.
 NEGATIVE = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie "
@@ -46,7 +63,12 @@ POSITIVE = frozenset("article body content entry main page post story text".spli
 STRONG = frozenset("ad ads advert advertisement comment comments".split())
 NEGATING = frozenset("with has no without".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+# A quote in a tag counts after an equals sign only; a comment may be empty or end in --!>.
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|$)",
+    re.S,
+)
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -61,12 +83,13 @@ BREAK = Break(" ")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "level", "children", "score", "chars", "linked", "positive", "order")
+    __slots__ = ("tag", "parent", "block", "dropped", "children", "score", "chars", "linked", "positive")
 
-    def __init__(self, tag: str, parent: Node | None, positive: bool = False):
-        self.tag, self.parent, self.positive = tag, parent, positive
+    def __init__(self, tag: str, parent: Node | None, positive: bool = False, dropped: bool = False):
+        self.tag, self.parent, self.positive, self.dropped = tag, parent, positive, dropped
+        # An element of no known name is a block where blocks may stand.
+        self.block = tag in BLOCK or tag not in INLINE and (parent is None or parent.block and parent.tag not in PARAGRAPHS)
         self.children: list = []  # nodes and, for text, strings
-        self.level = parent.level + 1 if parent else 0
         self.score = 0.0
         self.chars = self.linked = 0
 
@@ -87,7 +110,7 @@ def _judged(attributes: str) -> tuple[bool, bool]:
 
 
 def tree(page: str) -> Node:
-    """The page without the parts that are never text. Linear in the page's length."""
+    """The page without the parts that are never text, which are read like others but hang on nothing."""
     root = Node("body", None)
     open_nodes, at = [root], 0
     opened: Counter[str] = Counter()
@@ -96,71 +119,68 @@ def tree(page: str) -> Node:
         opened.subtract(n.tag for n in open_nodes[up:])
         del open_nodes[up:]
 
-    skipping: list[str] = []  # open elements inside a part that is left out
+    def end(names, stops) -> None:
+        """Close the nearest open element of these names, if none of the others lies above it."""
+        if any(opened[name] for name in names):
+            for up in range(len(open_nodes) - 1, 0, -1):
+                if open_nodes[up].tag in names:
+                    return close(up)
+                if open_nodes[up].tag in stops:
+                    return None
+        return None
+
     while at < len(page):
         found = _TOKEN.search(page, at)
         text = page[at : found.start()] if found else page[at:]
-        if text and not skipping:
-            open_nodes[-1].children.append(text)
+        if text and not open_nodes[-1].dropped:
+            open_nodes[-1].children.append(html.unescape(text))
         if not found:
             break
         at = found.end()
-        if found[1] and not skipping:
-            open_nodes[-1].children.append(html.escape(found[1]))
+        if found[1] and not open_nodes[-1].dropped:
+            open_nodes[-1].children.append(found[1])
         if not found[3]:
             continue
         tag, closing, attributes = found[3].lower(), bool(found[2]), found[4]
-        if tag in ("html", "body"):
-            continue
-        if skipping:
-            if closing:
-                if tag in skipping:
-                    while skipping.pop() != tag:
-                        pass
-            elif tag not in VOID and tag == skipping[0] and not attributes.endswith("/"):
-                skipping.append(tag)
+        if tag in ("html", "head", "body"):
             continue
         if closing:
-            for up in range(len(open_nodes) - 1, 0, -1) if opened[tag] else ():
-                if open_nodes[up].tag == tag:
-                    close(up)
-                    break
-                if tag in INLINE and open_nodes[up].tag not in INLINE:
-                    break
+            inner = BLOCK - {tag} if tag not in BLOCK or tag == "p" else frozenset(["ul", "ol"]) | IN_TABLES if tag == "li" else TABLE if tag in IN_TABLES else IN_TABLES
+            end((tag,), inner - {tag})
             continue
+        top = open_nodes[-1]
         if tag in VOID:
-            open_nodes[-1].children.append(BREAK if tag == "br" else " " if tag == "wbr" else "")
+            top.children.append(BREAK if tag == "br" else " " if tag == "wbr" else "")
             if tag == "hr":
+                end(("p",), BLOCK)
                 open_nodes[-1].children.append(Node("hr", open_nodes[-1]))
             continue
-        negative, positive = _judged(attributes) if attributes else (False, False)
-        negative = negative and tag not in ("article", "main")
-        if tag in DROPPED or negative or tag == "header" and not opened["article"] and not opened["main"]:
-            if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}[\s>/]|</{re.escape(tag)}$", re.I).search(page, at)
-                at = stop.start() if stop else len(page)
-                if stop:
-                    end = page.find(">", at)
-                    at = end + 1 if end >= 0 else len(page)
-            elif not attributes.endswith("/"):
-                skipping = [tag]
-            if tag not in INLINE:
-                open_nodes[-1].children.append(Node("hr", open_nodes[-1]))
-            continue
-        if tag not in INLINE:
-            # A block ends an open paragraph, and a cell or item its like.
-            for up in range(len(open_nodes) - 1, 0, -1):
-                name = open_nodes[up].tag
-                if name == "p" or name == tag and tag in SAME_CLOSES:
-                    close(up)
-                    break
-                if name not in INLINE:
-                    break
-        node = Node(tag, open_nodes[-1], positive or tag in ("article", "main"))
-        open_nodes[-1].children.append(node)
-        if not attributes.endswith("/") or tag in INLINE or tag in PARAGRAPHS:
+        if tag in BLOCK:
+            if tag not in IN_TABLES or tag == "table":
+                end(("p",), BLOCK - {"p"})
+            if tag in ENDS:
+                end(*ENDS[tag])
+            top = open_nodes[-1]
+        if not top.dropped:
+            negative, positive = _judged(attributes) if attributes else (False, False)
+            negative = negative and tag not in ("article", "main")
+            dropped = tag in DROPPED or negative or tag == "header" and not opened["article"] and not opened["main"]
+        else:
+            dropped, positive = True, False
+        node = Node(tag, top, positive or tag in ("article", "main"), dropped)
+        if tag in RAW:
+            stop = re.compile(rf"</{tag}(?=[\s>/]|$)", re.I).search(page, at)
+            at = stop.start() if stop else len(page)
+            if stop:
+                last = page.find(">", at)
+                at = last + 1 if last >= 0 else len(page)
+        elif not attributes.endswith("/") or tag in PARAGRAPHS or tag in INLINE and tag not in DROPPED:
             open_nodes.append(node)
             opened[tag] += 1
+        if not dropped:
+            top.children.append(node)
+        elif node.block and not top.dropped:
+            top.children.append(Node("hr", top))
     return root
 
 
@@ -194,7 +214,7 @@ def _commas(node: Node) -> int:
         for c in rest.pop().children:
             if isinstance(c, str):
                 total += c.count(",") + c.count("，") + c.count("、")
-            elif c.tag in INLINE:
+            elif not c.block:
                 rest.append(c)
     return total
 
@@ -203,7 +223,7 @@ def _runs(children: list, breaks: bool) -> list[list]:
     """Children in runs of text and inline elements (that end at line breaks, too) and each block alone."""
     out, run = [], []
     for c in children:
-        block = isinstance(c, Node) and c.tag not in INLINE
+        block = isinstance(c, Node) and c.block
         if not block:
             run.append(c)
         if run and (block or breaks and isinstance(c, Break)):
@@ -238,32 +258,34 @@ def best_containers(root: Node) -> list[Node]:
     nodes = _nodes(root)
     _measure(nodes)
     for node in nodes:
-        if not node.chars or node.tag in INLINE:
+        if not node.chars or not node.block:
             continue
         if node.tag in PARAGRAPHS:
             _give_points(node, node.parent)
             continue
         for run in _runs(node.children, True):
-            if isinstance(run[0], str) or run[0].tag in INLINE:
+            if isinstance(run[0], str) or not run[0].block:
                 part = _gathered(run)
                 if part.chars:
                     _give_points(part, node)
     best, most = None, 0.0
     for node in nodes:
-        if node.tag in PARAGRAPHS or node.tag in INLINE or not node.score:
+        if node.tag in PARAGRAPHS or not node.block or not node.score:
             continue
         value = (node.score + 25 * node.positive) * (1 - _density(node))
         if value > most:
             best, most = node, value
     if best is None:
         return [root]
+    while best.tag in IN_TABLES - TABLE and best.parent is not None:  # the whole table, not its longest row
+        best = best.parent
     while best.parent is not None and best.tag in ("section", "ul", "ol", "table", "tbody", "tr", "div") and best.parent.positive:
         best = best.parent
     if best.parent is None:
         return [best]
     parts = []
     for run in _runs(best.parent.children, False):
-        bare = isinstance(run[0], str) or run[0].tag in INLINE
+        bare = isinstance(run[0], str) or not run[0].block
         other = _gathered(run) if bare else run[0]
         if not other.chars:
             continue
@@ -281,7 +303,7 @@ def blocks(container: Node) -> Iterator[str]:
     closes: list[bool] = [False]
 
     def flush():
-        text = _SPACE.sub(" ", html.unescape("".join(line))).strip()
+        text = _SPACE.sub(" ", "".join(line)).strip()
         line.clear()
         return text
 
@@ -294,7 +316,7 @@ def blocks(container: Node) -> Iterator[str]:
         elif isinstance(item, str):
             line.append(item)
         else:
-            block = item.tag not in INLINE
+            block = item.block
             if block and (text := flush()):
                 yield text
             stack.append(iter(item.children))
@@ -317,8 +339,9 @@ def extract(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page) for page in batch.column(2).to_pylist()]
-            arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, [id_column, "url", "text", "n_chars"])
+            for part in tk.chunks(batch, "html"):
+                texts = [main_text(page) for page in part.column(2).to_pylist()]
+                arrays = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, [id_column, "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"`{id_column}` {kind}, url string, text string, n_chars long")

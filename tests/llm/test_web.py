@@ -26,6 +26,25 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>x</title><body><p>Hello, world, of a head without end</p>", "Hello, world, of a head without end"),
+    ("<head><meta charset=utf-8><title>no</title><p>Body, starts here</p>", "Body, starts here"),
+    ("<p class=notice>We warn<p>Real, text here.</p><p>More, of it</p>", "Real, text here.\nMore, of it"),
+    ('<ul><li class="ad">x<li>real, one<li>real, two</ul><p>tail, text</p>', "real, one\nreal, two\ntail, text"),
+    ("<!--><p>a, b</p><!-- c --!><p>c, d</p><!--->", "a, b\nc, d"),
+    ("<p>Formula, <math><mi>x</mi><mo>=</mo></math> holds, <svg><title>no</title><path d=1 /></svg>yes.</p>", "Formula, x= holds, yes."),
+    ("<p>A <label>label</label>, and <select><option>no<option>no</select>more <button>no</button>text</p>", "A label, and more text"),
+    ("<p data-x=it's>One, it is</p><p title='a > b'>two, text</p>", "One, it is\ntwo, text"),
+    ("<table><tr><td>a, b<td>c, d<tr class=ad><td>x, y<tr><td>e, f</table><p>g, h, i</p>", "a, b\nc, d\ne, f\ng, h, i"),
+    ("<dl><dt>t<dd>d, e<dt>u<dd>v, w</dl>", "t\nd, e\nu\nv, w"),
+    ("<ul><li><p>one, two<li><p>three, four</ul>", "one, two\nthree, four"),
+    ("<aside><p>no<div>no</aside><p>yes, this</p>", "yes, this"),
+    ("<p>a, &am<b>p;</b> &lt;b&gt;</p>", "a, &amp; <b>"),
+])
+def test_tags_left_out_and_odd_markup(page, text):
+    assert html_text.main_text(page) == text
+
+
 @pytest.mark.parametrize("attributes, kept", [
     ('class="main-content with-sidebar"', True), ('class="sidebar-content"', False), ('class="content ad"', False), ('id=comment-7', False),
     ("class='post-body'", True), ("hidden", False), ('style="display: none"', False), ('class="overflow-hidden"', True), ('class="downloads"', True), ('role="navigation"', False),
@@ -50,6 +69,9 @@ def test_text_outside_paragraphs_and_short_siblings(page, text):
 
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 20000 + "<p>deep, text</p>") == "deep, text"
+    many = "".join(f"<p>Paragraph {i}, of a long page, <i>with</i> items<ul><li>one<li>two</ul>" for i in range(20_000))
+    assert html_text.main_text(f"<main>{many}</main>").count("\n") == 3 * 20_000 - 1
+    assert html_text.main_text("<div class=ad>" * 20000 + "</div>" * 20000 + "<p>kept, text</p>") == "kept, text"
     body = "<p>" + "word, " * 200_000 + "</p>"
     assert len(html_text.main_text(f"<article>{body}</article>")) > 1_000_000
 
