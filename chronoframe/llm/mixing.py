@@ -1,15 +1,17 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame functions only.
 
 A source's target divided by its size is the number of copies expected of each of its documents. The documents of a
-source stand in one order (class of size, then md5 of the id), expected copies are prefix-summed along it, one random
-offset is added, and a document is emitted once for each integer that its step crosses.
+source stand in one order (class of size, then md5 of id and text, then a hash of the whole row), expected copies are prefix-summed
+along it, one random offset is added, and a document is emitted once for each integer that its step crosses. Rows that tie in
+all of that are equal, so it does not matter which of them comes first.
 
 The rank in that order comes from two levels: counts of (source, class of size, first hex digits of the md5), prefix-
 summed per source over a bounded number of such buckets, and a row number within the bucket; so no task sees a
 whole source. Nothing depends on how rows are partitioned, and reruns agree.
 
-Defined cases: a null text has size 0, a null id counts as the empty text in the order, a null source is a source of its
-own and the last; with all sizes 0 every target is 0; repeated rows are documents of their own.
+Defined cases: a null text has size 0, a null id or text counts as empty in the order, a null source is a source of its
+own and the last; with all sizes 0 every target is 0; repeated rows and rows of one id are documents of their own, dealt by
+their texts; rows equal in id and text are one bucket's work.
 """
 
 from __future__ import annotations
@@ -33,8 +35,15 @@ def _size_class(size):
     return F.when(size < 16, size).otherwise(F.floor(F.log2(size.cast("double")) * 8.0 + 1e-9)).cast("long")
 
 
-def _order(id_column):
-    return F.md5(F.encode(F.coalesce(id_column.cast("string"), F.lit("")), "UTF-8"))
+def place(id_column, text):
+    """Where a document stands among those of its class of size."""
+    both = F.concat(F.coalesce(id_column.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.md5(F.encode(both, "UTF-8"))
+
+
+def _row_hash(docs: DataFrame):
+    """A hash of all columns that Spark can hash."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -69,15 +78,18 @@ def offset(source, seed: str = SEED):
     return (F.conv(F.substring(digest, 1, 3), 16, 10).cast("double") + 0.5) / 4096.0
 
 
-def with_copies(docs: DataFrame, id_column: str = "doc_id", sized: DataFrame | None = None) -> DataFrame:
-    """All columns of docs in the struct `row`, with size, source_size, target and copies.
+def with_copies(docs: DataFrame | None, id_column: str = "doc_id", sized: DataFrame | None = None) -> DataFrame:
+    """All columns of docs (of sized its id) in the struct `row`, with size, source_size, target and copies.
 
-    docs is read twice, for the counts and for the rows; sized (source, size, id) may stand in for the first reading.
+    docs is read twice, for the counts and for the rows; sized (source, size, place, id) may stand in for both readings.
     """
-    def keyed(df: DataFrame, size) -> list:
-        return [F.col("source").cast("string").alias("source"), size.alias("size"), _order(F.col(id_column)).alias("place")]
-
-    sized = docs.select(*keyed(docs, word_count(F.col("text")))) if sized is None else sized.select(*keyed(sized, F.col("size")))
+    if sized is not None:
+        rows = sized.select(F.struct(id_column).alias("row"), F.lit(0).alias("tie"), F.col("source").cast("string").alias("source"), "size", "place")
+    else:
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        size, at = word_count(F.col("text")).alias("size"), place(F.col(id_column), F.col("text")).alias("place")
+        rows = docs.select(whole, _row_hash(docs).alias("tie"), F.col("source").cast("string").alias("source"), size, at)
+    sized = rows.select("source", "size", "place")
     bucket = [_size_class(F.col("size")).alias("class"), F.substring("place", 1, BUCKET_DIGITS).alias("digits")]
     counts = sized.select("source", "size", *bucket).groupBy("source", "class", "digits").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")
@@ -88,14 +100,14 @@ def with_copies(docs: DataFrame, id_column: str = "doc_id", sized: DataFrame | N
     steps = starts.alias("b").join(sources.alias("s"), F.expr("b.source <=> s.source")).select(
         F.col("b.source").alias("_source"), F.col("class").alias("_class"), F.col("digits").alias("_digits"), "ahead", "source_size", "target"
     )
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keyed(docs, F.col("size") if "size" in docs.columns and "text" not in docs.columns else word_count(F.col("text"))))
     rows = rows.select("*", *bucket)
-    within = Window.partitionBy("source", "class", "digits").orderBy("place")
+    within = Window.partitionBy("source", "class", "digits").orderBy("place", "tie")
     rows = rows.withColumn("nth", F.row_number().over(within))
     found = rows.join(steps, F.expr("source <=> _source and class = _class and digits = _digits"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank, shift = F.col("ahead") + F.col("nth"), offset(F.col("source"))
     copies = F.floor(rate * rank + shift) - F.floor(rate * (rank - 1) + shift)
+    # A rate is at most the ceiling, so a step crosses no more integers than that; this only keeps rounding from adding one.
     return found.select("row", "size", "source_size", "target", F.least(copies, F.lit(int(CEILING))).cast("long").alias("copies"))
 
 
@@ -108,7 +120,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-                  md5(coalesce(cast(doc_id as varchar), '')) as place from documents),
+                  md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) as place from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 w as (select *, [5.0, 2.0, 1.0][1 + (row_number() over (order by source is null, source) - 1) % 3]::double as weight from s),
 r as (select *, source_size * 2.0::double as most, row_number() over (order by source_size * 2.0::double / weight, source is null, source) as nth from w),

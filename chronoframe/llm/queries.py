@@ -16,8 +16,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = written(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "document-sizes")
-    drawn = mixing.with_copies(sized, sized=sized)
+    place = mixing.place(F.col("doc_id"), F.col("text"))
+    sized = written(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), place.alias("place")), "document-sizes")
+    drawn = mixing.with_copies(None, sized=sized)
     return drawn.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from chronoframe.llm import mixing
 
@@ -34,12 +35,29 @@ def test_mix(spark):
     assert len(drawn) == len(rows) and {r["copies"] for r in drawn} <= {0, 1, 2}
     by = {}
     for r in drawn:
-        by.setdefault((r["row"]["source"], r["source_size"], r["target"]), []).append(r["size"] * r["copies"])
-    for (source, _, target), taken in by.items():
-        assert sum(taken) == pytest.approx(target, rel=0.05) or source == "s2"
+        by.setdefault((r["row"]["source"], r["source_size"], r["target"]), []).append((r["size"], r["size"] * r["copies"]))
+    for (_, _, target), sizes in by.items():
+        # A source may miss its target by its largest document, of which only whole copies can be taken.
+        assert abs(sum(taken for _, taken in sizes) - target) <= max(0.05 * target, max(size for size, _ in sizes))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in drawn)
     again = mixing.with_copies(docs.repartition(7)).collect()
     key = lambda r: (str(r["row"]), r["copies"])
     assert sorted(map(key, drawn)) == sorted(map(key, again))
     assert mixing.mix(docs.where("false")).count() == 0
+
+
+def test_reruns_agree_where_ids_repeat(spark):
+    rows = [(None if i % 3 else 7, "w " * (i % 20) + "x" * (i % 5), f"s{i % 2}", i % 4, {"a": i % 2}) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int, m map<string,int>")
+    drawn = [sorted(str((r["row"], r["copies"])) for r in mixing.with_copies(d).collect()) for d in (docs, docs.repartition(5), docs.repartition(3, "other"), docs.orderBy(F.rand(3)))]
+    assert drawn[0] == drawn[1] == drawn[2] == drawn[3]
+    # The buckets of one id are as many as of different ones.
+    assert docs.select(F.substring(mixing.place(F.col("doc_id"), F.col("text")), 1, 2).alias("d")).distinct().count() > 30
+
+
+def test_no_step_crosses_more_integers_than_the_ceiling(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CEILING", 2.0)
+    monkeypatch.setattr(mixing.F, "least", lambda copies, _: copies)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert mixing.with_copies(docs).agg(F.max("copies")).first()[0] == 2
