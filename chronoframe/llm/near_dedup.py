@@ -7,9 +7,10 @@ same order meet in some bucket; a pair at the threshold is missed by all buckets
 texts and 2 in 10,000 for the shortest that are sketched. A text of up to SHORT k-mers, and any that can be similar to one, is in the
 buckets of its smallest k-mers, as many as it takes for a similar text to hold one of them among its own; so none of these is missed.
 
-Similarity is that of aligned k-mers: shared / (all of both - shared), where shared counts the k-mers within the runs of equal
-words in an alignment of least edits, inside the band of diagonals that the threshold allows. The multiset of
-k-mers bounds it from above and spares the alignment of most wrong candidates.
+Similarity is that of aligned k-mers: shared / (all of both - shared), where shared is the most k-mers that both texts hold in one
+order, found inside the band of diagonals that the threshold allows. The multiset of k-mers bounds it from above and spares the
+alignment of most wrong candidates. Its memory is linear in the lengths; words are compared by 32 bits of their hashes, so that two
+different words of a pair count as equal once in four thousand million.
 
 Texts of equal words are one representative first. In each bucket all are held against the bucket's first member; classes
 are the connected components of verified pairs. Then, until no untried pair or no new link is left, where classes meet in a
@@ -43,6 +44,8 @@ BANDS = 32
 MINIMA = 6
 SHORT = 30
 PAIRS_A_TASK = 256
+#: Matching places for each k-mer from which an alignment goes by rows of bits.
+MANY_MATCHES = 16
 #: Texts whose k-mers are counted, and counted k-mers that are kept, for the order from rare to frequent; any order gives the same pairs.
 COUNTED_TEXTS, FREQUENT = 100_000, 1 << 17
 
@@ -121,54 +124,59 @@ def sketch(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(n))
 
 
-def _next_mismatch(a: np.ndarray, b: np.ndarray, diagonal: int) -> list[int]:
-    """Positions in a at which a[x] differs from b[x + diagonal], and the first beyond the overlap."""
-    low, high = max(0, -diagonal), min(len(a), len(b) - diagonal)
-    found = (np.flatnonzero(a[low:high] != b[low + diagonal : high + diagonal]) + low).tolist() if high > low else []
-    found.append(max(low, high))
-    return found
+def aligned(a: np.ndarray, b: np.ndarray, slack: int) -> int:
+    """The most k-mers that the sequences a and b hold in one order, if they leave at most `slack` of both unmatched; else it may be less.
 
-
-def alignment(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int]] | None:
-    """Runs (start in a, length) of equal words in an alignment of least edits (replace, insert, delete), if at most `most`.
-
-    For each number of edits the furthest point on each diagonal of the band is kept (and where its run began).
+    Places i and j can only be matched if what their shift leaves unmatched before and after is within the slack: the band.
+    Memory is linear in the lengths. Few matches are threaded one by one along the least ends of common sequences; with many (of repetitive
+    texts) a row of the alignment is one long number, whose bits change in a few operations.
     """
-    if abs(len(a) - len(b)) > most:
-        return None
-    goal, cache = len(b) - len(a), {}
-    steps: list[dict[int, tuple[int, int, int]]] = []
-    for edits in range(most + 1):
-        now: dict[int, tuple[int, int, int]] = {}
-        before = steps[-1] if steps else {}
-        left = most - edits
-        for k in range(max(-edits, goal - left), min(edits, goal + left) + 1):
-            if edits:
-                x, origin = max(
-                    (before[k][1] + 1, k) if k in before else (-1, k),
-                    (before[k + 1][1] + 1, k + 1) if k + 1 in before else (-1, k),
-                    (before[k - 1][1], k - 1) if k - 1 in before else (-1, k),
-                )
-            else:
-                x, origin = 0, 0
-            x = min(x, len(a), len(b) - k)
-            if x < 0 or x + k < 0:
-                continue
-            if k not in cache:
-                cache[k] = _next_mismatch(a, b, k)
-            stops = cache[k]
-            found = bisect_left(stops, x)
-            end = max(x, stops[found]) if found < len(stops) else x
-            now[k] = (x, end, origin)
-        steps.append(now)
-        if goal in now and now[goal][1] >= len(a):
-            runs, k = [], goal
-            for step in reversed(steps):
-                begin, end, origin = step[k]
-                runs.append((begin, end - begin))
-                k = origin
-            return runs[::-1]
-    return None
+    size = min(len(a), len(b))
+    same = a[:size] == b[:size]
+    front = size if same.all() else int(np.argmin(same))
+    a, b, size = a[front:], b[front:], size - front
+    same = a[len(a) - size :][::-1] == b[len(b) - size :][::-1]
+    back = size if same.all() else int(np.argmin(same))
+    a, b = a[: len(a) - back], b[: len(b) - back]
+    if not len(a) or not len(b):
+        return front + back
+    order = np.argsort(b, kind="stable")
+    ordered = b[order]
+    low, high = np.searchsorted(ordered, a), np.searchsorted(ordered, a, "right")
+    if (high - low).sum() > MANY_MATCHES * (len(a) + len(b)):
+        return front + back + _aligned_bits(a, b)
+    shift, ends, places = len(a) - len(b), [], order.tolist()
+    for i in np.flatnonzero(high > low).tolist():
+        for j in reversed(places[low[i] : high[i]]):
+            if abs(i - j) + abs(shift - (i - j)) <= slack:
+                at = bisect_left(ends, j)
+                ends[at : at + 1] = [j]
+    return front + back + len(ends)
+
+
+def _aligned_bits(a: np.ndarray, b: np.ndarray) -> int:
+    """The length of the longest common sequence: a row has a bit for each place of a, which is 0 where the length grows."""
+    n = len(a)
+    order = np.argsort(a, kind="stable")
+    ordered = a[order]
+    low, high = np.searchsorted(ordered, b).tolist(), np.searchsorted(ordered, b, "right").tolist()
+    kept: dict[int, int] = {}  # masks of k-mers that have over 1/64 of all places, so at most 64
+    full = (1 << n) - 1
+    row = full
+    for begin, end in zip(low, high, strict=True):
+        if begin == end:
+            continue
+        mask = kept.get(begin)
+        if mask is None:
+            bits = bytearray(n // 8 + 1)
+            for at in order[begin:end].tolist():
+                bits[at >> 3] |= 1 << (at & 7)
+            mask = int.from_bytes(bits, "little")
+            if 64 * (end - begin) > n:
+                kept[begin] = mask
+        met = row & mask
+        row = ((row + met) | (row - met)) & full
+    return n - row.bit_count()
 
 
 def _grams_of(words: np.ndarray) -> np.ndarray:
@@ -177,9 +185,10 @@ def _grams_of(words: np.ndarray) -> np.ndarray:
 
 class Text:
     def __init__(self, data: bytes):
-        self.words = np.frombuffer(data, np.uint32)
-        self.kmers, self.counts = np.unique(_grams_of(self.words), return_counts=True) if len(self.words) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.n = int(self.counts.sum())
+        words = np.frombuffer(data, np.uint32)
+        self.ordered = _grams_of(words) if len(words) else np.zeros(0, np.uint64)
+        self.kmers, self.counts = np.unique(self.ordered, return_counts=True)
+        self.n = len(self.ordered)
 
 
 def similar(one: Text, other: Text, threshold: float = SIMILARITY) -> bool:
@@ -191,15 +200,7 @@ def similar(one: Text, other: Text, threshold: float = SIMILARITY) -> bool:
     _, i, j = np.intersect1d(one.kmers, other.kmers, assume_unique=True, return_indices=True)
     if np.minimum(one.counts[i], other.counts[j]).sum() < needed:
         return False
-    a, b = one.words, other.words
-    if len(a) == len(b) and (a == b).all():
-        return True
-    size = min(len(a), len(b))
-    if size < SHINGLE:
-        return False
-    # Each edit costs at least one k-mer of one of the texts.
-    runs = alignment(a, b, int(total - 2 * needed) + 1)
-    return runs is not None and sum(max(0, length - SHINGLE + 1) for _, length in runs) >= needed
+    return aligned(one.ordered, other.ordered, int(total - 2 * needed)) >= needed
 
 
 SKETCH_DDL = "rid long, doc_id {id}, mark long, n_words long, digest binary, bands array<long>, words binary"
