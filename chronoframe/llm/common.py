@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = "1000"
+BATCH_ROWS, BATCH_BYTES = "1000", str(16 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that the cluster shares: spark.checkpoint.dir; where that is unset, one of this machine if all of Spark runs here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-#: Folders that written() has made and release() has not deleted.
-made: list[str] = []
+#: Folders made by the run at hand and not deleted yet; outside of runs those of all.
+_made: ContextVar[list[str]] = ContextVar("made", default=[])  # noqa: B039
+
+
+@contextlib.contextmanager
+def tables_of_a_run(spark: SparkSession) -> Iterator[None]:
+    """Folders made within belong to this run alone; if it fails, all of them are deleted."""
+    mine = _made.set([])
+    try:
+        yield
+    except BaseException:
+        release(spark, [])
+        raise
+    finally:
+        _made.reset(mine)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, which release() deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.get().append(path)
+    return path
+
+
+def made() -> list[str]:
+    return list(_made.get())
 
 
 #: Writer options of tables whose values are compressed already and large.
@@ -31,18 +60,17 @@ PACKED = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    made.append(path)
+    path = new_folder(spark, name)
     df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession, keep: list[str]) -> None:
-    """Delete the tables written so far but for those to keep; what was derived from them must have been written by then."""
-    for folder in [x for x in made if x not in keep]:
+    """Delete the folders made so far but for those to keep; what was derived from them must have been written by then."""
+    for folder in [x for x in _made.get() if x not in keep]:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        made.remove(folder)
+        _made.get().remove(folder)
 
 
 def sized(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
@@ -52,8 +80,9 @@ def sized(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of one Arrow batch, since single texts may be long."""
+    """Bound the rows and bytes of one Arrow batch, since single texts may be long. The setting stays, as results are computed later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def fold(column: str, buckets: int):

@@ -10,7 +10,7 @@ Of records with equal payloads (by SHA-256) of at least MIN_REVISIT bytes the on
 response and carries the payload, the others are revisits that refer to it.
 
 Defined cases: null html is an empty payload, a null url an empty target; repeated rows of the smallest page_id are all
-responses; a null page_id never wins against a number; other columns are ignored.
+responses; a page_id that is null or no whole number is null and never wins against a number; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +26,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import shared_dir, small_batches, written
+from chronoframe.llm import textkernel as tk
+from chronoframe.llm.common import new_folder, small_batches, written
 
 MIN_REVISIT = 100
 MAX_ARCHIVE = 128 << 20
 MAX_READ = 8 << 20
 MAX_GAP = 64 << 10
+#: Bytes of records that one task reads, about.
+READ_TASK = 32 << 20
 
 INDEX = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 INDEX_DDL = "archive string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long"
@@ -120,7 +123,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """pages (page_id, url, html) -> the index, a written table; the archives lie in folder."""
     spark = pages.sparkSession
     small_batches(spark)
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "warc")
     html = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"))
     small = rows.select("page_id", "digest", F.octet_length("payload").alias("size")).where(f"size >= {MIN_REVISIT}")
@@ -132,12 +135,12 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archives = Archives(folder)
         for batch in batches:
-            out = []
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place = archives.append(record(page_id, url, payload, digest, refers_to))
-                out.append((*place, url, digest, page_id, "response" if refers_to is None else "revisit", refers_to))
-            columns = list(zip(*out)) or [()] * len(INDEX)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, INDEX, strict=True)], schema=INDEX)
+            for part in tk.chunks(batch, "payload"):
+                out = []
+                for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    place = archives.append(record(page_id, url, payload, digest, refers_to))
+                    out.append((*place, url, digest, page_id, "response" if refers_to is None else "revisit", refers_to))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), INDEX, strict=True)], schema=INDEX)
         archives.close()
 
     return written(rows.mapInArrow(write, INDEX_DDL).withColumn("folder", F.lit(folder)), "warc-index")
@@ -158,8 +161,13 @@ def _ranges(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
 
 def read_records(selection: DataFrame) -> DataFrame:
     """Index rows -> page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
-    small_batches(selection.sparkSession)
-    ordered = selection.select("folder", "archive", "offset", "length").repartition("archive")
+    spark = selection.sparkSession
+    small_batches(spark)
+    size = selection.agg(F.sum("length")).first()[0] or 0
+    # By the records' bytes, not by the index's: a stretch of an archive is one task's, and the tasks are as many as the bytes call for.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // READ_TASK) if size > READ_TASK else 1
+    stretch = F.floor(F.col("offset") / READ_TASK)
+    ordered = selection.select("folder", "archive", "offset", "length").repartition(tasks, "folder", "archive", stretch)
     ordered = ordered.sortWithinPartitions("folder", "archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
