@@ -6,12 +6,13 @@ REACH tokens, summed over the training texts and weighted by rarity. A document
 by the mean vector of their shapes (case and length, or that they repeat the token before), which are indexed alike. A network with one hidden layer, trained by
 Adam, gives a logit; a temperature fitted on training rows set apart makes it a probability.
 
-The model is fitted on the driver from at most MAX_PER_CLASS labelled documents of each class (the first by md5 of the id, less
-those of over MAX_FIT_CHARS code points, so that the sample's bytes are bounded too), weighted back to the classes' counts among all labelled rows; its size is fixed by the parameters here. Scoring is one map
+The model is fitted on the driver from at most MAX_PER_CLASS labelled documents of each class (the first by md5 of the id, one text of each id,
+as long as they have no more than MAX_FIT_CHARS code points together, so that the sample's bytes are bounded too), weighted back to the classes' counts among all labelled rows; its size is fixed by the parameters here. Scoring is one map
 over all rows and whole texts. Neither labels nor lang, source and doc_id are inputs.
 
 Defined cases: a null or empty text is scored as a document without tokens; labels that are null or neither 0 nor 1 are
-left out, of an id's repeated labels the smaller counts; without both labels the score is their share (0.5 without any);
+left out, of an id's repeated labels the smaller counts and of its repeated texts the one of the least SHA-256; a text
+that would exceed the sample's bound is left out of the fit, with those after it; without both labels the score is their share (0.5 without any);
 repeated rows are scored each; clashing extra columns are passed through by keep_good and ignored elsewhere.
 """
 
@@ -22,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm import textkernel as tk
@@ -35,7 +36,7 @@ REACH = 2
 HIDDEN = 32
 EPOCHS = 250
 MAX_PER_CLASS = 3000
-MAX_FIT_CHARS = 200_000
+MAX_FIT_CHARS = 60_000_000
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -192,9 +193,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not ids:
         return fit(pa.array([], pa.string()), np.zeros(0, int), shares)
     keys = docs.sparkSession.createDataFrame(ids, chosen.schema)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(keys), "doc_id")
-    texts = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_FIT_CHARS)
-    found = texts.orderBy(place, "doc_id", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).toArrow()
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id")
+    texts = texts.withColumn("digest", F.sha2(F.encode("text", "UTF-8"), 256))
+    texts = texts.groupBy("doc_id").agg(F.min_by(F.struct("text", "quality"), "digest").alias("one")).select("doc_id", "one.text", "one.quality")
+    before = Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over the sample alone
+    texts = texts.withColumn("place", place).withColumn("chars", F.sum(F.length("text")).over(before)).where(F.col("chars") <= MAX_FIT_CHARS)
+    found = texts.orderBy("place", "doc_id").select("text", "quality").toArrow()
     return fit(found.column("text").combine_chunks(), np.asarray(found.column("quality").to_numpy(), int), shares)
 
 
