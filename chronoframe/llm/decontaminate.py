@@ -4,10 +4,10 @@ Words are runs of letters and digits, A-Z lower-cased. An item's windows are its
 fewer). A window is a set of shingles of SHINGLE words (or of all its words, if fewer) with their offsets; since all of them must
 occur, one necessary prefix token is enough: the rarest, by its count over all documents. Each occurrence of a prefix
 token in a document proposes a window at (position less offset); it must lie inside the document (length and
-positional bounds), and its words must equal the window's one by one.
+positional bounds), and its words must equal the window's one by one: first by their hashes, then byte by byte.
 
-The benchmark is cut into slices of at most MAX_WORDS words; a slice's index is sent to all tasks, so what is broadcast has
-that bound. One slice is the common case and needs no shuffle. With more slices each document gets the hits of each, as
+The benchmark is cut into slices of at most MAX_WORDS words (a longer item into parts that overlap by all but one word of a window); a slice's index is
+sent to all tasks, so what is broadcast has that bound. One slice is the common case and needs no shuffle. With more slices each document gets the hits of each, as
 ranges of words, and they are joined by document.
 
 Defined cases: null or wordless texts have no words and no hits; items without words have no windows; repeated items and
@@ -33,20 +33,26 @@ WINDOW = 10
 SHINGLE = 5
 MAX_WORDS = 200_000
 
+RANGE = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 RESULT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 RESULT_DDL = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 class Index:
-    """Windows of one slice of the benchmark: words as hashes, the items that have them, and shingles."""
+    """Windows of one slice of the benchmark: words as hashes and bytes, the items that have them, and shingles."""
 
-    def __init__(self, items: list[tuple[str, list[np.uint64]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, np.ndarray, list[bytes]]], window: int = WINDOW):
         found: dict[bytes, list] = {}
-        for item, words in items:
-            hashes = np.asarray(words, np.uint64)
+        spelt: dict[int, bytes] = {}
+        for item, hashes, words in items:
+            for key, word in zip(hashes.tolist(), words, strict=True):
+                if spelt.setdefault(key, word) != word:
+                    raise ValueError(f"two words of the benchmark have one hash: {spelt[key]!r}, {word!r}")
             size = min(window, len(hashes))
             for at in range(len(hashes) - size + 1 if size else 0):
                 found.setdefault(hashes[at : at + size].tobytes(), []).append(item)
+        self.words = np.array(sorted(spelt), np.uint64)
+        self.spelt = [spelt[key] for key in sorted(spelt)]
         self.windows = [np.frombuffer(key, np.uint64) for key in found]
         self.items = [sorted(set(names)) for names in found.values()]
         self.sizes = np.array([len(w) for w in self.windows], np.int64)
@@ -92,8 +98,8 @@ class Index:
             for key, n in zip(*np.unique(hashes[inside & (keys[at] == hashes)], return_counts=True), strict=True):
                 into[size, int(key)] = into.get((size, int(key)), 0) + int(n)
 
-    def matches(self, tokens: tk.Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Verified (first word, window), every occurrence."""
+    def matches(self, tokens: tk.Tokens, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Verified (first word, window), every occurrence; data: the texts' bytes."""
         starts, windows = [], []
         for size, (keys, first, many, window, offset) in self.prefix.items():
             if not len(keys):
@@ -119,25 +125,46 @@ class Index:
             windows.append(candidate)
         if not starts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(starts), np.concatenate(windows)
-
-
-def _words(column: pa.Array) -> tk.Tokens:
+        return self._spelt_alike(tokens, data, np.concatenate(starts), np.concatenate(windows))
+
+    def _spelt_alike(self, tokens: tk.Tokens, data: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of matches by hashes those whose words are the same byte by byte; each word of a document is looked at once."""
+        sizes = self.sizes[windows]
+        change = np.bincount(starts, minlength=len(tokens.hash) + 1) - np.bincount(starts + sizes, minlength=len(tokens.hash) + 1)
+        covered = np.flatnonzero(np.cumsum(change[:-1]))
+        word = np.searchsorted(self.words, tokens.hash[covered]).tolist()
+        begin, end = tokens.start[covered].tolist(), tokens.end[covered].tolist()
+        wrong = [p for p, w, a, b in zip(covered.tolist(), word, begin, end, strict=True) if tk.LOWER[data[a:b]].tobytes() != self.spelt[w]]
+        if not wrong:
+            return starts, windows
+        bad = np.zeros(len(tokens.hash) + 1, np.int64)
+        bad[np.array(wrong) + 1] = 1
+        bad = np.cumsum(bad)
+        same = bad[starts + sizes] == bad[starts]
+        return starts[same], windows[same]
+
+
+def _words(column: pa.Array) -> tuple[tk.Tokens, np.ndarray]:
     data, offsets = tk.text_bytes(column)
-    return tk.tokenize(data, offsets, tk.WORDS, tk.FOLDED)
+    return tk.tokenize(data, offsets, tk.WORDS, tk.FOLDED), data
 
 
 def _slices(benchmark: DataFrame, max_words: int) -> Iterator[Index]:
-    """Indexes of slices of at most max_words words (or one longer item), one at a time."""
+    """Indexes of slices of at most max_words words, one at a time."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
     items, n = [], 0
     for row in rows.toLocalIterator():
-        words = _words(pa.array([row["text"]], pa.string())).hash
-        if items and n + len(words) > max_words:
-            yield Index(items)
-            items, n = [], 0
-        items.append((row["item_id"], words))
-        n += len(words)
+        tokens, data = _words(pa.array([row["text"]], pa.string()))
+        lower = tk.LOWER[data].tobytes()
+        words = [lower[a:b] for a, b in zip(tokens.start.tolist(), tokens.end.tolist(), strict=True)]
+        longest = max(max_words, WINDOW)
+        for at in range(0, max(1, len(words) - WINDOW + 1), longest - WINDOW + 1):
+            part = slice(at, at + longest)
+            if items and n + len(words[part]) > max_words:
+                yield Index(items)
+                items, n = [], 0
+            items.append((row["item_id"], tokens.hash[part], words[part]))
+            n += len(words[part])
     yield Index(items)
 
 
@@ -149,7 +176,7 @@ def _counted(docs: DataFrame, index: Index) -> None:
         counts: dict[tuple[int, int], int] = {}
         for batch in batches:
             for part in tk.chunks(batch, "text"):
-                fixed.value.count(_words(part.column(0)), counts)
+                fixed.value.count(_words(part.column(0))[0], counts)
         rows = [(size, key - (1 << 64) if key >> 63 else key, n) for (size, key), n in counts.items()]
         columns = list(zip(*rows)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["size", "shingle", "n"])
@@ -179,8 +206,8 @@ NOTHING = hashlib.sha256(b"").hexdigest()
 
 def _per_document(part: pa.Array, index: Index) -> tuple[np.ndarray, dict[int, tuple[list, set]]]:
     """Words of each text, and for those with hits the ranges of hit words (from the text's start) and the items."""
-    tokens = _words(part)
-    starts, windows = index.matches(tokens)
+    tokens, data = _words(part)
+    starts, windows = index.matches(tokens, data)
     found: dict[int, tuple[list, set]] = {}
     if len(starts):
         doc = np.searchsorted(tokens.bounds, starts, "right") - 1
@@ -204,7 +231,7 @@ def _annotated(docs: DataFrame, index: Index | None, columns: list[str], names:
         for batch in batches:
             for part in tk.chunks(batch, "text"):
                 if fixed.value is None:
-                    sizes, found = np.diff(_words(part.column(at)).bounds), {}
+                    sizes, found = np.diff(_words(part.column(at))[0].bounds), {}
                 else:
                     sizes, found = _per_document(part.column(at), fixed.value)
                 out = [_summary(int(n), *found[i]) if i in found else (int(n), 0, 0, NOTHING, False) for i, n in enumerate(sizes)]
@@ -232,24 +259,22 @@ def _by_slices(docs: DataFrame, indexes: Iterator[Index], columns: list[str], na
             for batch in batches:
                 for part in tk.chunks(batch, "text"):
                     _, found = _per_document(part.column(1), fixed.value)
-                    rows = [(part.column(2)[i].as_py(), [x for r in ranges for x in r], sorted(items)) for i, (ranges, items) in found.items()]
+                    rows = [(part.column(2)[i].as_py(), [{"a": a, "b": b} for a, b in ranges], sorted(items)) for i, (ranges, items) in found.items()]
                     c = list(zip(*rows)) or [()] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.list_(pa.int64())), pa.array(c[2], pa.list_(pa.string()))], ["_key", "ranges", "items"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.list_(RANGE)), pa.array(c[2], pa.list_(pa.string()))], ["_key", "ranges", "items"])
 
-        found = keyed.mapInArrow(run, "_key string, ranges array<long>, items array<string>").dropDuplicates(["_key"])
+        found = keyed.mapInArrow(run, "_key string, ranges array<struct<a:long,b:long>>, items array<string>").dropDuplicates(["_key"])
         found = written(found, "slice-hits")
         fixed.unpersist()
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return _annotated(docs, None, columns, names)
-    joined = hits.groupBy("_key").agg(F.collect_list("ranges").alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-
-    @F.udf("long")
-    def hit_words(parts):
-        flat = [x for p in parts for x in p]
-        return sum(b - a for a, b in _union(np.array(flat[::2]), np.array(flat[1::2])))
-
-    joined = joined.select("_key", hit_words("ranges").alias("_hit"), F.size("items").cast("long").alias("_items"), F.sha2(F.encode(F.array_join(F.array_sort("items"), ","), "UTF-8"), 256).alias("_sha"))
+    joined = hits.groupBy("_key").agg(F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    # Sorted ranges: each adds what lies beyond the furthest end so far.
+    far = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    add = lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), r["b"] - F.greatest(r["a"], s["end"]))).alias("n"), F.greatest(s["end"], r["b"]).alias("end"))
+    hit_words = F.aggregate("ranges", far, add)["n"]
+    joined = joined.select("_key", hit_words.alias("_hit"), F.size("items").cast("long").alias("_items"), F.sha2(F.encode(F.array_join(F.array_sort("items"), ","), "UTF-8"), 256).alias("_sha"))
     own = [free_name([*columns, *names], c) for c in ("_key", "_hit", "_items", "_sha")]
     joined = joined.toDF(*own)
     rows = _annotated(docs, None, columns, names).select("*", key.alias(own[0])).join(joined, own[0], "left")

@@ -35,7 +35,7 @@ def tables():
     return docs, items
 
 
-@pytest.mark.parametrize("max_words", [10**6, 40])
+@pytest.mark.parametrize("max_words", [10**6, 40, 13])
 def test_hits_agree_with_brute_force(spark, max_words):
     docs, items = tables()
     found = decontaminate.hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_words)
@@ -57,3 +57,20 @@ def test_clean_keeps_columns_and_empty_tables(spark):
     assert [tuple(r) for r in decontaminate.clean(docs, items).collect()] == [(2, "z", 6, None)]
     assert decontaminate.clean(docs, items.where("false")).count() == 2
     assert decontaminate.clean(docs.where("false"), items).columns == docs.columns
+
+
+def test_words_are_compared_byte_by_byte():
+    import pyarrow as pa
+
+    column = pa.array(["x A b C, d", "a b c"])
+    tokens, data = decontaminate._words(column)
+    hashes, _ = decontaminate._words(pa.array(["a b c"]))
+    index = decontaminate.Index([("i", hashes.hash, [b"a", b"b", b"c"])])
+    counts: dict = {}
+    index.count(tokens, counts)
+    index.order(counts)
+    assert index.matches(tokens, data)[0].tolist() == [1, 5]
+    index.spelt[index.words.tolist().index(int(hashes.hash[1]))] = b"other"  # as if the document's word had but its hash
+    assert index.matches(tokens, data)[0].tolist() == []
+    with pytest.raises(ValueError):
+        decontaminate.Index([("i", hashes.hash[[0, 0]], [b"a", b"b"])])
