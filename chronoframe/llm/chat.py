@@ -6,9 +6,9 @@ and how many tokens it expands to. The template marks each turn; control strings
 The loss mask covers assistant texts alone.
 
 Formatting is a map over turns. Reading back streams through each conversation's pieces in order, so that a very long
-conversation needs no more memory than its longest turn.
+conversation needs no more memory than a few of its turns (bounded by bytes) or its longest one.
 
-Defined cases: a null text or part is empty, a null role is the empty role; turns are ordered by turn (null first), then by their
+Defined cases: a null text or part is empty, a part of unknown kind is an error, a null role is the empty role; a placeholder is never under the loss; turns are ordered by turn (null first), then by their
 formatted text; repeated rows are turns of their own; an empty conversation has no rows; other columns are ignored.
 """
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.llm import textkernel as tk
 from chronoframe.llm.common import small_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -56,6 +57,7 @@ class Flatten:
     def __init__(self, count_text: Callable[[str], int] | None = None):
         self.count_text = count_text or (lambda text: len(text.split()))
         self.pieces: list[str] = []
+        self.spoken: list[bool] = []  # whether a piece is text
         self.attachments: list[dict] = []
         self.n_tokens = 0
 
@@ -71,6 +73,7 @@ class Flatten:
     def visit_text(self, part: dict) -> None:
         text = part.get("text") or ""
         self.pieces.append(escape(text))
+        self.spoken.append(True)
         self.n_tokens += self.count_text(text)
 
     def visit_image(self, part: dict) -> None:
@@ -85,17 +88,30 @@ class Flatten:
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         self.pieces.append(f"<|{kind}:{len(self.attachments)}|>")
+        self.spoken.append(False)
         self.attachments.append({"ordinal": len(self.attachments), "kind": kind, "uri": part.get("uri"), "tokens": tokens})
         self.n_tokens += tokens
 
 
+    def spans(self, at: int) -> list[int]:
+        """Begin and length of each run of text, the first piece at `at`, one after another."""
+        out: list[int] = []
+        for piece, spoken in zip(self.pieces, self.spoken, strict=True):
+            if spoken and out and sum(out[-2:]) == at:
+                out[-1] += len(piece)
+            elif spoken and piece:
+                out += [at, len(piece)]
+            at += len(piece)
+        return out
+
+
 PART = "struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 ATTACHMENTS = pa.list_(pa.struct([("ordinal", pa.int32()), ("kind", pa.string()), ("uri", pa.string()), ("tokens", pa.int64())]))
 
 
 def format_turns(turns: DataFrame, parts: str | None = None, loss_role: str = "assistant") -> DataFrame:
     """turns (conv_id, turn, role, text, or an array of PART in the column named by parts) -> one piece per turn:
-    conv_id, turn, piece, loss_from, loss_chars (the piece's span under the loss), attachments, n_tokens."""
+    conv_id, turn, piece, loss (begin and length of each of its spans under the loss), attachments, n_tokens."""
     small_batches(turns.sparkSession)
     content = F.col(parts) if parts else F.array(F.struct(F.lit("text").alias("kind"), F.col("text").cast("string").alias("text")))
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), content.alias("content"))
@@ -103,23 +119,22 @@ def format_turns(turns: DataFrame, parts: str | None = None, loss_role: str = "a
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces, begins, spans, attached, counts = [], [], [], [], []
-            for role, content in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                visitor = Flatten()
-                for part in content or []:
+            pieces, spans, attached, counts = [], [], [], []
+            for role, content in zip(batch.column(2), batch.column(3), strict=True):
+                visitor, role = Flatten(), role.as_py()
+                for part in content.as_py() or []:
                     visitor.visit(part)
-                body, head = "".join(visitor.pieces), f"{START}{escape_role(role)}\n"
-                pieces.append(f"{head}{body}{END}\n")
-                begins.append(len(head))
-                spans.append(len(body) if role == loss_role else 0)
+                head = f"{START}{escape_role(role)}\n"
+                pieces.append(f"{head}{''.join(visitor.pieces)}{END}\n")
+                spans.append(visitor.spans(len(head)) if role == loss_role else [])
                 attached.append(visitor.attachments)
                 counts.append(visitor.n_tokens)
-            arrays = [batch.column(0), batch.column(1), pa.array(pieces, pa.string()), pa.array(begins, pa.int64()), pa.array(spans, pa.int64()), pa.array(attached, ATTACHMENTS), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "turn", "piece", "loss_from", "loss_chars", "attachments", "n_tokens"])
+            arrays = [batch.column(0), batch.column(1), pa.array(pieces, pa.string()), pa.array(spans, pa.list_(pa.int64())), pa.array(attached, ATTACHMENTS), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "turn", "piece", "loss", "attachments", "n_tokens"])
 
     return rows.mapInArrow(
         flatten,
-        f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, piece string, loss_from long, loss_chars long, "
+        f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, piece string, loss array<long>, "
         "attachments array<struct<ordinal:int,kind:string,uri:string,tokens:long>>, n_tokens long",
     )
 
@@ -135,11 +150,12 @@ class Reader:
         self.n_turns = self.loss_chars = self.formatted_chars = 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def feed(self, piece: str, loss_from: int, loss_chars: int) -> None:
+    def feed(self, piece: str, loss: list[int]) -> None:
         self.formatted_chars += len(piece)
-        masked = unescape(piece[loss_from : loss_from + loss_chars])
-        self.loss_chars += len(masked)
-        self.loss.update(masked.encode())
+        for begin, length in zip(loss[::2], loss[1::2], strict=True):
+            masked = unescape(piece[begin : begin + length])
+            self.loss_chars += len(masked)
+            self.loss.update(masked.encode())
         self.rest += piece
         while found := _TURN.match(self.rest):
             self.turns.update(f"{unescape_role(found[1])}\n{unescape(found[2])}\n".encode())
@@ -158,7 +174,7 @@ READ = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "form
 def read_back(pieces: DataFrame) -> DataFrame:
     """Pieces -> per conversation what its formatted text and loss mask say."""
     kind = pieces.schema["conv_id"].dataType.simpleString()
-    ordered = pieces.select("conv_id", "turn", "piece", "loss_from", "loss_chars").repartition("conv_id")
+    ordered = pieces.select("conv_id", "turn", "piece", "loss").repartition("conv_id")
     ordered = ordered.sortWithinPartitions("conv_id", "turn", "piece")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +187,13 @@ def read_back(pieces: DataFrame) -> DataFrame:
 
         for batch in batches:
             ids, done = batch.schema.field(0).type, []
-            for conv_id, _, piece, begin, span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is None or now.conv_id != conv_id:
-                    if now is not None:
-                        done.append(now.row())
-                    now = Reader(conv_id)
-                now.feed(piece, begin, span)
+            for part in tk.chunks(batch, "piece"):
+                for conv_id, _, piece, loss in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if now is None or now.conv_id != conv_id:
+                        if now is not None:
+                            done.append(now.row())
+                        now = Reader(conv_id)
+                    now.feed(piece, loss)
             yield rows(done)
         if now is not None:
             yield rows([now.row()])

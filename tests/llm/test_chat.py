@@ -19,7 +19,7 @@ def test_pieces_are_read_back(turns):
     reader, want = chat.Reader(1), hashlib.sha256()
     for role, text in turns:
         head = f"{chat.START}{chat.escape_role(role)}\n"
-        reader.feed(f"{head}{chat.escape(text)}{chat.END}\n", len(head), len(chat.escape(text)))
+        reader.feed(f"{head}{chat.escape(text)}{chat.END}\n", [len(head), len(chat.escape(text))])
         want.update(f"{role}\n{text}\n".encode())
     loss = "".join(t for _, t in turns)
     assert reader.row()[1:5] == (len(turns), want.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
@@ -31,7 +31,11 @@ def test_attachments_become_ordered_placeholders(spark):
     one, two = chat.format_turns(rows, "content").orderBy("turn").collect()
     assert one["piece"] == "<|im_start|>user\nsee <\\|<|image:0|><|audio:1|><|document:2|><|im_end|>\n"
     assert [(a["kind"], a["uri"], a["tokens"]) for a in one["attachments"]] == [("image", "i.png", 3), ("audio", "a.wav", 38), ("document", "d.pdf", 768)]
-    assert one["n_tokens"] == 2 + 3 + 38 + 768 and two["loss_chars"] == 0
+    assert one["n_tokens"] == 2 + 3 + 38 + 768 and two["loss"] == []
+    said = chat.format_turns(rows.selectExpr("conv_id", "turn", "'assistant' as role", "content"), "content")
+    assert [said.orderBy("turn").first()["piece"][a : a + n] for a, n in [said.orderBy("turn").first()["loss"]]] == ["see <\\|"]
+    found = chat.read_back(said).first()
+    assert found["loss_chars"] == len("see <|") and found["loss_sha256"] == hashlib.sha256(b"see <|").hexdigest()
     with pytest.raises(ValueError):
         chat.Flatten().visit({"kind": "smell"})
 
