@@ -5,7 +5,7 @@ subdomains as one interval of keys, and intervals nest or are disjoint. URLs sor
 stack holds the rules whose intervals are open. Of these, those whose path begins the URL's path fit, and the longest
 (host and path together; then the longer host; then block before allow) decides. No rule: the default verdict.
 
-Up to MAX_LOCAL_RULES rules are sent to every task, which sorts and sweeps its own batches: no shuffle. More rules are
+Up to MAX_LOCAL_RULES rules are sent to every task, which sorts its URLs and sweeps both sides once: no shuffle. More rules are
 range-joined: splitters cut the key space (key, path, digest of the id, so a hot host or URL is cut as well), a rule goes
 to every range that its interval meets, and each range is sorted and swept as a stream.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import small_batches
+from chronoframe.llm.common import free_name, small_batches
 
 #: (host, path, verdict)
 RULES = (
@@ -96,6 +96,10 @@ class Sweep:
 OUT = "host string, path string, rule string, verdict string"
 
 
+def _key(host: Column) -> Column:
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
+
+
 def judge(pages: DataFrame, rules=RULES, id_column: str = "page_id", default: str = "allow") -> DataFrame:
     """pages (id, url) -> id, host, path, rule, verdict. rules: a list of (host, path, verdict), or a DataFrame of them."""
     spark = pages.sparkSession
@@ -107,30 +111,25 @@ def judge(pages: DataFrame, rules=RULES, id_column: str = "page_id", default: st
             return _ranged(urls, rules, id_column, default)
         rules = [tuple(r) for r in rules.collect()]
     fixed = spark.sparkContext.broadcast(Rules(rules))
+    key = free_name(urls.columns, "key")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = Sweep(fixed.value)
         for batch in batches:
-            hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            keys = [host_key(host) for host in hosts]
-            found: list = [None] * len(keys)
-            state = Sweep(fixed.value)
-            for i in sorted(range(len(keys)), key=keys.__getitem__):
-                found[i] = state.judge(keys[i], paths[i])
+            found = [state.judge(k, path) for k, path in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             names = pa.array([f and f[2] for f in found], pa.string())
             says = pa.array([f[3] if f else default for f in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, names, says], [*batch.schema.names, "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], names, says], [*batch.schema.names[:3], "rule", "verdict"])
 
     kind = urls.schema[id_column].dataType.simpleString()
-    return urls.mapInArrow(sweep, f"`{id_column}` {kind}, {OUT}")
+    return urls.withColumn(key, _key(F.col("host"))).sortWithinPartitions(key).mapInArrow(sweep, f"`{id_column}` {kind}, {OUT}")
 
 
 def _ranged(urls: DataFrame, rules: DataFrame, id_column: str, default: str) -> DataFrame:
     """The same for any number of rules."""
     spark = urls.sparkSession
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.when(F.col("host") == "", F.lit("")).otherwise(
-        F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit("."))
-    )
+    key = _key(F.col("host"))
     digest = F.md5(F.encode(F.coalesce(F.col(id_column).cast("string"), F.lit("")), "UTF-8"))
     urls = urls.select("*", key.alias("key"), F.concat(key, F.col("path"), F.lit("\0"), digest).alias("place"))
     seen = urls.select("place").orderBy(F.xxhash64("place")).limit(SAMPLE_FOR_SPLITTERS)
