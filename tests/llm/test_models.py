@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -20,87 +21,194 @@ def held(doc_id, n):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % n == 0
 
 
-def test_base_scores_agree_with_brute_force(spark):
+@pytest.mark.parametrize("frequent", [lm.FREQUENT, 40, 0])
+def test_base_scores_agree_with_brute_force(spark, frequent):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(150)
     odd = spark.createDataFrame([(None, None), (900001, ""), (900002, " \n"), (900001, "again the"), (900003, "the " * 70000)], docs.schema)
-    docs = docs.unionByName(odd).withColumnRenamed("text", "t").selectExpr("doc_id", "t as text", "1 as score", "'x' as p")
+    docs = docs.unionByName(odd).withColumnRenamed("text", "t").selectExpr("doc_id", "t as text", "1 as score", "'x' as first", "2 as hash")
     rows = docs.collect()
     count = Counter(w for r in rows if not held(r["doc_id"], 10) for w in tokens(r["text"]))
     n, v = sum(count.values()), len(count)
     base = lambda t: sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
     want = sorted((str(r["doc_id"]), held(r["doc_id"], 10), len(tokens(r["text"])), sum(count[w] > 0 for w in tokens(r["text"])), n, round(base(r["text"]), 4)) for r in rows)
-    found = lm.score_documents(docs).collect()
+    found = lm.score_documents(docs, frequent).collect()
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in found) == want
-    assert all(-1e9 < r["score"] < 0 for r in found)
+    assert all(-1e9 < r["score"] < 0 and r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"])) for r in found)
+
+
+def test_tables_without_rows_or_training_rows(spark):
+    docs = spark.createDataFrame([(i, "a b a") for i in range(400)], "doc_id long, text string")
     assert lm.score_documents(docs.where("false")).count() == 0
+    alone = docs.where(lm.fold("doc_id", 10) == 0)
+    assert {(r["score"], r["base_score"], r["n_known"], r["train_tokens"]) for r in lm.score_documents(alone).collect()} == {(0.0, 0.0, 0, 0)}
 
 
 def test_held_out_texts_are_likelier_than_under_the_base(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = lm.score_documents(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
-    assert found["s"] / found["n"] > found["b"] / found["n"] + 0.3  # over twice as likely, token by token
-
-
-def test_predictive_probabilities_add_up_to_one(spark):
-    words = ["a b a c a b d", "a b b e f", "g a b a a", None, "c d c d c d"]
-    rows = [(i, words[i % 5]) for i in range(60)]
-    owned, _, placement = lm.deal(spark.createDataFrame(rows, "doc_id long, text string"))
-    corpus, totals = lm.train(owned, placement)
-    sums = np.zeros(lm.CONTEXTS)
-    root = 0.0
-    for r in owned.collect():
-        owner = lm.Owner(r["p"], bytes(r["data"]), placement)
-        for n in range(1, lm.SWEEPS):
-            owner.sweep(n, corpus, totals[n - 1])
-        state = totals[lm.SWEEPS - 1]
-        if owner.split < 0 or owner.p == (lm.Placement(placement.owners, placement.split).owners + owner.split * lm.PARTS):
-            root += owner.root(corpus, state).sum()
-        known = owner.count > 0
-        np.add.at(sums, owner.context[known], ((owner.count - corpus.discounts[1] * owner.tables) / (lm.STRENGTH[1] + corpus.customers[owner.context]))[known])
-    state, d = totals[lm.SWEEPS - 1], corpus.discounts
-    unknown = (lm.STRENGTH[0] + d[0] * state.root_tables) / (corpus.words + 1) / (lm.STRENGTH[0] + state.root_customers)
-    if not len(placement.split):
-        assert root + unknown == pytest.approx(1)
-    seen = corpus.customers > 0
-    back = (lm.STRENGTH[1] + d[1] * state.tables) / (lm.STRENGTH[1] + corpus.customers)
-    assert sums[seen] + back[seen] == pytest.approx(np.ones(seen.sum()))
-
-
-def test_each_sample_is_scored_with_its_own_totals(spark, monkeypatch):
-    words = ["a b a c a b d", "a b b e f", "g a b a a", None, "c d c d c d"]
-    owned, _, placement = lm.deal(spark.createDataFrame([(i, words[i % 5]) for i in range(60)], "doc_id long, text string"))
-    corpus, totals = lm.train(owned, placement)
-    seen, predictive = [], lm.Owner.predictive
-
-    def kept(owner, corpus, state):
-        seen[-1].append((np.bincount(owner.context, owner.tables, lm.CONTEXTS), owner.tables.sum(), state))
-        return predictive(owner, corpus, state)
-
-    monkeypatch.setattr(lm.Owner, "predictive", kept)
-    for r in owned.collect():
-        seen.append([])
-        list(lm.score_owner(lm.Owner(r["p"], bytes(r["data"]), placement), corpus, totals))
-    for sample in zip(*seen, strict=True):
-        state = sample[0][2]
-        assert sum(tables for tables, _, _ in sample).tolist() == state.tables.tolist()
-        assert sum(n for _, n, _ in sample) == state.root_customers
+    assert found["s"] / found["n"] > found["b"] / found["n"] + 1  # over ten times as likely, token by token
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300).select("doc_id", "text")
+    scores = lambda d, **how: sorted((r["doc_id"], r["score"], r["base_score"]) for r in lm.score_documents(d, **how).collect())
+    want = scores(docs, frequent=1000)
+    assert scores(docs.repartition(7), frequent=1000, owners=1) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert scores(docs, frequent=1000) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def small_model(texts, frequent, owners=1):
+    """Words, and the packed types of owners, of texts that are all for training."""
+    column = pa.array(texts, pa.string())
+    found, bounds = lm.tokens_of(column)
+    hashes, counts = np.unique(found, return_counts=True)
+    order = np.lexsort((hashes, -counts))
+    top = hashes[order][:frequent]
+    ranks = np.argsort(top)
+    words = lm.Words(top[ranks], ranks.astype(np.int32), top, counts[order][:frequent].astype(np.int64), len(found), len(hashes))
+    blobs, types, token_type, _ = lm._dealt(found, bounds, np.zeros(len(texts), np.uint8), words, owners)
+    by: dict = {}
+    for p, start, blob in blobs:
+        by.setdefault(p, []).append((0, start, blob))
+    return words, [lm._merged(b, len(words.hashes)) for b in by.values()], token_type
+
+
+def sample(owner, words, sweeps):
+    """Root and owner after each sweep."""
+    gather = lambda: ({at: v[at * lm.CHUNK :][: lm.CHUNK] for v in [lm._state(owner)[0]] for at in range(1 + len(v) // lm.CHUNK)}, lm._state(owner)[1])
+    root = lm._root(gather(), words, 0, None)
+    for number in range(1, sweeps + 1):
+        owner.sweep(number, root)
+        root = lm._root(gather(), words, number, root)
+        yield number, root
+
+
+WORDS = ["a b a c a b d", "a b b e f", "g a b a a", None, "c d c d c d", "a b a c a b e f g h i j"]
+
+
+@pytest.mark.parametrize("frequent", [100, 4])
+def test_every_averaged_predictive_adds_up_to_one(frequent):
+    words, (data,), _ = small_model(WORDS * 12, frequent)
+    owner = lm.Owner(data, words)
+    for number, root in sample(owner, words, lm.SWEEPS):
+        if number <= lm.BURN_IN:
+            continue
+        base = root.probability(words)
+        assert base[:-1].sum() + (words.rare + 1) * base[-1] == pytest.approx(1)
+        d, s = root.discounts, lm.STRENGTH
+        tables, customers = (np.bincount(owner.up_parent, x, owner.parents) for x in (owner.up_tables, owner.up_customers))
+        # A word's own share and what its parent leaves for all words, whose base adds up to one.
+        up_back = (s[1] + d[1] * tables) / (s[1] + customers)
+        up = (owner.up_customers - d[1] * owner.up_tables) / (s[1] + customers[owner.up_parent]) + up_back[owner.up_parent] * base[owner.up_word]
+        rest = np.bincount(owner.up_parent, base[owner.up_word], owner.parents)
+        assert np.bincount(owner.up_parent, up, owner.parents) + up_back * (1 - rest) == pytest.approx(np.ones(owner.parents))
+        back = (s[2] + d[2] * np.bincount(owner.pair, owner.tables, owner.pairs)) / (s[2] + owner.of_pair)
+        unseen = 1 - np.bincount(owner.pair, up[owner.up], owner.pairs)
+        assert np.bincount(owner.pair, owner.predictive(root), owner.pairs) + back * unseen == pytest.approx(np.ones(owner.pairs))
+
+
+def test_sampler_agrees_with_seating_customers_one_by_one():
+    """The averaged predictive probabilities of a plain sampler that moves one customer at a time."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh"[: rng.choice([2, 4, 8])]) for _ in range(rng.randrange(2, 12))) for _ in range(50)]
+    words, (data,), token_type = small_model(texts, 100)
+    owner = lm.Owner(data, words)
+    mine, n, discounts = np.zeros(len(owner.count)), 0, None
+    for number, root in sample(owner, words, 300):
+        discounts = root.discounts
+        if number > 20:
+            mine, n = mine + owner.predictive(root), n + 1
+    mine /= n
+
+    strength, v = lm.STRENGTH, words.known
+    seats: dict = {}  # restaurant -> dish -> sizes of tables
+
+    def probability(level, place, dish):
+        up = (1 / (v + 1)) if level == 0 else probability(level - 1, place[1:] if level > 1 else (), dish)
+        here = seats.get((level, place), {})
+        all_customers, all_tables = sum(map(sum, here.values())), sum(map(len, here.values()))
+        own = here.get(dish, [])
+        return (sum(own) - discounts[level] * len(own) + (strength[level] + discounts[level] * all_tables) * up) / (strength[level] + all_customers)
+
+    def above(level, place):
+        return level - 1, place[1:] if level > 1 else ()
+
+    def add(level, place, dish):
+        here = seats.setdefault((level, place), {})
+        own = here.setdefault(dish, [])
+        up = probability(*above(level, place), dish) if level else 1 / (v + 1)
+        new = (strength[level] + discounts[level] * sum(map(len, here.values()))) * up
+        pick = rng.random() * (sum(own) - discounts[level] * len(own) + new)
+        for at, size in enumerate(own):
+            pick -= size - discounts[level]
+            if pick < 0:
+                own[at] += 1
+                return
+        own.append(1)
+        if level:
+            add(*above(level, place), dish)
+
+    def remove(level, place, dish):
+        own = seats[level, place][dish]
+        at = rng.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        if not own[at]:
+            del own[at]
+            if level:
+                remove(*above(level, place), dish)
+
+    customers = []
+    for text in texts:
+        line = ["<<", "<", *text.split(), ">"]
+        customers += [((line[i - 2], line[i - 1]), line[i]) for i in range(2, len(line))]
+    for place, dish in customers:
+        add(2, place, dish)
+    theirs, sweeps = np.zeros(len(customers)), 0
+    for number in range(60):
+        for place, dish in customers:
+            remove(2, place, dish)
+            add(2, place, dish)
+        if number >= 10:
+            theirs, sweeps = theirs + np.array([probability(2, place, dish) for place, dish in customers]), sweeps + 1
+    difference = np.log10(mine[token_type]) - np.log10(theirs / sweeps)
+    assert abs(difference.mean()) < 0.01 and np.abs(difference).max() < 0.1
 
 
 def test_seating_has_the_expected_tables():
-    rng = np.random.default_rng(1)
-    for c, w, d in ((5, 0.7, 0.3), (200, 2.0, 0.5)):
-        mean, tables = 0.0, Counter({1: 1.0})
+    keys = np.arange(20000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for c, base, share, d in ((5, 1.4, 0.5, 0.3), (200, 4.0, 0.3, 0.5), (300, 0.5, 0.01, 0.7)):
+        tables = Counter({1: 1.0})
         for n in range(1, c):
             after = Counter()
             for t, p in tables.items():
-                new = w / (n - d * t + w)
+                odds = (base + d * t) * share
+                new = odds / (n - d * t + odds)
                 after[t + 1] += p * new
                 after[t] += p * (1 - new)
             tables = after
         mean = sum(t * p for t, p in tables.items())
-        got = lm.seat(np.full(20000, c), np.full(20000, w), d, rng)
-        assert got.mean() == pytest.approx(mean, rel=0.03) and got.min() >= 1
-    assert lm.seat(np.array([0, 1]), np.ones(2), 0.5, rng).tolist() == [0, 1]
+        got = lm.seat(np.full(20000, c), np.zeros(20000, int), d, base, np.full(20000, share), keys)
+        assert got.mean() == pytest.approx(mean, rel=0.02) and got.min() >= 1
+    assert lm.seat(np.array([0, 1]), np.zeros(2, int), 0.5, 1.0, np.ones(2), keys[:2]).tolist() == [0, 1]
+
+
+def test_types_of_blocks_and_owners():
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 7, 500), rng.integers(0, 1 << 40, 500) // (1 << 38), rng.integers(0, 1 << 30, 500) // (1 << 28)]
+    found, at = lm.distinct([(columns[0], 7), (columns[1], 1 << 40), (columns[2], 1 << 30)])
+    assert [tuple(r) for r in np.array(found).T] == sorted({*zip(*(c.tolist() for c in columns))})
+    assert all((f[at] == c).all() for f, c in zip(found, columns, strict=True))
+    arrays = [rng.integers(0, 1 << 62, 9).astype(np.uint64), np.zeros(0, np.uint32), rng.integers(0, 9, 5).astype(np.uint8)]
+    assert all((x == y).all() for x, y in zip(lm.unpack(lm.pack(arrays), [a.dtype for a in arrays]), arrays, strict=True))
+    hashes = lm.tk.word_hash(["the", "of"])
+    words = lm.Words(np.sort(hashes), np.argsort(np.argsort(-hashes.astype(float))), hashes, np.array([5 * lm.CLASS_TOKENS, 3]), 9, 2)
+    first = lm.tk.mix(np.arange(1000, dtype=np.uint64))
+    many = lm.restaurants(np.full(1000, hashes[0]), first, np.zeros(1000, int), words)
+    assert len(np.unique(many)) == 6 and len(np.unique(lm.restaurants(np.full(1000, hashes[1]), first, np.ones(1000, int), words))) == 1
 
 
 def test_quality_of_held_out_documents(spark):
@@ -120,6 +228,18 @@ def test_quality_of_odd_tables(spark):
     assert quality.score_documents(docs.where("false"), labels).count() == 0
 
 
+def test_the_sample_has_one_text_of_an_id_and_a_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good text {i} " * (1 + i % 3) if i % 2 else "bad; bad; " * 9) for i in range(200)] * 3 + [(1, "another")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, y, shares: seen.append((texts.to_pylist(), y.tolist())))
+    quality.train(docs, labels)
+    monkeypatch.setattr(quality, "MAX_FIT_CHARS", 2000)
+    quality.train(docs, labels)
+    (every, y), (few, _) = seen
+    assert len(every) == len(y) == sum(not held(i, 5) for i in range(200)) and sum(map(len, few)) <= 2000 and few == every[: len(few)] and few
+
+
 def test_pooled_sums_do_not_depend_on_blocks():
     rng = np.random.default_rng(0)
     bounds = np.array([0, 0, 5, 5, 40, 41, 100, 100])
