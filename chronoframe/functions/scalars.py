@@ -119,3 +119,25 @@ def cue_time(hours: Column, minutes: Column, seconds: Column, millis: Column) ->
 
 def block_name(start: Column) -> Column:
     return F.concat(F.lit("b"), F.lpad(F.floor(start).cast("long").cast("string"), 5, "0"))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    return F.concat(comma(part * 100 / whole), F.lit(" %"))
+
+
+def counted(n: Column, one: str, many: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, F.lit(one)).otherwise(F.lit(many)))
+
+
+def factor(speed: Column) -> Column:
+    """A speed as `×1,25`, without zeros at its end."""
+    return F.concat(F.lit("×"), F.translate(F.regexp_replace(F.format_string("%.5f", speed), r"\.?0+$", ""), ".", ","))
+
+
+def part_label(cut: Column, index: Column, total: Column) -> Column:
+    return F.concat(F.lit("corte "), cut.cast("string"), F.lit(" subcorte "), (index + 1).cast("string"), F.lit("/"), total.cast("string"))
+
+
+def space_needed(frames: Column) -> Column:
+    """Bytes to keep free for so many views."""
+    return frames.cast("long") * 1_000_000

@@ -6,11 +6,13 @@ total, target, speed) in seconds. Times are added up as integers, so results do
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe import parameters as P
-from chronoframe.functions.scalars import frames_for, half_up, samples_for, tolerance
+from chronoframe.functions.scalars import comma, frames_for, half_up, samples_for, tolerance
 
 FPS, SAMPLE_RATE = 25.0, 48000.0
 
@@ -143,63 +145,153 @@ def suggest_add(cuts: DataFrame, jobs: DataFrame) -> DataFrame:
     return packed.select("job", F.aggregate("reserves", start, step)["cuts"].alias("cuts")).where(F.size("cuts") > 0)
 
 
-def cut_warnings(cuts: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Warnings of included cuts: job, id, code, blocking. An empty cut has that one alone."""
-    rows = measure(cuts.join(jobs, "job").where("included"), F.col("speed"))
+# The texts of warnings.
+SAID = {
+    "corte_vacio": "El corte {cut} se queda sin tramos tras quitar pausas; vuelve a las reservas.",
+    "borde_en_voz": "El corte {cut} no encuentra silencio en los 0,6 s del borde ni hueco entre palabras: la unión puede partir una palabra.",
+    "visual_breve": "El corte visual {cut} dura {output} s de salida; cuesta leerlo.",
+    "corte_breve": "El corte {cut} dura {output} s de salida; puede quedar descontextualizado.",
+    "pausas_excesivas": "En el corte {cut} se elimina el {removed} % por pausas.",
+    "sin_pausas_detectadas": "El fondo del corte {cut} supera {quiet} dBFS: revisa el umbral de silencio.",
+    "velocidad_alta": "Velocidad ×{speed}: por encima de ×1,5 la voz técnica cuesta de seguir.",
+    "objetivo_muy_bajo": "El objetivo ({target} s) es menor que el 5 % del original ({low} s).",
+    "objetivo_muy_alto": "Ni conservando todo el material se llega a {target} s: el máximo es {top} s.",
+    "esenciales_superan_objetivo": "Los cortes de prioridad 1 suman {essentials} s, por encima de la banda.",
+    "sin_marcas_por_palabra": "La transcripción procede de subtítulos sin palabras: los bordes usan límites de segmento.",
+    "dependencia_excluida": "El corte {cut} depende del {other}, que no está incluido.",
+    "tema_sin_cubrir": "El tema «{topic}» se marcó imprescindible y no tiene ningún corte incluido.",
+}
+
+
+def said(code: str, **values: Column) -> Column:
+    """The text of a warning with its values."""
+    parts = re.split(r"\{(\w+)\}", SAID[code])
+    return F.concat(*[values[part].cast("string") if at % 2 else F.lit(part) for at, part in enumerate(parts)])
+
+
+def whole(value: Column) -> Column:
+    return half_up(value).cast("long")
+
+
+def _warned(rows: DataFrame, keys: list[str], rules: list[tuple[Column, str, Column]]) -> DataFrame:
+    """A row for each rule (condition, code, text) that holds: keys, code, message, blocking."""
+    found = F.array(*[F.when(rule, F.struct(F.lit(code).alias("code"), text.alias("message"))) for rule, code, text in rules])
+    rows = rows.select(*keys, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("w")).select(*keys, "w.code", "w.message")
+    return rows.withColumn("blocking", F.col("code").isin(*P.BLOCKING))
+
+
+def _having(rows: DataFrame, **defaults) -> DataFrame:
+    """rows with columns that are missing or null at their defaults."""
+    return rows.withColumns({name: F.coalesce(F.col(name), F.lit(value)) if name in rows.columns else F.lit(value) for name, value in defaults.items()})
+
+
+def untouched(visual_only: Column, remove_pauses: Column) -> Column:
+    """Whether a cut's sound is kept whole: a visual one, or one that keeps its pauses."""
+    return visual_only | ~remove_pauses
+
+
+def cut_warnings(cuts: DataFrame, jobs: DataFrame, silence_db: float = P.SILENCE_DB) -> DataFrame:
+    """Warnings of included cuts: job, id, code, message, blocking. An empty cut has that one alone.
+
+    Cuts may have note (an edge stayed in speech), visual_only and quiet, the tenth percentile of their levels; jobs pauses,
+    whether the job removes them at all.
+    """
+    rows = _having(cuts.where("included"), note=False, visual_only=False, quiet=-1e9).join(_having(jobs, pauses=True), "job")
+    rows = measure(rows, F.col("speed"), F.col("pauses"))
     removed = 1 - F.col("length_ms") / (F.col("end_ms") - F.col("start_ms"))
-    rules = [
-        (F.col("empty"), "corte_vacio"),
-        (~F.col("empty") & (F.col("output") < P.SHORT_CUT), "corte_breve"),
-        (~F.col("empty") & F.col("remove_pauses") & (removed > 0.09), "pausas_excesivas"),
-    ]
-    codes = F.filter(F.array(*[F.when(rule, F.lit(code)) for rule, code in rules]), lambda x: x.isNotNull())
-    found = rows.select("job", "id", F.explode(codes).alias("code"))
-    return found.withColumn("blocking", F.col("code").isin(*P.BLOCKING))
+    full, cut, visual = ~F.col("empty"), F.col("id"), F.col("visual_only")
+    pauses = full & F.col("pauses") & ~untouched(visual, F.col("remove_pauses"))
+    floor = silence_db - P.QUIET_MARGIN
+    shown = F.translate(whole(F.lit(floor)).cast("string"), "-", "−")
+    return _warned(rows, ["job", "id"], [
+        (F.col("empty"), "corte_vacio", said("corte_vacio", cut=cut)),
+        (full & F.col("note"), "borde_en_voz", said("borde_en_voz", cut=cut)),
+        (full & visual & (F.col("output") < P.SHORT_VISUAL), "visual_breve", said("visual_breve", cut=cut, output=comma(F.col("output")))),
+        (full & ~visual & (F.col("output") < P.SHORT_CUT), "corte_breve", said("corte_breve", cut=cut, output=comma(F.col("output")))),
+        (pauses & (removed > P.PAUSE_SHARE), "pausas_excesivas", said("pausas_excesivas", cut=cut, removed=whole(100 * removed))),
+        (pauses & (F.col("quiet") > floor), "sin_pausas_detectadas", said("sin_pausas_detectadas", cut=cut, quiet=shown)),
+    ])
 
 
 def global_warnings(cuts: DataFrame, jobs: DataFrame) -> DataFrame:
-    report = estimate(cuts, jobs)
-    rules = [
-        (F.col("speed") > P.FAST_SPEED, "velocidad_alta"),
-        (F.col("target") < F.lit(P.LOW_TARGET) * F.col("total"), "objetivo_muy_bajo"),
-        (F.col("state") == "inalcanzable", "objetivo_muy_alto"),
-        (F.col("state") == "inviable", "esenciales_superan_objetivo"),
-    ]
-    codes = F.filter(F.array(*[F.when(rule, F.lit(code)) for rule, code in rules]), lambda x: x.isNotNull())
-    return report.select("job", F.explode(codes).alias("code")).withColumn("blocking", F.col("code").isin(*P.BLOCKING))
+    """Warnings of jobs: job, code, message, blocking. jobs may have worded: whether words have times of their own."""
+    report = estimate(cuts, jobs).join(_having(jobs, worded=True).select("job", "worded"), "job")
+    target, total = F.col("target"), F.col("total")
+    return _warned(report, ["job"], [
+        (F.col("speed") > P.FAST_SPEED, "velocidad_alta", said("velocidad_alta", speed=comma(F.col("speed"), 2))),
+        (target < P.LOW_TARGET * total, "objetivo_muy_bajo", said("objetivo_muy_bajo", target=whole(target), low=whole(P.LOW_TARGET * total))),
+        (F.col("state") == "inalcanzable", "objetivo_muy_alto", said("objetivo_muy_alto", target=whole(target), top=whole(F.col("maximum")))),
+        (F.col("state") == "inviable", "esenciales_superan_objetivo", said("esenciales_superan_objetivo", essentials=whole(F.col("essentials")))),
+        (~F.col("worded"), "sin_marcas_por_palabra", said("sin_marcas_por_palabra")),
+    ])
 
 
 def dependency_warnings(cuts: DataFrame) -> DataFrame:
-    """Included cuts that depend on a cut that is not: job, id, depends_on."""
+    """Included cuts that depend on a cut that is not: job, id, depends_on, message."""
     wanted = cuts.where("included and depends_on is not null").select("job", "id", "depends_on")
     inside = cuts.where("included").select("job", F.col("id").alias("depends_on"))
-    return wanted.join(inside, ["job", "depends_on"], "left_anti").select("job", "id", "depends_on")
+    text = said("dependencia_excluida", cut=F.col("id"), other=F.col("depends_on"))
+    return wanted.join(inside, ["job", "depends_on"], "left_anti").select("job", "id", "depends_on", text.alias("message"))
 
 
 def topic_warnings(topics: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Essential topics (job, topic, id) without any included cut: job, topic, n (their cuts)."""
-    rows = topics.join(cuts.select("job", "id", "included"), ["job", "id"], "left")
-    found = rows.groupBy("job", "topic").agg(F.coalesce(F.bool_or("included"), F.lit(False)).alias("covered"), F.count(F.lit(1)).alias("n"))
-    return found.where("not covered").select("job", "topic", "n")
+    """Essential topics (job, topic, id) without any included cut: job, topic, n (their cuts), message.
+
+    A cut that an included one absorbed (cuts.absorbed, ids) is inside it.
+    """
+    inside = cuts.where("included").select("job", F.explode(F.concat(F.array("id"), F.col("absorbed") if "absorbed" in cuts.columns else F.array().cast("array<bigint>"))).alias("id"))
+    rows = topics.join(inside.distinct().withColumn("inside", F.lit(True)), ["job", "id"], "left")
+    found = rows.groupBy("job", "topic").agg(F.coalesce(F.bool_or("inside"), F.lit(False)).alias("covered"), F.count(F.lit(1)).alias("n"))
+    return found.where("not covered").select("job", "topic", "n", said("tema_sin_cubrir", topic=F.col("topic")).alias("message"))
+
 
+def violations(draft: DataFrame, texts: tuple = ("title",), flags: tuple = ()) -> DataFrame:
+    """Broken rules of a draft (job, id, start_ms, end_ms, priority, depends_on: ids or one; and if known total_ms): job, id, rule, n.
 
-def violations(draft: DataFrame) -> DataFrame:
-    """Broken rules of a draft (job, id, start_ms, end_ms, priority, depends_on, title): job, id, rule, n."""
+    texts and flags name the columns that must not be blank or null.
+    """
     own = [
-        (F.col("id") <= 0, "id"), (F.col("end_ms") <= F.col("start_ms"), "empty"), (~F.col("priority").isin(1, 2, 3), "priority"),
-        (F.trim("title") == "", "title"), (F.col("depends_on") == F.col("id"), "self"), (F.col("start_ms") < F.col("_before"), "order"),
+        (F.coalesce(F.col("id") <= 0, F.lit(True)), "id"), (F.col("start_ms").isNull() | F.col("end_ms").isNull(), "number"), (F.col("end_ms") <= F.col("start_ms"), "empty"),
+        (F.coalesce(~F.col("priority").isin(1, 2, 3), F.lit(True)), "priority"), (F.col("start_ms") < F.coalesce("_before", F.lit(0)), "order"),
+        *[(F.coalesce(F.trim(name) == "", F.lit(True)), name) for name in texts], *[(F.col(name).isNull(), name) for name in flags],
+        (F.exists("_refs", lambda x: F.coalesce(x == F.col("id"), F.lit(False))), "self"), (F.exists("_refs", lambda x: x.isNull()), "dependency"),
+        (F.size(F.array_distinct("_refs")) < F.size("_refs"), "repeated"),
     ]
+    if "total_ms" in draft.columns:
+        own.append((F.col("end_ms") > F.col("total_ms"), "range"))
+    listed = draft.schema["depends_on"].dataType.typeName() == "array"
+    refs = F.col("depends_on") if listed else F.filter(F.array("depends_on"), lambda x: x.isNotNull())
     order = Window.partitionBy("job").orderBy("start_ms", "end_ms", "id")
-    rows = draft.withColumn("_before", F.lag("end_ms").over(order))
+    rows = draft.withColumns({"_before": F.lag("end_ms").over(order), "_refs": F.coalesce(refs, F.array().cast("array<bigint>"))})
     codes = F.filter(F.array(*[F.when(rule, F.lit(code)) for rule, code in own]), lambda x: x.isNotNull())
     single = rows.select("job", "id", F.explode(codes).alias("rule")).groupBy("job", "id", "rule").agg(F.count(F.lit(1)).alias("n"))
     twice = draft.groupBy("job", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("job", "id", F.lit("duplicate").alias("rule"), "n")
-    refs = draft.where("depends_on is not null").select("job", "id", "depends_on")
-    known = draft.select("job", F.col("id").alias("depends_on")).distinct()
-    lost = refs.join(known, ["job", "depends_on"], "left_anti").groupBy("job", "id").agg(F.count(F.lit(1)).alias("n"))
+    named = rows.select("job", "id", F.explode("_refs").alias("ref")).where("ref is not null")
+    known = draft.select("job", F.col("id").alias("ref")).distinct()
+    lost = named.join(known, ["job", "ref"], "left_anti").groupBy("job", "id").agg(F.count(F.lit(1)).alias("n"))
     return single.unionByName(twice).unionByName(lost.select("job", "id", F.lit("reference").alias("rule"), "n"))
 
 
+def topic_violations(topics: DataFrame, draft: DataFrame) -> DataFrame:
+    """Broken rules of topics (job, topic, name, cuts: ids, essential): job, topic, rule."""
+    known = draft.select("job", F.col("id").alias("cut")).distinct()
+    cited = topics.select("job", "topic", F.explode("cuts").alias("cut")).where("cut is not null")
+    lost = cited.join(known, ["job", "cut"], "left_anti").select("job", "topic").distinct().withColumn("lost", F.lit(True))
+    rows = topics.join(lost, ["job", "topic"], "left")
+    rules = [
+        (F.coalesce(F.trim("name") == "", F.lit(True)), "name"), (F.exists("cuts", lambda x: x.isNull()) | (F.size(F.array_distinct("cuts")) < F.size("cuts")), "cuts"),
+        (F.col("lost").isNotNull(), "reference"), (F.col("essential").isNull(), "essential"),
+    ]
+    codes = F.filter(F.array(*[F.when(rule, F.lit(code)) for rule, code in rules]), lambda x: x.isNotNull())
+    return rows.select("job", "topic", F.explode(codes).alias("rule"))
+
+
+def exclusion_violations(excluded: DataFrame) -> DataFrame:
+    """Exclusions (job, position, title, reason) that lack a text: job, position."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    return excluded.where(blank("title") | blank("reason")).select("job", "position")
+
+
 def version_diff(old: DataFrame, new: DataFrame, slack_ms: int = 50) -> DataFrame:
     """Cuts (job, id, length_ms, title) that were added, removed or changed: job, id, change, before_ms, after_ms."""
     a = old.select("job", "id", F.col("length_ms").alias("before_ms"), F.col("title").alias("_old"))
@@ -214,7 +306,10 @@ def fuse(rows: DataFrame, interval: float) -> DataFrame:
     """Neighbours (job, id, lo, hi, included, priority, pinned, text) nearer than a frame and alike in `included` as one.
 
     id and priority are the least, pinned is any, texts are joined where the next differs from all so far; absorbed lists ids.
+    Of further columns visual_only and remove_pauses hold if they do for all, and depends_on (ids) lists those outside.
     """
+    further = [c for c in ("visual_only", "remove_pauses") if c in rows.columns]
+    leans = "depends_on" in rows.columns
     order = Window.partitionBy("job").orderBy("lo", "hi", "id")
     gap = F.col("lo") - F.lag("hi").over(order)
     new = F.lag("hi").over(order).isNull() | (gap >= F.lit(interval - P.EPSILON)) | (F.col("included") != F.lag("included").over(order))
@@ -222,16 +317,18 @@ def fuse(rows: DataFrame, interval: float) -> DataFrame:
     grouped = marked.groupBy("job", "_group").agg(
         F.min("id").alias("id"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("included").alias("included"),
         F.min("priority").alias("priority"), F.bool_or("pinned").alias("pinned"),
-        F.array_sort(F.collect_list(F.struct("lo", "hi", "id", "text"))).alias("_parts"),
+        F.array_sort(F.collect_list(F.struct("lo", "hi", "id", "text"))).alias("_parts"), *[F.bool_and(c).alias(c) for c in further],
+        *([F.flatten(F.collect_list("depends_on")).alias("_refs")] if leans else []),
     )
 
-    def said(text, part):
+    def joined(text, part):
         same = (text == part["text"]) | (F.trim(text) == "") | (F.trim(part["text"]) == "")
         return F.when(same, text).otherwise(F.concat(text, F.lit(" · "), part["text"]))
 
-    text = F.aggregate(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), F.col("_parts")[0]["text"], said)
+    text = F.aggregate(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), F.col("_parts")[0]["text"], joined)
     ids = F.array_sort(F.transform("_parts", lambda x: x["id"]))
-    return grouped.select("job", "id", "lo", "hi", "included", "priority", "pinned", text.alias("text"), F.array_except(ids, F.array("id")).alias("absorbed"))
+    return grouped.select("job", "id", "lo", "hi", "included", "priority", "pinned", text.alias("text"), F.array_except(ids, F.array("id")).alias("absorbed"),
+                          *further, *([F.array_sort(F.array_except("_refs", ids)).alias("depends_on")] if leans else []))
 
 
 def remap(edges: DataFrame, fused: DataFrame) -> DataFrame:

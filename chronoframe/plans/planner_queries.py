@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoframe.functions.scalars import frame_count, frames_for, half_up, parse_target as target_of, samples_for, snap, tolerance
-from chronoframe.operators import blocks, intervals, planner, reports
+from chronoframe.operators import blocks, gates, intervals, planner, reports
 from chronoframe.sources import bindings as B
 
 
@@ -55,12 +55,22 @@ def suggest_infeasible(spark, sf_dir):
     return found.select("job", "faster", "minimum", F.array_join("cuts", ",").alias("cuts"))
 
 
+def _warned_cuts(spark, sf_dir):
+    cuts, jobs = _jobs(spark, sf_dir)
+    return planner.cut_warnings(cuts, jobs.withColumn("pauses", F.col("job") % 10 != 0))
+
+
+def _warned_jobs(spark, sf_dir):
+    cuts, jobs = _jobs(spark, sf_dir)
+    return planner.global_warnings(cuts, jobs.withColumn("worded", F.col("job") % 6 != 0))
+
+
 def cut_warnings(spark, sf_dir):
-    return planner.cut_warnings(*_jobs(spark, sf_dir))
+    return _warned_cuts(spark, sf_dir)
 
 
 def global_warnings(spark, sf_dir):
-    return planner.global_warnings(*_jobs(spark, sf_dir))
+    return _warned_jobs(spark, sf_dir)
 
 
 def dependency_warnings(spark, sf_dir):
@@ -69,19 +79,48 @@ def dependency_warnings(spark, sf_dir):
 
 def topic_warnings(spark, sf_dir):
     cuts, part = _cuts(spark, sf_dir), B.table(spark, sf_dir, "part")
+    cuts = cuts.withColumn("absorbed", F.when(F.col("id") % 2 == 0, F.array(F.col("id") - 1)).otherwise(F.array().cast("array<bigint>")))
     topics = cuts.join(part, F.col("part") == F.col("p_partkey")).where("p_type in ('ECONOMY', 'PROMO')").select("job", F.col("p_type").alias("topic"), "id")
     return planner.topic_warnings(topics, cuts)
 
 
-def draft_violations(spark, sf_dir):
+def _draft(spark, sf_dir):
     rows = B.table(spark, sf_dir, "lineitem")
-    draft = rows.select(
-        F.col("l_orderkey").alias("job"), F.col("l_linenumber").cast("long").alias("id"), (F.col("l_linenumber") * 30000).cast("long").alias("start_ms"),
-        (F.col("l_linenumber") * 30000 + F.round(F.col("l_quantity") * 1000)).cast("long").alias("end_ms"),
-        F.when(F.col("l_discount") > 0.09, 4).otherwise(1).alias("priority"),
-        F.when(F.col("l_linenumber") % 3 == 0, F.col("l_linenumber") - 2).cast("long").alias("depends_on"), F.col("l_returnflag").alias("title"),
+    line = F.col("l_linenumber").cast("long")
+    other = F.when(F.col("l_partkey") % 17 == 0, F.array(line - 2, line - 2)).otherwise(F.array(line - 2))
+    return rows.select(
+        F.col("l_orderkey").alias("job"), line.alias("id"), (line * 30000).alias("start_ms"), (line * 30000 + F.round(F.col("l_quantity") * 1000)).cast("long").alias("end_ms"),
+        F.when(F.col("l_discount") > 0.09, 4).otherwise(1).alias("priority"), F.when(line % 3 == 0, other).otherwise(F.array().cast("array<bigint>")).alias("depends_on"),
+        F.col("l_returnflag").alias("title"), F.when(F.col("l_suppkey") % 7 == 0, " ").otherwise("said").alias("phrase"),
+        F.when(F.col("l_partkey") % 13 > 0, F.col("l_tax") > 0.04).alias("pinned"), F.lit(230000).cast("long").alias("total_ms"),
+    )
+
+
+def draft_violations(spark, sf_dir):
+    return planner.violations(_draft(spark, sf_dir), ("title", "phrase"), ("pinned",))
+
+
+def topic_violations(spark, sf_dir):
+    part = B.table(spark, sf_dir, "part")
+    size, key = F.col("p_size").cast("long") % 9, F.col("p_partkey")
+    topics = part.select(
+        key.alias("job"), F.lit(1).alias("topic"), F.when(key % 10 == 0, F.lit(" ")).otherwise(F.col("p_type")).alias("name"),
+        F.array(size, F.when(key % 7 == 0, size).otherwise(size + 1)).alias("cuts"), F.when(key % 11 > 0, key % 2 == 0).alias("essential"),
     )
-    return planner.violations(draft)
+    return planner.topic_violations(topics, _draft(spark, sf_dir))
+
+
+def exclusion_violations(spark, sf_dir):
+    customer = B.table(spark, sf_dir, "customer")
+    reason = F.when(F.col("c_custkey") % 9 == 0, F.lit(None)).when(F.col("c_custkey") % 8 == 0, "  ").otherwise(F.col("c_mktsegment"))
+    return planner.exclusion_violations(customer.select(F.col("c_nationkey").alias("job"), F.col("c_custkey").alias("position"), F.col("c_name").alias("title"), reason.alias("reason")))
+
+
+def plan_acceptance(spark, sf_dir):
+    both = _warned_cuts(spark, sf_dir).unionByName(_warned_jobs(spark, sf_dir), allowMissingColumns=True)
+    _, jobs = _jobs(spark, sf_dir)
+    asked = jobs.select("job", F.when(F.col("job") % 3 == 0, F.concat(F.lit("sí, la "), "job")).when(F.col("job") % 3 == 1, " ").alias("phrase"), (F.col("job") % 5 == 0).alias("direct"))
+    return gates.accepted(asked, both)
 
 
 def _versions(spark, sf_dir):
@@ -110,12 +149,13 @@ def revert_draft(spark, sf_dir):
 
 def _neighbours(spark, sf_dir):
     cuts = _cuts(spark, sf_dir)
-    return cuts.select("job", "id", (F.col("start_ms") / 1000.0).alias("lo"), (F.col("end_ms") / 1000.0).alias("hi"), "included", "priority", "pinned", F.concat(F.lit("t"), F.floor(F.col("id") / 2)).alias("text"))
+    return cuts.select("job", "id", (F.col("start_ms") / 1000.0).alias("lo"), (F.col("end_ms") / 1000.0).alias("hi"), "included", "priority", "pinned", F.concat(F.lit("t"), F.floor(F.col("id") / 2)).alias("text"), "visual_only", "remove_pauses",
+                       F.filter(F.array("depends_on"), lambda x: x.isNotNull()).alias("depends_on"))
 
 
 def fused_cuts(spark, sf_dir):
     found = planner.fuse(_neighbours(spark, sf_dir), 0.04)
-    return found.withColumn("absorbed", F.array_join("absorbed", ","))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("absorbed", "depends_on")})
 
 
 def dependency_remap(spark, sf_dir):
@@ -218,10 +258,30 @@ _M = _J + MEASURED_SQL
 
 QUERIES = {f.__name__: f for f in (
     frame_snap, plan_estimate, plan_state, plan_alternatives, suggest_drop, suggest_add, suggest_infeasible, cut_warnings, global_warnings, dependency_warnings,
-    topic_warnings, draft_violations, version_diff, import_draft, revert_draft, fused_cuts, dependency_remap, subcut_split, part_checks, sweep_blocks,
+    topic_warnings, draft_violations, topic_violations, exclusion_violations, plan_acceptance, version_diff, import_draft, revert_draft, fused_cuts, dependency_remap, subcut_split, part_checks, sweep_blocks,
     sweep_budget, resume_blocks, proposal_text, parse_target, labels_fallback, version_reserve,
 )}
 
+_COMMA = lambda x, n=1: f"replace(printf('%.{n}f', floor(({x}) * {10**n}.0::double + 0.5::double) / {10**n}.0::double), '.', ',')"
+_WHOLE = lambda x: f"cast(floor(({x}) + 0.5::double) as bigint)"
+_WARNED_SQL = _M + f""",
+wm as (select c.*, speed, job % 10 <> 0 as pauses, case when remove_pauses and job % 10 <> 0 then kept_ms else end_ms - start_ms end as length_ms from cuts c join jobs using (job) where included),
+wr as (select *, greatest(0, floor(length_ms / 1000.0::double * 25 / speed + 0.5)) / 25.0::double as output, length_ms / 1000.0::double < speed / 25 - 1e-9 as empty, 1 - length_ms / (end_ms - start_ms)::double as removed,
+              pauses and not visual_only and remove_pauses as measured from wm),
+cw as (select job, id, 'corte_vacio' as code, 'El corte ' || id || ' se queda sin tramos tras quitar pausas; vuelve a las reservas.' as message, true as blocking from wr where empty
+ union all select job, id, 'borde_en_voz', 'El corte ' || id || ' no encuentra silencio en los 0,6 s del borde ni hueco entre palabras: la unión puede partir una palabra.', false from wr where not empty and note
+ union all select job, id, 'visual_breve', 'El corte visual ' || id || ' dura ' || {_COMMA('output')} || ' s de salida; cuesta leerlo.', false from wr where not empty and visual_only and output < 4
+ union all select job, id, 'corte_breve', 'El corte ' || id || ' dura ' || {_COMMA('output')} || ' s de salida; puede quedar descontextualizado.', false from wr where not empty and not visual_only and output < 3
+ union all select job, id, 'pausas_excesivas', 'En el corte ' || id || ' se elimina el ' || {_WHOLE('100 * removed')} || ' % por pausas.', false from wr where not empty and measured and removed > 0.45::double
+ union all select job, id, 'sin_pausas_detectadas', 'El fondo del corte ' || id || ' supera −53 dBFS: revisa el umbral de silencio.', false from wr where not empty and measured and quiet > -53),
+gw as (select job, 'velocidad_alta' as code, 'Velocidad ×' || {_COMMA('speed', 2)} || ': por encima de ×1,5 la voz técnica cuesta de seguir.' as message, false as blocking from st where speed > 1.5
+ union all select job, 'objetivo_muy_bajo', 'El objetivo (' || {_WHOLE('target')} || ' s) es menor que el 5 % del original (' || {_WHOLE('0.05::double * total')} || ' s).', false from st where target < 0.05::double * total
+ union all select job, 'objetivo_muy_alto', 'Ni conservando todo el material se llega a ' || {_WHOLE('target')} || ' s: el máximo es ' || {_WHOLE(_R3('top'))} || ' s.', false from st where state = 'inalcanzable'
+ union all select job, 'esenciales_superan_objetivo', 'Los cortes de prioridad 1 suman ' || {_WHOLE('essentials')} || ' s, por encima de la banda.', true from st where state = 'inviable'
+ union all select job, 'sin_marcas_por_palabra', 'La transcripción procede de subtítulos sin palabras: los bordes usan límites de segmento.', false from st where job % 6 = 0)"""
+_DRAFT_SQL = """with d as (select l_orderkey as job, l_linenumber::bigint as id, l_linenumber * 30000::bigint as start_ms, cast(l_linenumber * 30000 + round(l_quantity * 1000) as bigint) as end_ms,
+case when l_discount > 0.09 then 4 else 1 end as priority, case when l_linenumber % 3 <> 0 then [] when l_partkey % 17 = 0 then [l_linenumber - 2, l_linenumber - 2] else [l_linenumber - 2] end as refs,
+l_suppkey % 7 = 0 as silent, l_partkey % 13 = 0 as undecided from lineitem)"""
 _PIECES_SQL = """with p0 as (select l_suppkey as job, l_orderkey::double as lo, max(l_quantity) as q from lineitem group by all),
 sp as (select job, lo, lo + floor(q) / 64.0::double as hi from p0),
 tt as (select job, count(*) as n, cast(floor(sum(hi - lo) * 25 / 1.25::double + 0.5) as bigint) as frames from sp group by job),
@@ -269,22 +329,35 @@ ca as (select m.job, m.id, m.frames, excess, coalesce(sum(frames) over (partitio
        from mv m join iv using (job) where included and not empty and free and priority = 1),
 cb as (select job, string_agg(cast(id as varchar), ',' order by frames desc, id) as cuts from ca where before < excess group by job)
 select iv.job, faster, minimum, cuts from iv left join cb using (job)""",
-    "cut_warnings": _M + """,
-wr as (select job, id, empty, frames / 25.0::double as output, remove_pauses, 1 - length_ms / (end_ms - start_ms)::double as removed from ms where included)
-select job, id, 'corte_vacio' as code, true as blocking from wr where empty union all select job, id, 'corte_breve', false from wr where not empty and output < 3
-union all select job, id, 'pausas_excesivas', false from wr where not empty and remove_pauses and removed > 0.09::double""",
-    "global_warnings": _M + """
-select job, 'velocidad_alta' as code, false as blocking from st where speed > 1.5 union all select job, 'objetivo_muy_bajo', false from st where target < 0.05::double * total
-union all select job, 'objetivo_muy_alto', false from st where state = 'inalcanzable' union all select job, 'esenciales_superan_objetivo', true from st where state = 'inviable'""",
-    "dependency_warnings": _C + " select job, id, depends_on from cuts c where included and depends_on is not null and not exists (select 1 from cuts d where d.job = c.job and d.id = c.depends_on and d.included)",
-    "topic_warnings": _C + " select job, p_type as topic, cast(count(*) as bigint) as n from cuts join part on part = p_partkey where p_type in ('ECONOMY', 'PROMO') group by job, p_type having not bool_or(included)",
-    "draft_violations": """with d as (select l_orderkey as job, l_linenumber::bigint as id, l_linenumber * 30000::bigint as start_ms, cast(l_linenumber * 30000 + round(l_quantity * 1000) as bigint) as end_ms,
-case when l_discount > 0.09 then 4 else 1 end as priority, case when l_linenumber % 3 = 0 then l_linenumber - 2 end as depends_on from lineitem),
-o as (select *, lag(end_ms) over (partition by job order by start_ms, end_ms, id) as before from d)
+    "cut_warnings": _WARNED_SQL + " select job, id, code, message, blocking from cw",
+    "global_warnings": _WARNED_SQL + " select job, code, message, blocking from gw",
+    "plan_acceptance": _WARNED_SQL + """,
+bw as (select job, id, code, message from cw where blocking union all select job, null, code, message from gw where blocking),
+bl as (select job, string_agg(code || ': ' || message, '; ' order by code, message) as detail, array_to_string(list_sort(list(distinct cast(id as varchar)) filter (where id is not null)), ', ') as cuts from bw group by job),
+aj as (select job, case job % 3 when 0 then 'sí, la ' || job when 1 then ' ' end as phrase, job % 5 = 0 as direct from jobs)
+select aj.job, case when bl.job is not null then 'bloqueado' when not direct and phrase is null then 'sin_aceptar' else 'aceptado' end as state, detail, nullif(cuts, '') as cuts,
+       case when bl.job is null and (direct or phrase is not null) then phrase end as phrase from aj left join bl using (job)""",
+    "dependency_warnings": _C + " select job, id, depends_on, 'El corte ' || id || ' depende del ' || depends_on || ', que no está incluido.' as message from cuts c where included and depends_on is not null and not exists (select 1 from cuts d where d.job = c.job and d.id = c.depends_on and d.included)",
+    "topic_warnings": _C + """, tp as (select job, p_type as topic, id from cuts join part on part = p_partkey where p_type in ('ECONOMY', 'PROMO')),
+ic as (select job, id from cuts where included union select job, id - 1 from cuts where included and id % 2 = 0)
+select tp.job, topic, cast(count(*) as bigint) as n, 'El tema «' || topic || '» se marcó imprescindible y no tiene ningún corte incluido.' as message
+from tp left join ic on ic.job = tp.job and ic.id = tp.id group by tp.job, topic having not bool_or(ic.id is not null)""",
+    "draft_violations": _DRAFT_SQL + """, o as (select *, lag(end_ms) over (partition by job order by start_ms, end_ms, id) as before from d),
+x as (select job, id, unnest(refs) as ref from d)
 select job, id, 'order' as rule, cast(count(*) as bigint) as n from o where start_ms < before group by all
+union all select job, id, 'id', count(*) from d where id <= 0 group by all
 union all select job, id, 'priority', count(*) from d where priority = 4 group by all
+union all select job, id, 'phrase', count(*) from d where silent group by all
+union all select job, id, 'pinned', count(*) from d where undecided group by all
+union all select job, id, 'range', count(*) from d where end_ms > 230000 group by all
+union all select job, id, 'repeated', count(*) from d where len(refs) = 2 group by all
 union all select job, id, 'duplicate', count(*) from d group by job, id having count(*) > 1
-union all select job, id, 'reference', count(*) from d where depends_on is not null and not exists (select 1 from d e where e.job = d.job and e.id = d.depends_on) group by job, id""",
+union all select job, id, 'reference', count(*) from x where not exists (select 1 from d e where e.job = x.job and e.id = x.ref) group by job, id""",
+    "topic_violations": _DRAFT_SQL + """, t as (select p_partkey as job, p_partkey % 10 = 0 as nameless, p_partkey % 11 = 0 as undecided, [p_size % 9, case when p_partkey % 7 = 0 then p_size % 9 else p_size % 9 + 1 end] as cuts from part),
+u as (select *, exists (select 1 from d where d.job = t.job and d.id = cuts[1]) and exists (select 1 from d where d.job = t.job and d.id = cuts[2]) as fine from t)
+select job, 1 as topic, 'name' as rule from u where nameless union all select job, 1, 'cuts' from u where cuts[1] = cuts[2]
+union all select job, 1, 'reference' from u where not fine union all select job, 1, 'essential' from u where undecided""",
+    "exclusion_violations": "select c_nationkey as job, c_custkey as position from customer where c_custkey % 9 = 0 or c_custkey % 8 = 0",
     "version_diff": _C + """,
 o as (select job, id, end_ms - start_ms as before_ms from cuts where included),
 n as (select job, id, end_ms - start_ms - case when remove_pauses and depends_on is not null then 1000 when pinned then 40 else 0 end as after_ms, pinned and priority = 2 as renamed
@@ -295,14 +368,16 @@ select job, id, change, before_ms, after_ms from c where change is not null""",
     "import_draft": _C + " select job, id, start_ms, end_ms, 1 as priority, true as included, false as pinned from cuts",
     "revert_draft": _C + " select job, id, start_ms, end_ms, included from cuts",
     "fused_cuts": _C + """,
-r as (select job, id, start_ms / 1000.0::double as lo, end_ms / 1000.0::double as hi, included, priority, pinned, 't' || (id // 2) as text from cuts),
+r as (select job, id, start_ms / 1000.0::double as lo, end_ms / 1000.0::double as hi, included, priority, pinned, 't' || (id // 2) as text, visual_only, remove_pauses, depends_on from cuts),
 m as (select *, case when lag(hi) over w is null or lo - lag(hi) over w >= 0.04 - 1e-9 or included <> lag(included) over w then 1 else 0 end as new from r window w as (partition by job order by lo, hi, id)),
 g as (select *, sum(new) over (partition by job order by lo, hi, id) as grp from m),
 t as (select *, case when row_number() over (partition by job, grp order by lo, hi, id) = 1 then text
         when text = lag(text) over (partition by job, grp order by lo, hi, id) and row_number() over (partition by job, grp order by lo, hi, id) = 2 then '' else ' · ' || text end as said from g)
 select job, min(id) as id, min(lo) as lo, max(hi) as hi, any_value(included) as included, min(priority) as priority, bool_or(pinned) as pinned,
-       string_agg(said, '' order by lo, hi, id) as text, coalesce(string_agg(cast(id as varchar), ',' order by id) filter (where id <> first), '') as absorbed
-from (select *, min(id) over (partition by job, grp) as first from t) group by job, grp""",
+       string_agg(said, '' order by lo, hi, id) as text, coalesce(string_agg(cast(id as varchar), ',' order by id) filter (where id <> first), '') as absorbed,
+       bool_and(visual_only) as visual_only, bool_and(remove_pauses) as remove_pauses,
+       coalesce(array_to_string(list_sort(list(distinct depends_on) filter (where depends_on is not null and not list_contains(ids, depends_on))), ','), '') as depends_on
+from (select *, min(id) over (partition by job, grp) as first, list(id) over (partition by job, grp) as ids from t) group by job, grp""",
     "dependency_remap": _C + """,
 m as (select job, id, start_ms, end_ms, depends_on, case when lag(end_ms) over w is null or start_ms / 1000.0::double - lag(end_ms) over w / 1000.0::double >= 0.04 - 1e-9 or included <> lag(included) over w then 1 else 0 end as new from cuts window w as (partition by job order by start_ms, end_ms, id)),
 g as (select *, sum(new) over (partition by job order by start_ms, end_ms, id) as grp from m),

@@ -49,7 +49,7 @@ def words(segments: DataFrame) -> DataFrame:
 
 def cuts(lineitem: DataFrame) -> DataFrame:
     """Candidate cuts of a job: job, id, start_ms, end_ms, kept_ms, priority, included, pinned, remove_pauses,
-    depends_on (null or an id), part.
+    depends_on (null or an id), part, visual_only, note (an edge stayed in speech), quiet (a level).
 
     Lengths are quantities in seconds; gaps between cuts are 0, 20 or 40 ms and, after each fourth cut, 2 s.
     """
@@ -61,13 +61,14 @@ def cuts(lineitem: DataFrame) -> DataFrame:
     before = Window.partitionBy("job").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("length") + F.col("gap")).over(before), F.lit(0))
     percent = F.round(F.col("l_discount") * 100).cast("long")
-    kept = F.when(F.col("l_tax") > 0.02, F.floor(F.col("length") * (100 - percent) / 100)).otherwise(F.col("length"))
+    kept = F.when(F.col("l_tax") > 0.02, F.floor(F.col("length") * (100 - 6 * percent) / 100)).otherwise(F.col("length"))
     return rows.select(
         "job", "id", start.alias("start_ms"), (start + F.col("length")).alias("end_ms"), kept.cast("long").alias("kept_ms"),
         F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3).alias("priority"),
         (F.col("l_linestatus") == "F").alias("included"), (F.col("l_tax") >= 0.07).alias("pinned"), (F.col("l_tax") > 0.02).alias("remove_pauses"),
         F.when((F.col("id") > 1) & (percent % 3 == 0), F.col("id") - 1).alias("depends_on"),
-        F.col("l_partkey").alias("part"),
+        F.col("l_partkey").alias("part"), (F.col("l_partkey") % 11 == 0).alias("visual_only"), (F.col("l_partkey") % 13 == 0).alias("note"),
+        (F.col("l_partkey") % 20 - 60.0).alias("quiet"),
     )
 
 
@@ -104,9 +105,10 @@ c0 as (select l_orderkey as job, row_number() over (partition by l_orderkey orde
               cast(round(l_quantity * 1000) as bigint) as length, cast(round(l_discount * 100) as bigint) as percent, l_tax, l_returnflag, l_linestatus, l_partkey from lineitem),
 c1 as (select *, coalesce(sum(length + id % 3 * 20 + case when id % 4 = 0 then 2000 else 0 end) over (partition by job order by id rows between unbounded preceding and 1 preceding), 0) as s from c0),
 cuts as (select job, id, cast(s as bigint) as start_ms, cast(s + length as bigint) as end_ms,
-                cast(case when l_tax > 0.02 then floor(length * (100 - percent) / 100) else length end as bigint) as kept_ms,
+                cast(case when l_tax > 0.02 then floor(length * (100 - 6 * percent) / 100) else length end as bigint) as kept_ms,
                 case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end as priority, l_linestatus = 'F' as included, l_tax >= 0.07 as pinned, l_tax > 0.02 as remove_pauses,
-                case when id > 1 and percent % 3 = 0 then id - 1 end as depends_on, l_partkey as part from c1)"""
+                case when id > 1 and percent % 3 = 0 then id - 1 end as depends_on, l_partkey as part,
+                l_partkey % 11 = 0 as visual_only, l_partkey % 13 = 0 as note, l_partkey % 20 - 60.0::double as quiet from c1)"""
 
 JOBS_SQL = CUTS_SQL + """,
 jt as (select job, max(end_ms) + 5000 as total_ms from cuts group by job),
