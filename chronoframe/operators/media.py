@@ -93,3 +93,21 @@ def packet_gaps(packets: DataFrame, factor: float = 1.5, most: int = 600) -> Dat
     first = known.withColumns({"_n": F.row_number().over(order), "_gap": F.col("stamp") - F.lag("stamp").over(order)}).where(F.col("_n") <= most)
     wide = F.when(F.col("_gap") > F.col("interval") * factor, half_up(F.col("_gap"), 6))
     return first.groupBy("job").agg(F.count(F.lit(1)).alias("packets"), F.count(wide).alias("gaps"), F.max(wide).alias("longest"))
+
+
+# The texts of warnings on a source.
+VARIABLE = ("fuente_vfr", "La cadencia declarada no es constante (r_frame_rate ", ", avg_frame_rate ", "): el montaje fija F y normaliza con el filtro fps.")
+GAPS = ("huecos_pts", "El sondeo de los primeros ", " paquetes encuentra ", " saltos mayores de un fotograma (el mayor, ", " s): puede faltar imagen en el original.")
+
+
+def packet_warnings(probes: DataFrame, packets: DataFrame) -> DataFrame:
+    """Of recordings with pictures and sound, whether the declared rate is not constant and whether first packets (job, stamp) are missing:
+    job, code, message, blocking."""
+    rows = timeline(probes).where("kind = 'video'")
+    rows = rows.select("job", "interval", F.get(pictures(), F.lit(0)).alias("picture"))
+    rates = [F.col("picture.r_frame_rate"), F.col("picture.avg_frame_rate")]
+    varies = F.concat(F.lit(VARIABLE[1]), rates[0], F.lit(VARIABLE[2]), rates[1], F.lit(VARIABLE[3]))
+    uneven = rows.where(~rates[0].eqNullSafe(rates[1])).select("job", F.lit(VARIABLE[0]).alias("code"), varies.alias("message"))
+    found = packet_gaps(packets.join(rows.select("job", "interval"), "job")).where("gaps > 0")
+    missing = F.concat(F.lit(GAPS[1]), "packets", F.lit(GAPS[2]), "gaps", F.lit(GAPS[3]), F.format_string("%.3f", "longest"), F.lit(GAPS[4]))
+    return uneven.unionByName(found.select("job", F.lit(GAPS[0]).alias("code"), missing.alias("message"))).withColumn("blocking", F.lit(False))

@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -81,3 +83,25 @@ def next_version(spark: SparkSession, folder: str) -> int:
         return 1
     names = [s.getPath().getName() for s in fs.listStatus(path)]
     return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=") and n[8:].isdigit()), default=0) + 1
+
+
+def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """A published version."""
+    return spark.read.parquet(f"{folder}/version={version}")
+
+
+def read_replaced(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The table that replace_with wrote last; None before the first time."""
+    last = next_version(spark, folder) - 1
+    return read_version(spark, folder, last) if last else None
+
+
+def replace_with(spark: SparkSession, folder: str, change) -> None:
+    """Write change(old table or None) beside the old one and then give it its name at once, so that readers see one or the other whole."""
+    new = next_version(spark, folder)
+    staged = f"{folder}/staged-{uuid.uuid4().hex}"
+    change(read_replaced(spark, folder)).write.parquet(staged)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(staged)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).rename(path, jvm.Path(f"{folder}/version={new}")):
+        raise FileExistsError(f"{folder}/version={new} was written by another")
