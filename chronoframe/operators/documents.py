@@ -44,9 +44,11 @@ def strip_tags(text: Column) -> Column:
 
 
 def tree_digest(files: DataFrame, keys: list[str]) -> DataFrame:
-    """One digest for all files (keys, name, content) of a tree: of the digests of 256 parts, each of its sorted files."""
+    """One digest for all files (keys, name, content) of a tree, level by level: of 65,536 parts of its sorted files, of 256 parts of these, of all."""
     each = files.select(*keys, F.concat(F.col("name").cast("string"), F.lit(":"), digest(F.col("content"))).alias("entry"))
-    parts = each.withColumn("part", F.substring(F.md5(F.encode("entry", "UTF-8")), 1, 2)).groupBy(*keys, "part")
-    parts = parts.agg(digest(F.array_join(F.array_sort(F.collect_list("entry")), "\n")).alias("part_digest"), F.count(F.lit(1)).alias("n"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "part_digest"))), lambda x: x["part_digest"])
-    return parts.groupBy(*keys).agg(digest(F.array_join(whole, "\n")).alias("digest"), F.sum("n").alias("files"))
+    parts = each.withColumn("part", F.substring(F.md5(F.encode("entry", "UTF-8")), 1, 4)).groupBy(*keys, "part")
+    parts = parts.agg(digest(F.array_join(F.array_sort(F.collect_list("entry")), "\n")).alias("d"), F.count(F.lit(1)).alias("n"))
+    for size in (2, 0):
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"])
+        parts = parts.groupBy(*keys, F.substring("part", 1, size).alias("up")).agg(digest(F.array_join(listed, "\n")).alias("d"), F.sum("n").alias("n")).withColumnRenamed("up", "part")
+    return parts.select(*keys, F.col("d").alias("digest"), F.col("n").alias("files"))

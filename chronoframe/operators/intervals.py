@@ -1,7 +1,8 @@
 """Interval algebra on DataFrames: runs, merge, complement, difference, overlap and as-of joins, chunks.
 
-Intervals are two columns, lo and hi; keys name the columns of a job. Every operator is partitioned by its keys, and the
-joins also by buckets of time, so that a long job is not one task's work.
+Intervals are two columns, lo and hi; keys name the columns of a job. Overlap and as-of joins and runs are partitioned by
+buckets of time beside the keys, so that a long job is not one task's work; merge and complement need all that came before, and are
+partitioned by their keys alone.
 """
 
 from __future__ import annotations
@@ -13,11 +14,23 @@ from chronoframe import parameters as P
 from chronoframe.functions.scalars import snap
 
 
-def runs(rows: DataFrame, keys: list[str], position: str = "i") -> DataFrame:
-    """Maximal runs of consecutive positions: keys, first, last."""
-    order = Window.partitionBy(*keys).orderBy(position)
-    marked = rows.select(*keys, position, (F.col(position) - F.row_number().over(order)).alias("_run"))
-    return marked.groupBy(*keys, "_run").agg(F.min(position).alias("first"), F.max(position).alias("last")).drop("_run")
+def runs(rows: DataFrame, keys: list[str], position: str = "i", stretch: int = 4096) -> DataFrame:
+    """Maximal runs of consecutive positions: keys, first, last.
+
+    Runs of each stretch of positions first; then those that touch a border of their stretch, two for each at most, are joined.
+    """
+    at = F.floor(F.col(position) / stretch)
+    order = Window.partitionBy(*keys, "_stretch").orderBy(position)
+    marked = rows.select(*keys, position, at.cast("long").alias("_stretch"))
+    marked = marked.withColumn("_run", F.col(position) - F.row_number().over(order))
+    parts = marked.groupBy(*keys, "_stretch", "_run").agg(F.min(position).alias("first"), F.max(position).alias("last"))
+    inner = (F.col("first") > F.col("_stretch") * stretch) & (F.col("last") < (F.col("_stretch") + 1) * stretch - 1)
+    # A run inside its stretch is a group of its own, and the others are in order of all that touch a border.
+    border = Window.partitionBy(*keys, "_inner").orderBy("first")
+    parts = parts.withColumn("_inner", F.when(inner, F.col("first")))
+    parts = parts.withColumn("_new", F.coalesce((F.lag("last").over(border) + 1 != F.col("first")).cast("int"), F.lit(1)))
+    parts = parts.withColumn("_group", F.sum("_new").over(border))
+    return parts.groupBy(*keys, "_inner", "_group").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_inner", "_group")
 
 
 def merge(rows: DataFrame, keys: list[str], slack: float = 0.0) -> DataFrame:
@@ -70,15 +83,17 @@ def difference(gaps: DataFrame, protected: DataFrame, keys: list[str], width: fl
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, edge: str, reach: float, forward: bool = False) -> DataFrame:
     """left with `nearest`: the last edge of right at or before left's instant (or the first at or after it), within reach.
 
-    One sorted pass over both sides together instead of a range join.
+    One sorted pass over both sides together instead of a range join, in buckets as wide as the reach: an edge goes to its own and the next.
     """
     sign = -1.0 if forward else 1.0
-    ours = left.withColumns({"_t": F.col(at) * sign, "_edge": F.lit(None).cast("double"), "_side": F.lit(1)})
+    bucket = lambda t: F.floor(t / F.lit(float(reach))).cast("long")
+    ours = left.withColumns({"_t": F.col(at) * sign, "_edge": F.lit(None).cast("double"), "_side": F.lit(1)}).withColumn("_bucket", bucket(F.col("_t")))
     theirs = right.select(*keys, (F.col(edge) * sign).alias("_t"), F.col(edge).alias("_edge"), F.lit(0).alias("_side"))
-    order = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    theirs = theirs.select("*", F.explode(F.array(bucket(F.col("_t")), bucket(F.col("_t")) + 1)).alias("_bucket"))
+    order = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = ours.unionByName(theirs, allowMissingColumns=True).withColumn("_last", F.last("_edge", ignorenulls=True).over(order))
     near = F.when(F.abs(F.col(at) - F.col("_last")) <= F.lit(reach), F.col("_last"))
-    return both.where("_side = 1").withColumn("nearest", near).drop("_t", "_edge", "_side", "_last")
+    return both.where("_side = 1").withColumn("nearest", near).drop("_t", "_edge", "_side", "_last", "_bucket")
 
 
 def islands(

@@ -18,10 +18,10 @@ def digest(text: Column, size: int = 64) -> Column:
     return F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, size)
 
 
-def ends_digest(text: Column, most: int, part: int) -> Column:
-    """SHA-256 of a text, or of its first and last `part` characters if it has more than `most`."""
-    ends = F.concat(F.substring(text, 1, part), F.right(text, F.lit(part)))
-    return digest(F.when(F.length(text) <= most, text).otherwise(ends))
+def ends_digest(content: Column, most: int = 8 << 20, part: int = 4 << 20) -> Column:
+    """SHA-256 of bytes, or of their first and last `part` if they are more than `most`."""
+    ends = F.concat(F.substring(content, 1, part), F.substring(content, -part, part))
+    return F.sha2(F.when(F.octet_length(content) <= most, content).otherwise(ends), 256)
 
 
 def cached(parts: DataFrame, notes: DataFrame) -> DataFrame:

@@ -42,18 +42,27 @@ def voiced(levels: DataFrame, keys: list[str], block: int, threshold: float = P.
 
 
 def percentile(levels: DataFrame, keys: list[str], share: float = 0.1) -> DataFrame:
-    """The sorted level at index least(n - 1, int(share * n)) of each group: keys, n, level."""
-    listed = levels.groupBy(*keys).agg(F.array_sort(F.collect_list("db")).alias("all"))
-    n = F.size("all")
-    return listed.select(*keys, n.cast("long").alias("n"), F.element_at("all", F.least(n, F.floor(n * F.lit(share)).cast("int") + 1)).alias("level"))
+    """The sorted level at index least(n - 1, int(share * n)) of each group: keys, n, level. Equal levels are counted together first."""
+    counts = levels.groupBy(*keys, "db").agg(F.count(F.lit(1)).alias("m"))
+    upto = Window.partitionBy(*keys).orderBy("db").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumns({"upto": F.sum("m").over(upto), "n": F.sum("m").over(Window.partitionBy(*keys))})
+    reached = F.col("upto") >= F.least(F.col("n"), F.floor(F.col("n") * F.lit(share)) + 1)
+    return counts.groupBy(*keys).agg(F.first("n").alias("n"), F.min(F.when(reached, F.col("db"))).alias("level"))
 
 
 def quiet_windows(levels: DataFrame, keys: list[str], width: int, scale: int = 10_000) -> DataFrame:
-    """Energy of each whole window of width levels, as an integer: keys, i, total."""
-    order = Window.partitionBy(*keys).orderBy("i").rowsBetween(0, width - 1)
-    units = F.round(F.col("db") * scale).cast("long")
-    summed = levels.select(*keys, "i", F.sum(units).over(order).alias("total"), F.count(F.lit(1)).over(order).alias("_n"))
-    return summed.where(F.col("_n") == width).drop("_n")
+    """Energy of each whole window of width levels, as an integer: keys, i, total.
+
+    A series is summed in stretches; each also gets the levels after it that its last windows reach into.
+    """
+    stretch = max(4096, 16 * width)
+    own = F.floor(F.col("i") / stretch).cast("long")
+    rows = levels.select(*keys, "i", F.round(F.col("db") * scale).cast("long").alias("units"), own.alias("_own"))
+    both = F.when(F.col("i") - F.col("_own") * stretch < width - 1, F.array(F.col("_own"), F.col("_own") - 1)).otherwise(F.array("_own"))
+    rows = rows.withColumn("_stretch", F.explode(both))
+    order = Window.partitionBy(*keys, "_stretch").orderBy("i").rowsBetween(0, width - 1)
+    summed = rows.withColumns({"total": F.sum("units").over(order), "_n": F.count(F.lit(1)).over(order)})
+    return summed.where((F.col("_n") == width) & (F.col("_own") == F.col("_stretch"))).select(*keys, "i", "total")
 
 
 def quiet_cut(levels: DataFrame, keys: list[str], low: int, high: int, width: int, step: float) -> DataFrame:
@@ -104,10 +113,11 @@ def uncovered(segments: DataFrame, frames: DataFrame, levels: DataFrame, keys: l
     return inside.groupBy(*keys, "lo", "hi").agg((F.count(F.lit(1)) * F.lit(step)).alias("loud")).where(F.col("loud") >= F.lit(least / 2)).select(*keys, "lo", "hi")
 
 
-def stretched(levels: DataFrame, keys: list[str], speed: float, count: int) -> DataFrame:
-    """The series read at multiples of speed, linear between levels, clamped at its end: keys, i, db."""
+def stretched(levels: DataFrame, keys: list[str], speed: float, count: int | None = None) -> DataFrame:
+    """The series read at multiples of speed, linear between levels, clamped at its end: keys, i, db. As long as the series lasts, or count values."""
     last = levels.groupBy(*keys).agg(F.max("i").alias("last"))
-    at = last.select(*keys, "last", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("k"))
+    end = F.lit(count) if count else F.ceil((F.col("last") + 1) / F.lit(speed))
+    at = last.select(*keys, "last", F.explode(F.sequence(F.lit(0).cast("long"), (end - 1).cast("long"))).alias("k"))
     place = F.least(F.col("k") * F.lit(speed), F.col("last").cast("double"))
     at = at.select(*keys, "k", F.floor(place).cast("long").alias("i"), (place - F.floor(place)).alias("share"), "last")
     one = levels.select(*keys, "i", F.col("db").alias("x"))

@@ -75,8 +75,12 @@ def coverage(cuts: DataFrame, words: DataFrame, width: float = 30.0) -> DataFram
     pairs = overlap_join(cuts.select("job", "id", "lo", "hi", "spans"), words.select("job", "lo", "hi", "text", "seg", "w"), ["job"], width)
     slack = P.COVERAGE_SLACK
     whole = F.exists("spans", lambda s: (s["lo"] - slack <= F.col("rlo")) & (F.col("rhi") <= s["hi"] + slack))
-    lost = F.when(~whole, F.struct("rlo", "rhi", "seg", "w", "text"))
-    found = pairs.groupBy("job", "id").agg(F.count(F.lit(1)).alias("words"), F.count_if(whole).alias("covered"), F.slice(F.array_sort(F.collect_list(lost)), 1, 10).alias("lost"))
+    place = ["rlo", "rhi", "seg", "w"]
+    pairs = pairs.withColumn("_whole", whole)
+    # Lost words are ranked before they are collected, so that a list has ten at most.
+    pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("job", "id").orderBy("_whole", *place)))
+    lost = F.when(~F.col("_whole") & (F.col("_n") <= 10), F.struct(*place, "text"))
+    found = pairs.groupBy("job", "id").agg(F.count(F.lit(1)).alias("words"), F.count_if("_whole").alias("covered"), F.array_sort(F.collect_list(lost)).alias("lost"))
     rows = cuts.select("job", "id").join(found, ["job", "id"], "left")
     n, c = F.coalesce("words", F.lit(0)), F.coalesce("covered", F.lit(0))
     share = F.when(n > 0, half_up(c / n, 3)).otherwise(F.lit(1.0))

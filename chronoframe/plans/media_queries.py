@@ -212,7 +212,7 @@ _PROBES_SQL = """with o as (select o_orderkey as job, o_orderkey as k from order
 b as (select *, case when k % 11 > 0 then k % 500 + 60.5::double end as dur, case when k % 5 = 0 then 1.5::double else 0 end as start, k % 7 > 0 and k % 9 > 0 as seen, k % 10 > 0 as heard from o),
 r as (select *, case when not seen then null when k % 6 > 0 then '30000/1001' when k % 12 > 0 then case when k % 8 = 1 then '30000/1001' else '25/1' end else '30' end as rate,
              case when seen then case when k % 3 > 0 then 59.25::double else 90.5::double end end as own, case when k % 5 = 0 then 1.52::double - 1.5::double else 0.033::double end as late from b),
-p as (select *, case rate when '30000/1001' then 1 / (30000.0::double / 1001) when '25/1' then 1 / 25.0::double when '30' then 1 / 30.0::double end as interval, least(own, dur) as pic from r)"""
+p as (select *, case rate when '30000/1001' then 1 / (30000.0::double / 1001) when '25/1' then 1 / 25.0::double when '30' then 1 / 30.0::double end as interval, case when seen then least(own, dur) end as pic from r)"""
 
 ORACLES = {
     "probe_facts": _PROBES_SQL + f""" select job, case when not heard then null when seen then 'video' else 'audio' end as kind, start, case when rate is null then 0 else {_HALF('late', 9)} end as origin, rate, {_HALF('interval', 9)} as interval,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronoframe import parameters as P
 from chronoframe.functions.scalars import frame_count, frames_for, half_up, parse_target as target_of, samples_for, snap, tolerance
 from chronoframe.operators import blocks, gates, intervals, planner, reports
 from chronoframe.sources import bindings as B
@@ -186,12 +187,12 @@ def part_checks(spark, sf_dir):
 
 def _blocks(spark, sf_dir):
     _, jobs = _jobs(spark, sf_dir)
-    rows = blocks.blocks(jobs.select("job", F.lit(0.0).alias("a"), F.col("total").alias("b")), 60.0, ["job"])
+    rows = blocks.blocks(jobs.select("job", F.lit(0.0).alias("a"), F.col("total").alias("b")), ["job"], 60.0)
     return rows.withColumn("frames", frame_count(F.col("lo"), F.col("hi"), 15.0))
 
 
 def sweep_blocks(spark, sf_dir):
-    return _blocks(spark, sf_dir).withColumn("sheets", F.greatest(F.lit(1), F.ceil(F.col("frames") / 25.0)).cast("long"))
+    return _blocks(spark, sf_dir).withColumn("sheets", F.greatest(F.lit(1), F.ceil(F.col("frames") / float(P.SHEET_VIEWS))).cast("long"))
 
 
 def sweep_budget(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoframe import parameters as P
 from chronoframe.functions.scalars import half_up
 from chronoframe.operators import intervals, signal
 from chronoframe.sources import bindings as B
@@ -56,7 +57,7 @@ def speech_islands(spark, sf_dir):
 
 def spoken_difference(spark, sf_dir):
     segments = B.transcript(B.table(spark, sf_dir, "conversations"))
-    protected = B.words(segments).select("job", (F.col("lo") - 0.02).alias("lo"), (F.least(F.col("hi"), F.col("lo") + 0.5) + 0.02).alias("hi"))
+    protected = B.words(segments).select("job", (F.col("lo") - P.WORD_MARGIN).alias("lo"), (F.least(F.col("hi"), F.col("lo") + P.WORD_ONSET) + P.WORD_MARGIN).alias("hi"))
     gaps = segments.select("job", F.col("seg").alias("gap"), "lo", "hi")
     left = intervals.difference(gaps, protected, ["job"], 30.0)
     return left.select("job", "gap", half_up(F.col("lo"), 6).alias("lo"), half_up(F.col("hi"), 6).alias("hi"))
@@ -71,7 +72,7 @@ def nearest_silence_asof(spark, sf_dir):
 
 
 def quiet_cut(spark, sf_dir):
-    return signal.quiet_cut(_levels(spark, sf_dir), ["track"], 100, 400, 30, HOUR)
+    return signal.quiet_cut(_levels(spark, sf_dir), ["track"], 0, 1 << 40, 30, HOUR)
 
 
 def speech_blocks(spark, sf_dir):
@@ -104,7 +105,7 @@ def event_sessions(spark, sf_dir):
 
 
 def envelope_stretch(spark, sf_dir):
-    return signal.stretched(_levels(spark, sf_dir), ["track"], 1.25, 600)
+    return signal.stretched(_levels(spark, sf_dir), ["track"], 1.25)
 
 
 def _shifted(spark, sf_dir):
@@ -156,7 +157,7 @@ e as (select track, i + 0.5::double as edge from levels)
 select track, edge, (select max(hi) from silences s where s.track = e.track and s.hi <= edge and s.hi >= edge - 24) as before,
        (select min(lo) from silences s where s.track = e.track and s.lo >= edge and s.lo <= edge + 24) as after from e""",
     "quiet_cut": _L + """,
-w as (select track, i, sum(cast(round(db * 10000) as bigint)) over (partition by track order by i rows between current row and 29 following) as t, count(*) over (partition by track order by i rows between current row and 29 following) as n from levels where i between 100 and 399)
+w as (select track, i, sum(cast(round(db * 10000) as bigint)) over (partition by track order by i rows between current row and 29 following) as t, count(*) over (partition by track order by i rows between current row and 29 following) as n from levels)
 select track, cast(arg_min(i, t * 1000000 + i) + 15 as double) as at from w where n = 30 group by track""",
     "speech_blocks": "with recursive " + B.LEVELS_SQL + """,
 w as (select track, i, sum(cast(round(db * 10000) as bigint)) over o as t, count(*) over o as m from levels window o as (partition by track order by i rows between current row and 29 following)),
@@ -181,7 +182,7 @@ select user_id, cast(count(*) filter (where gap > 21600000000) as bigint) as gap
 s as (select *, sum(case when gap is null or gap > 3600000000 then 1 else 0 end) over (partition by user_id order by ts, event_id) as k from g)
 select user_id, min(event_id) as first_event, cast(count(*) as bigint) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents from s group by user_id, k""",
     "envelope_stretch": _L + """,
-k as (select track, unnest(range(0, 600)) as k from (select distinct track from levels)),
+k as (select track, unnest(range(0, cast(ceil((n + 1) / 1.25::double) as bigint))) as k from (select track, max(i) as n from levels group by track)),
 p as (select track, k, least(k * 1.25::double, (select max(i) from levels)) as pos from k)
 select p.track, k as i, floor((x.db + (coalesce(y.db, x.db) - x.db) * (pos - floor(pos))) * 10000.0::double + 0.5::double) / 10000.0::double as db
 from p join levels x on x.track = p.track and x.i = cast(floor(pos) as bigint) left join levels y on y.track = p.track and y.i = cast(floor(pos) as bigint) + 1""",

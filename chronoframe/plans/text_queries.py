@@ -105,7 +105,8 @@ def tag_strip(spark, sf_dir):
 
 
 def fingerprint(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").select("doc_id", montage.ends_digest(F.col("text"), 2000, 500).alias("digest"))
+    content = F.encode("text", "UTF-8")
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"), montage.ends_digest(content).alias("digest"))
 
 
 def tree_digest(spark, sf_dir):
@@ -257,15 +258,15 @@ hits as (select job, seg, hi, k - 1 as nth, cast(list_sum(list_transform(p[1:k],
 _CONTEXT = "(select job, seg, string_agg(trim(text), ' ') over (partition by job order by seg rows between {0} preceding and {0} following) as context from segments)"
 _PLACED_SQL = "with " + B.CUTS_SQL + """,
 pf as (select *, cast(floor(kept_ms / 1000.0::double * 25 / 1.25::double + 0.5) as bigint) as frames, kept_ms // 2 as half, kept_ms < end_ms - start_ms as two from cuts where included),
-po as (select *, coalesce(sum(frames) over (partition by job order by start_ms, id rows between unbounded preceding and 1 preceding), 0) / 25.0::double as off from pf),
-pl as (select job, id, start_ms / 1000.0::double as s, end_ms / 1000.0::double as e, off, frames / 25.0::double as len, two,
+po as materialized (select *, coalesce(sum(frames) over (partition by job order by start_ms, id rows between unbounded preceding and 1 preceding), 0) / 25.0::double as off from pf),
+pl as materialized (select job, id, start_ms / 1000.0::double as s, end_ms / 1000.0::double as e, off, frames / 25.0::double as len, two,
        start_ms / 1000.0::double as a1, case when two then (start_ms + half) / 1000.0::double else end_ms / 1000.0::double end as b1, (end_ms - (kept_ms - half)) / 1000.0::double as a2, end_ms / 1000.0::double as b2 from po)"""
 _MAP_SQL = _PLACED_SQL + """,
-ti as (select o_orderkey as job, k * 7.25::double as t from orders, range(0, 10) r(k)),
+ti as materialized (select o_orderkey as job, k * 7.25::double as t from orders, range(0, 10) r(k)),
 th as (select ti.job, t, s, id, case when t <= b1 then off + (t - a1) / 1.25::double when two and t < a2 then off + (b1 - a1) / 1.25::double when two and t <= b2 then off + (b1 - a1) / 1.25::double + (t - a2) / 1.25::double else off + len end as o
        from ti join pl on pl.job = ti.job and s <= t and t <= e),
-tb as (select job, t, arg_min(o, id) as o from th group by job, t),
-tm as (select ti.job, ti.t, """ + _R6("o") + """ as o from ti left join tb on tb.job = ti.job and tb.t = ti.t)"""
+tb as materialized (select job, t, arg_min(o, id) as o from th group by job, t),
+tm as materialized (select ti.job, ti.t, """ + _R6("o") + """ as o from ti left join tb on tb.job = ti.job and tb.t = ti.t)"""
 _CLOCK = lambda x: f"(cast(floor({x}) as bigint) // 60 || ':' || lpad(cast(cast(floor({x}) as bigint) % 60 as varchar), 2, '0'))"
 _LONG_CLOCK = lambda x: f"(case when {x} >= 3600 then cast(floor({x}) as bigint) // 3600 || ':' || lpad(cast(cast(floor({x}) as bigint) % 3600 // 60 as varchar), 2, '0') || ':' || lpad(cast(cast(floor({x}) as bigint) % 60 as varchar), 2, '0') else {_CLOCK(x)} end)"
 _PARTS_SQL = "with " + B.CUTS_SQL + """,
@@ -318,10 +319,11 @@ select page_id, 'absolute_path' as code, cast(count(*) as bigint) as hits, min(n
 union all select page_id, 'pending', count(*), min(n) from n where regexp_matches(line, '(?i)\b(todo|tbd|pendiente)\b') group by page_id
 union all select page_id, 'email', count(*), min(n) from n where regexp_matches(line, '[A-Za-z0-9.]+@[A-Za-z0-9.]+') group by page_id""",
     "tag_strip": "select page_id, regexp_replace(html, '<[^>]*>', '', 'g') as text from pages",
-    "fingerprint": "select doc_id, sha256(case when length(text) <= 2000 then text else substr(text, 1, 500) || right(text, 500) end) as digest from documents",
+    "fingerprint": "select doc_id, octet_length(encode(text))::bigint as size, sha256(case when octet_length(encode(text)) <= 8388608 then encode(text) else encode(text)[1:4194304] || encode(text)[-4194304:] end) as digest from documents",
     "tree_digest": """with e as (select source, doc_id || ':' || sha256(text) as entry from documents),
-p as (select source, substr(md5(entry), 1, 2) as part, sha256(string_agg(entry, chr(10) order by entry)) as d, count(*) as n from e group by all)
-select source, sha256(string_agg(d, chr(10) order by part)) as digest, cast(sum(n) as bigint) as files from p group by source""",
+p as (select source, substr(md5(entry), 1, 4) as part, sha256(string_agg(entry, chr(10) order by entry)) as d, count(*) as n from e group by all),
+u as (select source, substr(part, 1, 2) as up, sha256(string_agg(d, chr(10) order by part)) as d, sum(n) as n from p group by all)
+select source, sha256(string_agg(d, chr(10) order by up)) as digest, cast(sum(n) as bigint) as files from u group by source""",
     "history_log": """with t as (select event_id, event_type, cast(json_extract(props, '$.k') as int) as k from events), u as (select *, event_type || ' ' || repeat('payload ', coalesce(k, 0)) as said from t)
 select event_id, event_type as event, k, case when length(said) > 300 then substr(said, 1, 299) || '…' else said end as text from u""",
     "cut_key": _PARTS_SQL + " select job, id, key from keyed",

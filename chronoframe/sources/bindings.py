@@ -25,8 +25,8 @@ def hourly_levels(events: DataFrame) -> DataFrame:
     energy = events.groupBy(F.col("event_type").alias("track"), hour).agg(F.sum(cents * cents).alias("s"), F.count(F.lit(1)).alias("n"))
     db = half_up(F.log10(F.col("s") / F.col("n") / 1e4 / 250000.0) * 10, 4)
     energy = energy.select("track", "i", db.alias("db"))
-    hours = energy.agg((F.max("i")).alias("last"))
-    grid = energy.select("track").distinct().crossJoin(F.broadcast(hours)).select("track", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("i"))
+    hours = energy.agg(F.least(F.lit(0).cast("long"), F.min("i")).alias("first"), F.max("i").alias("last"))
+    grid = energy.select("track").distinct().crossJoin(F.broadcast(hours)).select("track", F.explode(F.sequence("first", "last")).alias("i"))
     return grid.join(energy, ["track", "i"], "left").select("track", "i", F.coalesce("db", F.lit(-120.0)).alias("db"))
 
 
@@ -86,7 +86,7 @@ LEVELS_SQL = """
 ev as (select event_type as track, cast(floor(epoch(ts) / 3600) as bigint) - 473352 as i, cast(round(value * 100) as bigint) as c from events),
 en as (select track, i, floor(10 * log10(sum(c * c) / count(*) / 1e4::double / 250000.0::double) * 10000.0::double + 0.5::double) / 10000.0::double as db from ev group by track, i),
 levels as (select g.track, g.i, coalesce(en.db, -120.0::double) as db
-           from (select track, unnest(range(0, (select max(i) + 1 from en))) as i from (select distinct track from en)) g left join en on en.track = g.track and en.i = g.i)"""
+           from (select track, unnest(range((select least(0, min(i)) from en), (select max(i) + 1 from en))) as i from (select distinct track from en)) g left join en on en.track = g.track and en.i = g.i)"""
 
 SILENCES_SQL = LEVELS_SQL + """,
 sr as (select track, i, i - row_number() over (partition by track order by i) as run from levels where db < -18),
@@ -104,7 +104,7 @@ CUTS_SQL = """
 c0 as (select l_orderkey as job, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as id,
               cast(round(l_quantity * 1000) as bigint) as length, cast(round(l_discount * 100) as bigint) as percent, l_tax, l_returnflag, l_linestatus, l_partkey from lineitem),
 c1 as (select *, coalesce(sum(length + id % 3 * 20 + case when id % 4 = 0 then 2000 else 0 end) over (partition by job order by id rows between unbounded preceding and 1 preceding), 0) as s from c0),
-cuts as (select job, id, cast(s as bigint) as start_ms, cast(s + length as bigint) as end_ms,
+cuts as materialized (select job, id, cast(s as bigint) as start_ms, cast(s + length as bigint) as end_ms,
                 cast(case when l_tax > 0.02 then floor(length * (100 - 6 * percent) / 100) else length end as bigint) as kept_ms,
                 case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end as priority, l_linestatus = 'F' as included, l_tax >= 0.07 as pinned, l_tax > 0.02 as remove_pauses,
                 case when id > 1 and percent % 3 = 0 then id - 1 end as depends_on, l_partkey as part,
