@@ -24,6 +24,14 @@ def ends_digest(content: Column, most: int = 8 << 20, part: int = 4 << 20) -> Co
     return F.sha2(F.when(F.octet_length(content) <= most, content).otherwise(ends), 256)
 
 
+def render_key(source: Column, track: Column, spans: Column, speed: Column, rate: Column, encoder: Column, index: Column, total: Column, release: Column) -> Column:
+    """The key of a rendered part, over all that changes it: source (size, mtime_ns, sha256), spans as pairs of seconds, settings, encoder and release."""
+    three = F.transform(spans, lambda s: F.transform(s, lambda x: x.cast("decimal(18,3)")))
+    mark = F.struct(source["mtime_ns"].alias("mtime_ns"), source["sha256"].alias("sha256"), source["size"].alias("size"))
+    fields = [("cadencia", rate), ("codificador", encoder), ("ffmpeg", release), ("huella", mark), ("pista", track), ("subcorte", F.array(index, total)), ("tramos", three), ("velocidad", speed.cast("decimal(10,6)"))]
+    return digest(F.to_json(F.struct(*[c.alias(n) for n, c in fields])), 32)
+
+
 def cached(parts: DataFrame, notes: DataFrame) -> DataFrame:
     """Parts (key, frames, samples) with `hit`: a note of the same key and counts exists."""
     known = notes.select("key", "frames", "samples", F.lit(True).alias("_hit")).distinct()

@@ -109,6 +109,16 @@ def hits(segments: DataFrame, needle: Column) -> DataFrame:
     return found.withColumn("at", before + F.col("nth") * size).drop("_hay", "_needle", "_pieces", "_length")
 
 
+def search_totals(found: DataFrame, limit: int) -> DataFrame:
+    """Per job its hits, and how many of them a search shows that stops after `limit` in scan order: job, total, shown.
+
+    Only counts of jobs are put in order, not the hits.
+    """
+    totals = found.groupBy("job").agg(F.count(F.lit(1)).alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.orderBy("job").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return totals.select("job", "total", F.least("total", F.greatest(F.lit(0), limit - before)).cast("long").alias("shown"))
+
+
 def context(segments: DataFrame, around: int = 1) -> DataFrame:
     """Segments with the trimmed texts of those up to `around` before and after, joined."""
     order = Window.partitionBy("job").orderBy("seg").rowsBetween(-around, around)
