@@ -66,3 +66,13 @@ def mark_seconds(text: Column, total: Column) -> Column:
     """The seconds of a mark, null unless a finite number within the recording."""
     value = finite(text)
     return F.when(value.between(F.lit(0.0), total), value)
+
+
+def merged_settings(usual: Column, own: Column) -> Column:
+    """Settings (maps) with one's own over the usual ones."""
+    return F.map_concat(F.map_filter(usual, lambda k, v: ~F.map_contains_key(own, k)), own)
+
+
+def complete(fields: Column, needed: tuple[str, ...]) -> Column:
+    """Whether all needed names are among the fields (an array)."""
+    return F.size(F.array_except(F.array(*map(F.lit, needed)), fields)) == 0

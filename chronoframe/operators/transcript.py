@@ -94,6 +94,19 @@ def coverage_summary(per_cut: DataFrame) -> DataFrame:
     return sums.select("job", "words", "covered", mean.alias("mean"), "least", ((mean < P.LOW_MEAN) | (F.col("least") < P.LOW_CUT)).alias("low"))
 
 
+def recovered(segments: DataFrame, found: DataFrame) -> DataFrame:
+    """Segments (job, lo, hi, text) and those that a second pass found, marked and numbered in one order."""
+    both = segments.select("job", "lo", "hi", "text", F.lit(False).alias("recovered")).unionByName(found.select("job", "lo", "hi", "text", F.lit(True).alias("recovered")))
+    order = Window.partitionBy("job").orderBy("lo", "hi", "recovered")
+    return both.withColumn("seg", F.row_number().over(order).cast("long") - 1)
+
+
+def frozen(blocks: DataFrame, value: str) -> DataFrame:
+    """Blocks (job, block) with what the job's first one that knows it says, for all of them."""
+    first = blocks.where(F.col(value).isNotNull()).groupBy("job").agg(F.min_by(value, "block").alias("frozen"))
+    return blocks.join(first, "job", "left")
+
+
 def hits(segments: DataFrame, needle: Column) -> DataFrame:
     """Places of a needle in segments (text column `text`): all columns with nth and at, 0-based in the normalised text; no two overlap.
 

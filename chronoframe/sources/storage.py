@@ -105,3 +105,48 @@ def replace_with(spark: SparkSession, folder: str, change) -> None:
     path = jvm.Path(staged)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).rename(path, jvm.Path(f"{folder}/version={new}")):
         raise FileExistsError(f"{folder}/version={new} was written by another")
+
+
+def publish_texts(texts: DataFrame, folder: str, version: int) -> str:
+    """Write texts (a column) once as files of one version, with plain line ends: fails if it is there already."""
+    path = f"{folder}/version={version}"
+    texts.write.mode("errorifexists").option("lineSep", "\n").text(path)
+    return path
+
+
+LEVELS_A_ROW = 4096
+
+
+def pack_levels(levels: DataFrame, keys: list[str]) -> DataFrame:
+    """Level series as rows of raw 32-bit floats: keys, part, first (its first index), data."""
+    import numpy as np
+    import pyarrow as pa
+
+    part = F.floor(F.col("i") / LEVELS_A_ROW).cast("long").alias("part")
+    rows = levels.groupBy(*keys, part).agg(F.min("i").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("db").cast("float").alias("db")))), lambda x: x["db"]).alias("db"))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def pack(batches):
+        for batch in batches:
+            data = pa.array([np.asarray(x, "<f4").tobytes() for x in batch.column("db").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], data], [*batch.schema.names[:-1], "data"])
+
+    return rows.mapInArrow(pack, f"{kinds}, part long, first long, data binary")
+
+
+def unpack_levels(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """The series that pack_levels packed: keys, i, db."""
+    import numpy as np
+    import pyarrow as pa
+
+    kinds = ", ".join(f"`{k}` {packed.schema[k].dataType.simpleString()}" for k in keys)
+
+    def unpack(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                db = np.frombuffer(batch.column("data")[at].as_py(), "<f4")
+                i = np.arange(len(db)) + batch.column("first")[at].as_py()
+                same = [pa.array([batch.column(k)[at].as_py()] * len(db), batch.schema.field(k).type) for k in keys]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(i), pa.array(db)], [*keys, "i", "db"])
+
+    return packed.select(*keys, "first", "data").mapInArrow(unpack, f"{kinds}, i long, db float")
