@@ -66,15 +66,13 @@ def small_model(texts, frequent, owners=1):
     column = pa.array(texts, pa.string())
     found, bounds = lm.tokens_of(column)
     hashes, counts = np.unique(found, return_counts=True)
-    order = np.lexsort((hashes, -counts))
-    top = hashes[order][:frequent]
-    ranks = np.argsort(top)
-    words = lm.Words(top[ranks], ranks.astype(np.int32), top, counts[order][:frequent].astype(np.int64), len(found), len(hashes))
-    blobs, types, token_type, _ = lm._dealt(found, bounds, np.zeros(len(texts), np.uint8), words, owners)
-    by: dict = {}
-    for p, start, blob in blobs:
-        by.setdefault(p, []).append((0, start, blob))
-    return words, [lm._merged(b, len(words.hashes)) for b in by.values()], token_type
+    order = np.lexsort((hashes, -counts))[:frequent]
+    words = lm.Words(hashes[order], counts[order].astype(np.int64), len(found), len(hashes))
+    codes, rare = lm.coded(found, words)
+    types, token_type, edges = lm.types_of(codes, rare, bounds, words, owners)
+    train = np.bincount(token_type, minlength=len(types.word))
+    spans = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+    return words, [lm._merged([(0, a, lm.pack(types.part(a, b).packed(train[a:b], rare, words.n)))], words.n) for a, b in spans], token_type
 
 
 def sample(owner, words, sweeps):
@@ -204,11 +202,19 @@ def test_types_of_blocks_and_owners():
     assert all((f[at] == c).all() for f, c in zip(found, columns, strict=True))
     arrays = [rng.integers(0, 1 << 62, 9).astype(np.uint64), np.zeros(0, np.uint32), rng.integers(0, 9, 5).astype(np.uint8)]
     assert all((x == y).all() for x, y in zip(lm.unpack(lm.pack(arrays), [a.dtype for a in arrays]), arrays, strict=True))
-    hashes = lm.tk.word_hash(["the", "of"])
-    words = lm.Words(np.sort(hashes), np.argsort(np.argsort(-hashes.astype(float))), hashes, np.array([5 * lm.CLASS_TOKENS, 3]), 9, 2)
-    first = lm.tk.mix(np.arange(1000, dtype=np.uint64))
-    many = lm.restaurants(np.full(1000, hashes[0]), first, np.zeros(1000, int), words)
-    assert len(np.unique(many)) == 6 and len(np.unique(lm.restaurants(np.full(1000, hashes[1]), first, np.ones(1000, int), words))) == 1
+
+
+def test_frequent_words_have_several_restaurants(monkeypatch):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["the", "the", "of", f"w{rng.randrange(300)}"]) for _ in range(40)) for _ in range(50)]
+    monkeypatch.setattr(lm, "CLASS_TOKENS", 200)
+    for owners in (1, 3):
+        words, data, _ = small_model(texts, 150, owners)
+        unpacked = [lm.Types.unpacked(lm.unpack(d, lm.OWNED)[:8])[0] for d in data]
+        of_the = {c for t in unpacked for v, c in zip(t.last.tolist(), t.classes.tolist()) if v == 0}
+        assert len(of_the) == 1 + words.counts[0] // 200 and len(data) == owners
+        assert all(c == 0 for t in unpacked for v, c in zip(t.last.tolist(), t.classes.tolist()) if v >= 150 or words.counts[v] < 200)
+        assert sum(lm.Owner(d, words).count.sum() for d in data) == words.tokens
 
 
 def test_quality_of_held_out_documents(spark):

@@ -39,3 +39,37 @@ def test_stages_take_odd_tables(spark, name, stage):
     found = stage(spark, docs, SF)
     assert found.columns == docs.columns and found.count() <= 2 * len(rows)
     assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_a_failed_run_leaves_no_tables(spark, monkeypatch):
+    import os
+
+    from chronoframe.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+
+    def fails(spark, docs, sf_dir):
+        raise RuntimeError("midway")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[1], ("last", fails)])
+    with pytest.raises(RuntimeError, match="midway"):
+        corpus_pipeline.run(spark, SF)
+    assert set(os.listdir(folder)) == before
+    kept = common.written(spark.range(3), "kept")
+    with common.tables_of_a_run(spark):
+        common.written(spark.range(3), "own")
+        common.release(spark, [])
+    assert kept.count() == 3 and not [n for n in os.listdir(folder) if n.startswith("own-")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from chronoframe.llm import common
+    from chronoframe.sources import storage
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    for folder in (common.shared_dir, storage.shared_folder):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            folder(cluster)
