@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.functions import scalars as S
-from chronoframe.operators import gates, intervals, media, montage, signal
+from chronoframe.operators import edges, gates, intervals, media, montage, signal
 from chronoframe.plans.planner_queries import _blocks, _pieces
 from chronoframe.plans.signal_queries import _levels
 from chronoframe.sources import bindings as B
@@ -190,6 +190,17 @@ def outline_acceptance(spark, sf_dir):
     return customer.select(key.alias("job"), gates.outline_accepted(stored, computed, F.when(key % 3 == 0, " ").otherwise("sí")).alias("problem"))
 
 
+def cuts_out_of_speech(spark, sf_dir):
+    """Cuts of each track (its levels 10 ms apart) with their edges moved to silences, else between words."""
+    levels = _levels(spark, sf_dir).withColumnRenamed("track", "job")
+    jobs = levels.select("job").distinct()
+    k = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    cuts = jobs.select("job", k(7).alias("id")).select("job", "id", (F.col("id") * 0.9 + 0.233).alias("a"), (F.col("id") * 0.9 + 0.733).alias("b"))
+    words = jobs.select("job", k(23).alias("w")).select("job", (F.col("w") * 0.31 + 0.05).alias("lo"), (F.col("w") * 0.31 + 0.25).alias("hi"))
+    found = edges.adjust_edges(cuts, levels, words, -18.0)
+    return found.select("job", "id", S.half_up(F.col("lo"), 6).alias("lo"), S.half_up(F.col("hi"), 6).alias("hi"), "note")
+
+
 def mark_numbers(spark, sf_dir):
     k = F.col("o_orderkey")
     text = F.when(k % 5 == 0, "inf").when(k % 5 == 1, F.concat(k % 900, F.lit(".5"))).when(k % 5 == 2, "-3").when(k % 5 == 3, "doce").otherwise((k % 700).cast("string"))
@@ -204,7 +215,7 @@ def session_stream(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     probe_facts, packet_warnings, packet_window, event_log, published_versions, replaced_index, file_fingerprints, pcm_levels, level_spread, merged_spans, block_names, tempo_factors, counted_shares,
-    resume_settings, source_checks, effective_settings, unknown_parents, outline_acceptance, mark_numbers, session_stream,
+    resume_settings, source_checks, effective_settings, unknown_parents, outline_acceptance, cuts_out_of_speech, mark_numbers, session_stream,
 )}
 
 _HALF = lambda x, n: f"floor(({x}) * {10**n}.0::double + 0.5::double) / {10**n}.0::double"
@@ -265,6 +276,30 @@ case when speed < 1 or speed > 2 then 'speed' when silence_db is null then 'sile
     "unknown_parents": """with d as (select o_custkey as job, o_orderkey as draft, case when o_orderkey % 4 > 0 then o_orderkey % 12 end as parent from orders), v as (select o_custkey as job, count(*) as n from orders group by o_custkey)
 select d.job, draft, parent from d join v on v.job = d.job where parent is not null and (parent < 1 or parent > n)""",
     "outline_acceptance": "select c_custkey as job, case when c_custkey % 3 = 0 then 'phrase' when c_custkey % 5 = 0 or c_custkey % 4 = 0 then 'sha256' end as problem from customer",
+    "cuts_out_of_speech": "with " + B.LEVELS_SQL + f""",
+jb as (select distinct track as job from levels),
+cu as (select job, k as id, k * 0.9::double + 0.233::double as a, k * 0.9::double + 0.733::double as b from jb, range(0, 7) r(k)),
+wd as (select job, k * 0.31::double + 0.05::double as lo, k * 0.31::double + 0.25::double as hi from jb, range(0, 23) r(k)),
+wl as (select *, lag(hi) over (partition by job order by lo) as before, lead(lo) over (partition by job order by lo) as after from wd),
+pt as (select job, id, -1 as side, a as x, greatest(0, a - 0.08::double) as l0, a as l1, greatest(0, a - 0.7::double) as w0, a as w1 from cu union all select job, id, 1, b, b, b + 0.08::double, b, b + 0.7::double from cu),
+pv as (select *, (select max(hi) from wd where wd.job = pt.job and hi <= x) as past, (select min(lo) from wd where wd.job = pt.job and lo >= x) as next from pt
+       where exists (select 1 from levels v where v.track = pt.job and v.i >= greatest(0, floor(l0 / 0.01::double + 1e-9)) and v.i < ceil(l1 / 0.01::double - 1e-9) and v.db >= -18)),
+ql as (select pv.*, v.i, v.i - row_number() over (partition by job, id, side order by v.i) as run from pv join levels v on v.track = pv.job and v.i >= greatest(0, floor(w0 / 0.01::double + 1e-9)) and v.i < ceil(w1 / 0.01::double - 1e-9) where v.db < -18),
+qr as (select job, id, side, x, past, next, {_HALF('greatest(any_value(w0), min(i) * 0.01::double)', 6)} as lo, {_HALF('least(any_value(w1), (max(i) + 1) * 0.01::double)', 6)} as hi from ql group by job, id, side, x, past, next, run),
+qn as (select *, case when side < 0 then hi else lo end as near from qr where hi - lo >= 0.1::double - 1e-9),
+qc as (select *, case when side < 0 then case when past is null then near else greatest(near, past + 0.02::double) end when next is null then near else least(near, next - 0.02::double) end as cand from qn),
+qf as (select job, id, side, {_HALF('case when side < 0 then max(cand) else min(cand) end', 6)} as found from qc where abs(near - x) <= 0.6::double and case when side < 0 then cand < x else cand > x end group by job, id, side),
+we as (select pv.job, pv.id, pv.side, pv.x, f.found, w.lo as wlo, w.hi as whi, case when before is null then w.lo - 0.15::double else greatest((before + w.lo) / 2, w.lo - 0.15::double) end as ahead,
+              case when after is null then w.hi + 0.15::double else least((w.hi + after) / 2, w.hi + 0.15::double) end as behind
+       from pv left join qf f on f.job = pv.job and f.id = pv.id and f.side = pv.side left join wl w on w.job = pv.job and w.lo < pv.x and pv.x < w.hi),
+wk as (select *, 2 * (case when side < 0 then whi - x else x - wlo end) >= whi - wlo as keep, case when side < 0 then greatest(0.0::double, ahead) else behind end as wide, case when side < 0 then behind else ahead end as narrow from we),
+wo as (select *, case when keep then wide else narrow end as one, case when keep then narrow else wide end as two from wk),
+wm as (select *, case when found is not null then null when wlo is null then x when abs(one - x) <= 1 then {_HALF('one', 6)} when abs(two - x) <= 1 then {_HALF('two', 6)} end as moved from wo),
+pl as (select job, id, side, coalesce(found, moved) as t, found is null and moved is not null and moved <> x as by from wm),
+rw as (select cu.job, cu.id, a, b, coalesce(s.t, a) as lo, coalesce(e.t, b) as hi, (s.job is not null and s.t is null) or (e.job is not null and e.t is null) as lost, coalesce(s.by, false) as sby, coalesce(e.by, false) as eby
+       from cu left join pl s on s.job = cu.job and s.id = cu.id and s.side = -1 left join pl e on e.job = cu.job and e.id = cu.id and e.side = 1),
+rc as (select *, (sby or eby) and hi - lo < 0.3::double as closed from rw)
+select job, id, {_HALF('case when closed and sby then a else lo end', 6)} as lo, {_HALF('case when closed and eby then b else hi end', 6)} as hi, case when lost or closed then 'borde_en_voz' end as note from rc""",
     "mark_numbers": """with o as (select o_orderkey as k, case o_orderkey % 5 when 0 then 'inf' when 1 then (o_orderkey % 900) || '.5' when 2 then '-3' when 3 then 'doce' else cast(o_orderkey % 700 as varchar) end as text,
 case o_orderkey % 5 when 1 then o_orderkey % 900 + 0.5::double when 4 then (o_orderkey % 700)::double end as x from orders) select k as job, text, case when x <= k % 600 then x end as seconds from o""",
     "session_stream": """with g as (select user_id, ts, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as gap, event_id from events),
