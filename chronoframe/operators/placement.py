@@ -20,15 +20,18 @@ def placements(cuts: DataFrame, fps: float, speed: float) -> DataFrame:
 
 def output_at(instants: DataFrame, placed: DataFrame, speed: float) -> DataFrame:
     """Instants (job, t) with `out`: inside a stretch, at the next stretch from a removed pause, at the cut's end after the last;
-    null outside all cuts. Bounds are closed; the first cut in order wins."""
-    cuts = placed.select("job", "start", "id", F.col("end"), "stretches", "offset", "length")
-    hit = instants.select("job", "t").distinct().join(cuts, "job").where("start <= t and t <= end")
+    null outside all cuts. Bounds are closed; the first cut in order wins.
+
+    Instants are often exploded, which their estimated size does not show: the hint keeps them from being broadcast."""
+    cuts = placed.select(F.col("job").alias("of"), "start", "id", F.col("end"), "stretches", "offset", "length")
+    times = instants.groupBy("job", "t").agg(F.count(F.lit(1)).alias("n"))
+    hit = times.hint("merge").join(cuts, F.expr("job = of and start <= t and t <= end"), "left")
     t = F.col("t")
     after = F.filter("stretches", lambda s: t <= s["b"])
     first = F.get(after, F.lit(0))
     out = F.when(F.size(after) == 0, F.col("offset") + F.col("length")).when(t < first["a"], first["out"]).otherwise(first["out"] + (t - first["a"]) / F.lit(speed))
-    best = hit.withColumn("o", out).groupBy("job", "t").agg(F.min(F.struct("start", "id", "o")).alias("best"))
-    return instants.join(best.select("job", "t", F.col("best.o").alias("out")), ["job", "t"], "left")
+    best = hit.groupBy("job", "t", "n").agg(F.min(F.when(F.col("of").isNotNull(), F.struct("start", "id", out.alias("o")))).alias("best"))
+    return best.select("job", "t", F.col("best.o").alias("out"), F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
 
 
 def moment(t: Column, out: Column) -> Column:

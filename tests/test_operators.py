@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.operators import intervals, montage, placement, planner, signal, transcript
+from chronoframe.plans import catalogue
 
 PAUSES = [(1.0, 1.5), (3.0, 3.6)]
 
@@ -144,6 +145,17 @@ def test_output_at(spark):
     assert [None if found[t] is None else round(found[t], 6) for t in at] == want
 
 
+def test_exploded_instants_are_not_broadcast(spark):
+    """Their estimated size is that of the rows they were exploded from; repeated ones and those without a job stay."""
+    cuts = spark.createDataFrame([("p", 1, 10.0, 20.0, 160, [(10.0, 13.0), (15.0, 20.0)])], "job string, id int, start double, end double, frames long, spans array<struct<lo:double,hi:double>>")
+    jobs = spark.createDataFrame([("p",), ("p",), (None,)], "job string")
+    instants = jobs.select("job", F.explode(F.array(F.lit(11.0), F.lit(25.0))).alias("t"))
+    out = placement.output_at(instants, placement.placements(cuts, 25.0, 1.25), 1.25)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([("p", 11.0, 0.8)] * 2 + [("p", 25.0, None)] * 2 + [(None, 11.0, None), (None, 25.0, None)], key=repr)
+    query = catalogue.QUERIES["output_time_map"](spark, "/root/testdata/sf0.001")
+    assert query.count() > 0 and "Broadcast" not in query._jdf.queryExecution().executedPlan().toString()
+
+
 BASE = [(1, 2, 10, 1, True, 7160), (2, 11, 18, 1, True, 6360), (3, 19, 26, 2, True, 5760), (4, 28, 33, 2, False, 4560), (5, 40, 47, 3, True, 5960), (6, 49, 55, 3, True, 5240)]
 
 
