@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.functions.scalars import half_up
 from chronoframe.operators.montage import digest
 from chronoframe.operators.placement import moment, output_at, span_label
 
@@ -24,17 +25,17 @@ def lint(rows: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
 
 
 def expand_marks(rows: DataFrame, placed: DataFrame, speed: float) -> DataFrame:
-    """Lines (job, n, line) with their time marks replaced by labels in source and output time."""
+    """Lines (job, n, line) with their time marks replaced by labels in source and output time, this one to the microsecond before it is truncated."""
     marks = rows.select("job", "n", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(MARK), F.lit(0)))).alias("mark"))
     value = lambda k: F.regexp_extract("mark", r"=(\d+(?:\.\d+)?)(?:-(\d+(?:\.\d+)?))?\]", k)
     marks = marks.withColumns({"a": value(1).cast("double"), "b": F.nullif(value(2), F.lit("")).try_cast("double")})
     times = marks.select("job", F.col("a").alias("t")).unionByName(marks.where("b is not null").select("job", F.col("b").alias("t"))).distinct()
-    out = output_at(times, placed, speed)
-    found = marks.join(out.select("job", F.col("t").alias("a"), F.col("out").alias("first")), ["job", "a"])
-    found = found.join(out.select("job", F.col("t").alias("b"), F.col("out").alias("last")), ["job", "b"], "left")
+    out = output_at(times, placed, speed).withColumn("out", half_up(F.col("out"), 6))
+    found = marks.hint("merge").join(out.select("job", F.col("t").alias("a"), F.col("out").alias("first")), ["job", "a"])
+    found = found.hint("merge").join(out.select("job", F.col("t").alias("b"), F.col("out").alias("last")), ["job", "b"], "left")
     label = F.when(F.col("b").isNull(), moment(F.col("a"), F.col("first"))).otherwise(span_label(F.col("a"), F.col("b"), F.col("first"), F.col("last")))
     labels = found.groupBy("job", "n").agg(F.collect_list(F.struct("mark", label.alias("label"))).alias("labels"))
-    both = rows.join(labels, ["job", "n"], "left")
+    both = rows.hint("merge").join(labels, ["job", "n"], "left")
     text = F.aggregate(F.coalesce("labels", F.array().cast("array<struct<mark:string,label:string>>")), F.col("line"), lambda t, m: F.replace(t, m["mark"], m["label"]))
     return both.select("job", "n", text.alias("line"))
 

@@ -68,6 +68,13 @@ def test_marks(spark):
     }
 
 
+def test_marks_round_before_they_truncate(spark):
+    """At 14.5 the output is 9.999999999999998 in floating point, which is 10 seconds."""
+    cuts = spark.createDataFrame([("p", 1, 0.0, 20.0, 400, [(0.0, 1.4), (3.4, 20.0)])], "job string, id int, start double, end double, frames long, spans array<struct<lo:double,hi:double>>")
+    rows = spark.createDataFrame([("p", 1, "[[t=14.5]] [[r=0-14.5]]")], "job string, n int, line string")
+    assert documents.expand_marks(rows, placement.placements(cuts, 25.0, 1.25), 1.25).first()["line"] == "0:14 (resumen 0:10) 0:00–0:14 (resumen 0:00–0:10)"
+
+
 def test_bar(spark):
     cuts = spark.createDataFrame([(1, a, b, 60) for a, b in ((2, 10), (11, 18), (19, 26), (40, 47), (49, 55))], "job int, start int, end int, total int")
     assert placement.bar(cuts, 60, "#", "·").first()["bar"] == "··########·#######·#######··············#######··######·····"
