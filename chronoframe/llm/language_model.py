@@ -3,9 +3,9 @@
 Tokens are runs of anything but white space, A-Z lower-cased, then one end. Each pair of words before a token is a restaurant of its own,
 known by whole hashes; all pairs with the same last word share their parent, the restaurant of that word; all of these share the root. (A word of
 over CLASS_TOKENS training tokens has several such parents, each for a class of the words before it, so that none grows
-without bound.) The root's dishes are the up to FREQUENT most frequent training words and one for all rarer ones, which
-share its probability evenly with the unknown word; so the root's state has a fixed size and can be sent to all tasks, while restaurants,
-dishes, customers and tables grow with the corpus and stay distributed by the word before.
+without bound.) The root's dishes are all training words. The state of the up to FREQUENT most frequent ones has a fixed size and is sent to all tasks;
+that of the rarer ones, like restaurants, dishes, customers and tables, grows with the corpus and stays distributed: after each sweep their customers
+are added up and seated by word, and each owner is handed those of its own words. What is drawn is the same whichever words are frequent.
 
 Seating is sampled by Gibbs sweeps: the customers of each dish in each restaurant leave, with the tables that they held in the parent, and are seated
 again one after another by the Chinese-restaurant rule, each new table raising the odds of the next; new tables are
@@ -18,7 +18,7 @@ are functions of restaurant, dish and sweep, so that scores do not depend on par
 Words are counted first. A block of about BLOCK_TOKENS tokens then sends its distinct (pair, word) types with their training counts
 to the owners of restaurants, packed as sorted columns; frequent words go by rank, others by hash. An owner merges them; that
 is a written table. A sweep is a map over it that replays the sweeps before from the root's states, so that only the root's
-sums travel and lost executors lose nothing. At last each owner answers each block with its types' probabilities, and the block adds them up by document.
+sums travel and lost executors lose nothing. States of rarer words are written in a folder for each owner. At last each owner answers each block with its types' probabilities, and the block adds them up by document.
 
 Defined cases: a null text is empty and has one token, the end; without training tokens every word has probability one, as the
 base has; repeated rows are documents of their own; other columns are ignored; words of any length count as one token.
@@ -36,12 +36,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm import textkernel as tk
-from chronoframe.llm.common import PACKED, fold, small_batches, written
+from chronoframe.llm.common import PACKED, fold, new_folder, small_batches, written
+from chronoframe.llm.warc import file_system
 
 FOLDS = 10
 FREQUENT, CLASS_TOKENS = 1 << 19, 1 << 19
@@ -50,6 +53,7 @@ STRENGTH = (1.0, 2.0, 2.0)  # of the root, of a word, of a pair
 BLOCK_TOKENS, OWNER_TOKENS = 1_500_000, 1_500_000
 END, START, BEFORE_START = (int(h) for h in tk.word_hash([" ", "  ", "   "]))
 CHUNK = 1 << 12
+RARE_ROWS = 1 << 16
 ONE_BY_ONE = 10
 #: Parts of log10 that base scores of rare words are added up in, as whole numbers, so that their order does not matter.
 PARTS = float(1 << 40)
@@ -434,7 +438,7 @@ def seat(customers: np.ndarray, others: np.ndarray, discount: float, strength: f
 
 
 class Root(NamedTuple):
-    """The root after a sweep: customers and tables by rank, and last of the rarer words together; the levels' discounts."""
+    """The root after a sweep: customers and tables by rank, and last of the words without a place together; the levels' discounts."""
     customers: np.ndarray
     tables: np.ndarray
     discounts: tuple[float, float, float]
@@ -460,10 +464,28 @@ class Root(NamedTuple):
         return np.where(at == len(self.customers) - 1, found / (words.rare + 1), found)
 
 
+def states_of(folders: list[str], owner: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From the folder of each sweep the hashes of an owner's rarer words, in order, with the root's customers and tables of each."""
+    states = []
+    names = ["hash", "customers", "tables"]
+    for folder in folders:
+        fs, path = file_system(f"{folder}/p={owner}")
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+        parts = [pq.ParquetFile(fs.open_input_file(f)).read(names) for f in files]
+        columns = [np.concatenate([np.zeros(0, np.int64), *(p.column(name).to_numpy() for p in parts)]) for name in names]
+        hashes = columns[0].view(np.uint64)
+        order = np.argsort(hashes)
+        states.append((hashes[order], columns[1][order], columns[2][order]))
+    return states
+
+
 class Owner:
-    """One owner's restaurants: types (pair, word) with their training counts, and the seating as sweeps go on."""
+    """One owner's restaurants: types (pair, word) with their training counts, and the seating as sweeps go on.
 
-    def __init__(self, data: bytes, words: Words):
+    states: of the root's rarer words after each sweep so far, as of states_of; without them those words share the root's last dish.
+    """
+
+    def __init__(self, data: bytes, words: Words, states: list | None = None):
         self.words = words
         *columns, self.firsts, self.starts, self.lengths, self.steps = unpack(data, OWNED)
         types, self.pair, self.count = Types.unpacked(columns)
@@ -473,7 +495,11 @@ class Owner:
         places = place_of(types.last, types.classes, hashes)
         self.pairs, self.parents = len(columns[4]), len(types.last)
         self.of_pair = np.bincount(self.pair, self.count, self.pairs)
+        own, at = np.unique(up_word[up_word >= words.n], return_inverse=True)
+        self.own, self.states = hashes[own] if states is not None else np.zeros(0, np.uint64), states
         self.up_word = np.minimum(up_word, words.n)  # the root's dish
+        if states is not None:
+            self.up_word[up_word >= words.n] += at
         # A single customer always has one table: only the others are seated.
         self.several = np.flatnonzero(self.count > 1)
         some = self.several
@@ -486,6 +512,15 @@ class Owner:
         self.tables = tables
         self.up_customers = np.bincount(self.up, tables, len(self.up_word)).astype(np.int64)
 
+    def whole(self, root: Root, number: int) -> Root:
+        """The root after that sweep, with dishes for the rarer words here before the last one."""
+        if not len(self.own):
+            return root
+        hashes, *state = self.states[number]
+        at = np.searchsorted(hashes, self.own)
+        put = lambda all_, own: np.concatenate((all_[:-1], own[at], [all_[-1] - own[at].sum()]))
+        return Root(put(root.customers, state[0]), put(root.tables, state[1]), root.discounts)
+
     def sweep(self, number: int, root: Root) -> None:
         d, s, some = root.discounts, STRENGTH, self.several
         turn = np.uint64(number << 32)
@@ -517,16 +552,34 @@ class Owner:
         return (self.count - d[2] * self.tables + back) / (s[2] + self.of_pair[self.pair])
 
 
-def _sums(owned: DataFrame, of: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> tuple[dict[int, np.ndarray], np.ndarray]:
-    """Add up the two arrays that `of` gives for each owner, the first one in chunks without those of zeros alone; their sizes are fixed."""
+class Found(NamedTuple):
+    """What an owner adds to the root: customers by rank, in chunks without those of zeros alone; counts of counts; rarer words' customers and tables before."""
+    large: np.ndarray
+    small: np.ndarray
+    hashes: np.ndarray
+    customers: np.ndarray
+    before: np.ndarray
+
+
+def _sums(owned: DataFrame, of: Callable[[int, bytes], Found], rare: bool) -> tuple[dict[int, np.ndarray], np.ndarray, DataFrame | None]:
+    """Add up the two arrays of fixed sizes that `of` gives for each owner; of the rarer words, if any, a written table (p, hash, n, before)."""
+    ddl = "chunk int, data binary" + ", p int, hash long, n long, before long" * rare
+    nothing = lambda n: [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64())] if rare else []
+    names = [part.split()[0] for part in ddl.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             give_back()
-            for data in batch.column(1).to_pylist():
-                large, small = of(data)
-                rows = [(-1, pack([small.astype(np.int64)]))]
+            for p, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = of(p, data)
+                large = found.large
+                rows = [(-1, pack([found.small.astype(np.int64)]))]
                 rows += [(at // CHUNK, pack([large[at : at + CHUNK].astype(np.int64)])) for at in range(0, len(large), CHUNK) if large[at : at + CHUNK].any()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *nothing(len(rows))], names)
+                for at in range(0, len(found.hashes), RARE_ROWS):
+                    own = [pa.array(x[at : at + RARE_ROWS].astype(np.int64, copy=False)) for x in (found.hashes.view(np.int64), found.customers, found.before)]
+                    n = len(own[0])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.full(n, p, np.int32)), *own], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
@@ -541,60 +594,103 @@ def _sums(owned: DataFrame, of: Callable[[bytes], tuple[np.ndarray, np.ndarray]]
             yield out()
 
     with batch_rows(owned.sparkSession, 1):
-        parts = owned.mapInArrow(run, "chunk int, data binary").repartition("chunk").sortWithinPartitions("chunk")
-        found = {r["chunk"]: unpack(bytes(r["data"]), [np.int64])[0] for r in parts.mapInArrow(add, "chunk int, data binary").collect()}
-    return {c: v for c, v in found.items() if c >= 0}, found.get(-1, np.zeros(6, np.int64))
+        parts = owned.mapInArrow(run, ddl)
+        if rare:
+            parts = written(parts, "root-customers")
+        chunks = parts.where("chunk is not null").select("chunk", "data").repartition("chunk").sortWithinPartitions("chunk")
+        found = {r["chunk"]: unpack(bytes(r["data"]), [np.int64])[0] for r in chunks.mapInArrow(add, "chunk int, data binary").collect()}
+    return {c: v for c, v in found.items() if c >= 0}, found.get(-1, np.zeros(6, np.int64)), parts.where("hash is not null").select("p", "hash", "n", "before") if rare else None
 
 
 def _state(owner: Owner) -> tuple[np.ndarray, np.ndarray]:
     """The root's customers, and counts of types and of words' dishes that come once or twice."""
     few = [(x == n).sum() for x in (owner.up_customers, owner.count) for n in (1, 2)]
-    return np.bincount(owner.up_word, owner.up_tables, owner.words.n + 1), np.array(few)
+    return np.bincount(owner.up_word, owner.up_tables, owner.words.n + len(owner.own) + 1), np.array(few)
+
+
+def _found(owner: Owner, number: int) -> Found:
+    (customers, few), n = _state(owner), owner.words.n
+    before = owner.states[number - 1][2][np.searchsorted(owner.states[number - 1][0], owner.own)] if number and len(owner.own) else np.zeros(len(owner.own), np.int64)
+    return Found(np.append(customers[:n], customers[-1]), few, owner.own, customers[n:-1], before)
+
 
+def _rarer(parts: DataFrame, words: Words, number: int, before: Root | None, owners: int) -> tuple[str, np.ndarray]:
+    """Seat the rarer words at the root: a folder with their customers and tables for each owner, and the sums of both with how many come once or twice."""
+    known, old = words.known, None if before is None else (int(before.tables.sum()), before.discounts[0])
 
-def _root(found: tuple[dict[int, np.ndarray], np.ndarray], words: Words, number: int, before: Root | None) -> Root:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, customers, tables = (c.to_numpy() for c in batch.columns)
+            if old is None:
+                tables = np.minimum(customers, 1)
+            else:
+                keys = tk.mix(hashes.astype(np.int64).view(np.uint64)) + np.uint64(number << 32)
+                tables = seat(customers, old[0] - tables, old[1], STRENGTH[0], np.full(len(customers), 1 / (known + 1)), keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tables.astype(np.int64))], ["hash", "customers", "tables"])
+
+    summed = parts.groupBy("hash").agg(F.sum("n").alias("n"), F.max("before").alias("before"))
+    with batch_rows(parts.sparkSession, RARE_ROWS):
+        state = written(summed.mapInArrow(run, "hash long, customers long, tables long"), "root-rarer")
+    sums = state.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "tables")), *(F.count_if(F.col("customers") == n) for n in (1, 2))).first()
+    folder = new_folder(parts.sparkSession, "root-states")
+    parts.select("p", "hash").hint("merge").join(state, "hash").repartition(owners, "p").write.partitionBy("p").parquet(folder)
+    return folder, np.array(list(sums), np.int64)
+
+
+def _root(found: tuple[dict[int, np.ndarray], np.ndarray], words: Words, number: int, before: Root | None, rarer: np.ndarray | None = None) -> Root:
+    """rarer: of the rarer words the customers, the tables and how many have one and two customers; else they share the last dish."""
     customers = np.zeros(words.n + 1, np.int64)
     for chunk, values in found[0].items():
         customers[chunk * CHUNK : chunk * CHUNK + len(values)] = values
+    if rarer is not None:
+        customers[-1] = rarer[0]
     tables = np.minimum(customers, 1)
     if before is None:
         discount = lambda one, two: min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
         few = found[1]
-        top = customers[:-1]
-        discounts = (discount((top == 1).sum(), (top == 2).sum()), discount(few[0], few[1]), discount(few[2], few[3]))
+        one, two = ((customers[:-1] == n).sum() + (0 if rarer is None else rarer[1 + n]) for n in (1, 2))
+        discounts = (discount(one, two), discount(few[0], few[1]), discount(few[2], few[3]))
     else:
         discounts, old = before.discounts, before.tables
         keys = tk.mix(words.by_rank) + np.uint64(number << 32)
         tables[:-1] = seat(customers[:-1], old.sum() - old[:-1], discounts[0], STRENGTH[0], before.share(words)[:-1], keys)
-    tables[-1] = min(customers[-1], max(words.rare, 1))  # each rarer word has one table
+    tables[-1] = min(customers[-1], max(words.rare, 1)) if rarer is None else rarer[1]
     return Root(customers, tables, tuple(map(float, discounts)))
 
 
-def train(owned: DataFrame, words) -> list[Root]:
-    """The root before the first and after each sweep."""
+def train(owned: DataFrame, words, owners: int) -> tuple[list[Root], list[str]]:
+    """The root before the first and after each sweep, and folders with its rarer words' states, if there are any."""
     spark = owned.sparkSession
-    roots = [_root(_sums(owned, lambda data: _state(Owner(data, words.value))), words.value, 0, None)]
-    for number in range(1, SWEEPS + 1):
+    roots: list[Root] = []
+    folders: list[str] = []
+    for number in range(SWEEPS + 1):
         known = spark.sparkContext.broadcast(list(roots))
 
-        def step(data: bytes, known=known, number=number) -> tuple[np.ndarray, np.ndarray]:
-            owner = Owner(data, words.value)
+        def step(p: int, data: bytes, known=known, number=number, folders=tuple(folders)) -> Found:
+            owner = Owner(data, words.value, states_of(folders, p) if words.value.rare else None)
             for n in range(1, number + 1):
-                owner.sweep(n, known.value[n - 1])
-            return _state(owner)
-
-        roots.append(_root(_sums(owned, step), words.value, number, roots[-1]))
+                owner.sweep(n, owner.whole(known.value[n - 1], n - 1))
+            return _found(owner, number)
+
+        before = roots[-1] if roots else None
+        *found, parts = _sums(owned, step, words.value.rare > 0)
+        rarer = None
+        if parts is not None:
+            folder, rarer = _rarer(parts, words.value, number, before, owners)
+            folders.append(folder)
+            forget_shuffles(spark)
+        roots.append(_root(found, words.value, number, before, rarer))
         known.destroy()
-    return roots
+    return roots, folders
 
 
 def answers(owner: Owner, roots: list[Root]) -> Iterator[tuple[int, int, np.ndarray]]:
     """For each block (its name), the place of the first of its types here, and log10 probabilities of these."""
     average = np.zeros(len(owner.count))
     for number in range(1, SWEEPS + 1):
-        owner.sweep(number, roots[number - 1])
+        owner.sweep(number, owner.whole(roots[number - 1], number - 1))
         if number > BURN_IN:
-            average += owner.predictive(roots[number]) / (SWEEPS - BURN_IN)
+            average += owner.predictive(owner.whole(roots[number], number)) / (SWEEPS - BURN_IN)
     found = np.log10(average).astype(np.float32)
     at = 0
     for first, start, length in zip(owner.firsts.tolist(), owner.starts.tolist(), owner.lengths.tolist(), strict=True):
@@ -613,13 +709,14 @@ def score_documents(docs: DataFrame, frequent: int = FREQUENT, owners: int | Non
     forget_shuffles(spark)
     owned, blocks = deal(rows, words, owners)
     forget_shuffles(spark)
-    roots = spark.sparkContext.broadcast(train(owned, words))
+    found_roots, folders = train(owned, words, owners)
+    roots = spark.sparkContext.broadcast(found_roots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             give_back()
-            for data in batch.column(1).to_pylist():
-                for first, start, values in answers(Owner(data, words.value), roots.value):
+            for p, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for first, start, values in answers(Owner(data, words.value, states_of(folders, p) if folders else None), roots.value):
                     yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([start]), pa.array([pack([values])], pa.binary())], ["first", "start", "answer"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -61,6 +61,16 @@ def test_scores_do_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("frequent", [0, 60])
+def test_rarer_words_are_told_apart_as_frequent_ones(spark, frequent):
+    """Scores are those of a root that has all words at hand, however few it has; words far beyond its number differ by their counts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150).select("doc_id", "text")
+    more = spark.createDataFrame([(900000 + i, "often " * 40 if i < 60 else f"seldom{i}") for i in range(120)] + [(900300 + i, f"new{i} {w}") for i in range(40) for w in ("often", "seldom70")], docs.schema)
+    docs = docs.unionByName(more)
+    scores = lambda n: {r["doc_id"]: r["score"] for r in lm.score_documents(docs, n, owners=3).collect()}
+    assert scores(frequent) == pytest.approx(scores(lm.FREQUENT), rel=1e-9)
+
+
 def small_model(texts, frequent, owners=1):
     """Words, and the packed types of owners, of texts that are all for training."""
     column = pa.array(texts, pa.string())
