@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm import textkernel as tk
-from chronoframe.llm.common import PACKED, fold, new_folder, small_batches, written
+from chronoframe.llm.common import PACKED, fold, made, new_folder, release, small_batches, written
 from chronoframe.llm.warc import file_system
 
 FOLDS = 10
@@ -672,12 +672,13 @@ def train(owned: DataFrame, words, owners: int) -> tuple[list[Root], list[str]]:
                 owner.sweep(n, owner.whole(known.value[n - 1], n - 1))
             return _found(owner, number)
 
-        before = roots[-1] if roots else None
+        before, kept = roots[-1] if roots else None, made()
         *found, parts = _sums(owned, step, words.value.rare > 0)
         rarer = None
         if parts is not None:
             folder, rarer = _rarer(parts, words.value, number, before, owners)
             folders.append(folder)
+            release(spark, [*kept, folder])  # what the states came from
             forget_shuffles(spark)
         roots.append(_root(found, words.value, number, before, rarer))
         known.destroy()
