@@ -6,7 +6,7 @@ REACH tokens, summed over the training texts and weighted by rarity. A document
 by the mean vector of their shapes (case and length, or that they repeat the token before), which are indexed alike. A network with one hidden layer, trained by
 Adam, gives a logit; a temperature fitted on training rows set apart makes it a probability.
 
-The model is fitted on the driver from at most MAX_PER_CLASS labelled documents of each class (the first by md5 of the id, one text of each id,
+The model is fitted by one task, so that the driver holds neither texts nor what the fit needs, from at most MAX_PER_CLASS labelled documents of each class (the first by md5 of the id, one text of each id,
 as long as they have no more than MAX_FIT_CHARS code points together, so that the sample's bytes are bounded too), weighted back to the classes' counts among all labelled rows; its size is fixed by the parameters here. Scoring is one map
 over all rows and whole texts. Neither labels nor lang, source and doc_id are inputs.
 
@@ -18,6 +18,7 @@ repeated rows are scored each; clashing extra columns are passed through by keep
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -178,7 +179,9 @@ def fit(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float], seed:
     return model._replace(temperature=float(heats[int(np.argmin(losses))]))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, tuple[float, float]]:
+    """The texts to fit on (text, quality) in one partition and in order, if there are labels, and the classes' shares."""
+    small_batches(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.where(fold("doc_id", FOLDS) != 0)
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -191,17 +194,41 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         chosen = part if chosen is None else chosen.unionByName(part)
     ids = chosen.collect()  # at most 2 * MAX_PER_CLASS ids
     if not ids:
-        return fit(pa.array([], pa.string()), np.zeros(0, int), shares)
+        return None, shares
     keys = docs.sparkSession.createDataFrame(ids, chosen.schema)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id")
     texts = texts.withColumn("digest", F.sha2(F.encode("text", "UTF-8"), 256))
     texts = texts.groupBy("doc_id").agg(F.min_by(F.struct("text", "quality"), "digest").alias("one")).select("doc_id", "one.text", "one.quality")
     before = Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over the sample alone
     texts = texts.withColumn("place", place).withColumn("chars", F.sum(F.length("text")).over(before)).where(F.col("chars") <= MAX_FIT_CHARS)
-    found = texts.orderBy("place", "doc_id").select("text", "quality").toArrow()
+    return texts.coalesce(1).sortWithinPartitions("place", "doc_id").select("text", "quality"), shares
+
+
+def _fit_table(found: pa.Table, shares: tuple[float, float]) -> Model:
     return fit(found.column("text").combine_chunks(), np.asarray(found.column("quality").to_numpy(), int), shares)
 
 
+_SAMPLE = pa.schema([("text", pa.string()), ("quality", pa.int32())])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model, fitted in this process."""
+    texts, shares = sample(docs, labels)
+    return _fit_table(_SAMPLE.empty_table() if texts is None else texts.toArrow(), shares)
+
+
+def train_by_task(docs: DataFrame, labels: DataFrame) -> Model:
+    """The same model, fitted by a task: the driver gets no texts and holds nothing of what the fit needs."""
+    texts, shares = sample(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _fit_table(pa.Table.from_batches(batches, _SAMPLE), shares)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = [] if texts is None else texts.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else _fit_table(_SAMPLE.empty_table(), shares)
+
+
 def annotate(docs: DataFrame, model: Model, columns: list[str]) -> tuple[DataFrame, str]:
     """The given columns of docs (text among them) with a score; and the name of that column."""
     spark = docs.sparkSession
@@ -221,12 +248,12 @@ def annotate(docs: DataFrame, model: Model, columns: list[str]) -> tuple[DataFra
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
-    model = train(docs, labels)
+    model = train_by_task(docs, labels)
     found, name = annotate(docs.select("doc_id", F.col("text").cast("string").alias("text")), model, ["doc_id", "text"])
     return found.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), F.col(name).alias("score"), (F.col(name) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns."""
-    found, name = annotate(docs, train(docs, labels), docs.columns)
+    found, name = annotate(docs, train_by_task(docs, labels), docs.columns)
     return found.where(F.col(name) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

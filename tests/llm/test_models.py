@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -256,6 +257,15 @@ def test_the_sample_has_one_text_of_an_id_and_a_bound(spark, monkeypatch):
     assert len(every) == len(y) == sum(not held(i, 5) for i in range(200)) and sum(map(len, few)) <= 2000 and few == every[: len(few)] and few
 
 
+def test_the_driver_does_not_fit(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    same = quality.train(docs, labels), quality.train_by_task(docs, labels)
+    assert all((one == other).all() for one, other in zip((same[0].words, *same[0].layers), (same[1].words, *same[1].layers), strict=True))
+    fit, here = quality.fit, os.getpid()
+    monkeypatch.setattr(quality, "fit", lambda *given: fit(*given)._replace(constant=float(os.getpid())))
+    assert here not in {r["score"] for r in quality.score_documents(docs, labels).collect()}
+
+
 def test_pooled_sums_do_not_depend_on_blocks():
     rng = np.random.default_rng(0)
     bounds = np.array([0, 0, 5, 5, 40, 41, 100, 100])
