@@ -17,8 +17,8 @@ are functions of restaurant, dish and sweep, so that scores do not depend on par
 
 Words are counted first. A block of about BLOCK_TOKENS tokens then sends its distinct (pair, word) types with their training counts
 to the owners of restaurants, packed as sorted columns; frequent words go by rank, others by hash. An owner merges them; that
-is a written table. A sweep is a map over it that replays the sweeps before from the root's states, so that only the root's
-sums travel and lost executors lose nothing. States of rarer words are written in a folder for each owner. At last each owner answers each block with its types' probabilities, and the block adds them up by document.
+is a written table. A sweep is a map over it that begins with the seating which the sweep before left in the shared folder (or, where
+that is missing, replays from the root's states), so that only the root's sums travel and lost executors lose nothing. States of rarer words are written in a folder for each owner. At last each owner answers each block with its types' probabilities, and the block adds them up by document.
 
 Defined cases: a null text is empty and has one token, the end; without training tokens every word has probability one, as the
 base has; repeated rows are documents of their own; other columns are ignored; words of any length count as one token.
@@ -31,6 +31,7 @@ import ctypes
 import gc
 import struct
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -464,28 +465,63 @@ class Root(NamedTuple):
         return np.where(at == len(self.customers) - 1, found / (words.rare + 1), found)
 
 
-def states_of(folders: list[str], owner: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From the folder of each sweep the hashes of an owner's rarer words, in order, with the root's customers and tables of each."""
-    states = []
-    names = ["hash", "customers", "tables"]
-    for folder in folders:
-        fs, path = file_system(f"{folder}/p={owner}")
-        files = [f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
-        parts = [pq.ParquetFile(fs.open_input_file(f)).read(names) for f in files]
-        columns = [np.concatenate([np.zeros(0, np.int64), *(p.column(name).to_numpy() for p in parts)]) for name in names]
-        hashes = columns[0].view(np.uint64)
-        order = np.argsort(hashes)
-        states.append((hashes[order], columns[1][order], columns[2][order]))
-    return states
+class States:
+    """Of each sweep the hashes of an owner's rarer words, in order, with the root's customers and tables of each; read from the sweep's folder when asked for."""
+
+    def __init__(self, folders: list[str], owner: int):
+        self.folders, self.owner, self.found = folders, owner, {}
+
+    def __getitem__(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if number not in self.found:
+            names = ["hash", "customers", "tables"]
+            fs, path = file_system(f"{self.folders[number]}/p={self.owner}")
+            files = [f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+            parts = [pq.ParquetFile(fs.open_input_file(f)).read(names) for f in files]
+            columns = [np.concatenate([np.zeros(0, np.int64), *(p.column(name).to_numpy() for p in parts)]) for name in names]
+            hashes = columns[0].view(np.uint64)
+            order = np.argsort(hashes)
+            self.found[number] = (hashes[order], columns[1][order], columns[2][order])
+        return self.found[number]
+
+
+class Seatings:
+    """An owner's seating after each sweep, in a file of the shared folder: a sweep begins where the last one ended."""
+
+    def __init__(self, folder: str, owner: int):
+        self.fs, self.path = file_system(folder)
+        self.owner = owner
+
+    def name(self, number: int) -> str:
+        return f"{self.path}/{self.owner}-{number}"
+
+    def has(self, number: int) -> bool:
+        return self.fs.get_file_info(self.name(number)).type == pafs.FileType.File
+
+    def read(self, number: int) -> list[np.ndarray]:
+        with self.fs.open_input_file(self.name(number)) as file:
+            return [x.astype(np.int64) for x in unpack(file.read(), [np.uint32, np.uint32])]
+
+    def write(self, number: int, arrays: list[np.ndarray]) -> None:
+        """Under another name first, so that a file is whole; a task that is repeated would write the same."""
+        self.fs.create_dir(self.path, recursive=True)
+        part = f"{self.name(number)}-{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(part, compression=None) as file:
+            file.write(pack([x.astype(np.uint32) for x in arrays]))
+        try:
+            self.fs.move(part, self.name(number))
+        except OSError:
+            if not self.has(number):
+                raise
+            self.fs.delete_file(part)
 
 
 class Owner:
     """One owner's restaurants: types (pair, word) with their training counts, and the seating as sweeps go on.
 
-    states: of the root's rarer words after each sweep so far, as of states_of; without them those words share the root's last dish.
+    states: of the root's rarer words after each sweep so far; without them those words share the root's last dish.
     """
 
-    def __init__(self, data: bytes, words: Words, states: list | None = None):
+    def __init__(self, data: bytes, words: Words, states: States | None = None):
         self.words = words
         *columns, self.firsts, self.starts, self.lengths, self.steps = unpack(data, OWNED)
         types, self.pair, self.count = Types.unpacked(columns)
@@ -507,11 +543,29 @@ class Owner:
         self.up_keys = tk.mix(places[self.up_parent] ^ mixed[up_word])
         self.take(np.minimum(self.count, 1))
         self.up_tables = np.minimum(self.up_customers, 1)
+        self.reached = 0
 
     def take(self, tables: np.ndarray) -> None:
         self.tables = tables
         self.up_customers = np.bincount(self.up, tables, len(self.up_word)).astype(np.int64)
 
+    def reach(self, number: int, roots: list[Root], saved: Seatings | None = None) -> None:
+        """Go on to the seating after that sweep, from the last one saved or reached."""
+        start = number
+        while start > self.reached and not (saved and saved.has(start)):
+            start -= 1
+        if start > self.reached:
+            tables, up_tables = saved.read(start)
+            every = np.minimum(self.count, 1)
+            every[self.several] = tables
+            self.take(every)
+            self.up_tables = up_tables
+        for n in range(start + 1, number + 1):
+            self.sweep(n, self.whole(roots[n - 1], n - 1))
+            if saved:
+                saved.write(n, [self.tables[self.several], self.up_tables])
+        self.reached = number
+
     def whole(self, root: Root, number: int) -> Root:
         """The root after that sweep, with dishes for the rarer words here before the last one."""
         if not len(self.own):
@@ -658,18 +712,18 @@ def _root(found: tuple[dict[int, np.ndarray], np.ndarray], words: Words, number:
     return Root(customers, tables, tuple(map(float, discounts)))
 
 
-def train(owned: DataFrame, words, owners: int) -> tuple[list[Root], list[str]]:
-    """The root before the first and after each sweep, and folders with its rarer words' states, if there are any."""
+def train(owned: DataFrame, words, owners: int) -> tuple[list[Root], list[str], str]:
+    """The root before the first and after each sweep, folders with its rarer words' states, if there are any, and the folder of the seatings."""
     spark = owned.sparkSession
+    seatings = new_folder(spark, "seatings")
     roots: list[Root] = []
     folders: list[str] = []
     for number in range(SWEEPS + 1):
         known = spark.sparkContext.broadcast(list(roots))
 
         def step(p: int, data: bytes, known=known, number=number, folders=tuple(folders)) -> Found:
-            owner = Owner(data, words.value, states_of(folders, p) if words.value.rare else None)
-            for n in range(1, number + 1):
-                owner.sweep(n, owner.whole(known.value[n - 1], n - 1))
+            owner = Owner(data, words.value, States(folders, p) if words.value.rare else None)
+            owner.reach(number, known.value, Seatings(seatings, p))
             return _found(owner, number)
 
         before, kept = roots[-1] if roots else None, made()
@@ -682,16 +736,15 @@ def train(owned: DataFrame, words, owners: int) -> tuple[list[Root], list[str]]:
             forget_shuffles(spark)
         roots.append(_root(found, words.value, number, before, rarer))
         known.destroy()
-    return roots, folders
+    return roots, folders, seatings
 
 
-def answers(owner: Owner, roots: list[Root]) -> Iterator[tuple[int, int, np.ndarray]]:
+def answers(owner: Owner, roots: list[Root], saved: Seatings | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
     """For each block (its name), the place of the first of its types here, and log10 probabilities of these."""
     average = np.zeros(len(owner.count))
-    for number in range(1, SWEEPS + 1):
-        owner.sweep(number, owner.whole(roots[number - 1], number - 1))
-        if number > BURN_IN:
-            average += owner.predictive(owner.whole(roots[number], number)) / (SWEEPS - BURN_IN)
+    for number in range(BURN_IN + 1, SWEEPS + 1):
+        owner.reach(number, roots, saved)
+        average += owner.predictive(owner.whole(roots[number], number)) / (SWEEPS - BURN_IN)
     found = np.log10(average).astype(np.float32)
     at = 0
     for first, start, length in zip(owner.firsts.tolist(), owner.starts.tolist(), owner.lengths.tolist(), strict=True):
@@ -710,14 +763,14 @@ def score_documents(docs: DataFrame, frequent: int = FREQUENT, owners: int | Non
     forget_shuffles(spark)
     owned, blocks = deal(rows, words, owners)
     forget_shuffles(spark)
-    found_roots, folders = train(owned, words, owners)
+    found_roots, folders, seatings = train(owned, words, owners)
     roots = spark.sparkContext.broadcast(found_roots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             give_back()
             for p, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for first, start, values in answers(Owner(data, words.value, states_of(folders, p) if folders else None), roots.value):
+                for first, start, values in answers(Owner(data, words.value, States(folders, p) if folders else None), roots.value, Seatings(seatings, p)):
                     yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([start]), pa.array([pack([values])], pa.binary())], ["first", "start", "answer"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -187,6 +187,23 @@ def test_sampler_agrees_with_seating_customers_one_by_one():
     assert abs(difference.mean()) < 0.01 and np.abs(difference).max() < 0.1
 
 
+def test_a_sweep_goes_on_from_the_saved_seating(tmp_path, monkeypatch):
+    words, (data,), _ = small_model(WORDS * 12, 100)
+    roots = [lm._root(({0: lm._state(lm.Owner(data, words))[0]}, lm._state(lm.Owner(data, words))[1]), words, 0, None)]
+    roots += [root for _, root in sample(lm.Owner(data, words), words, lm.SWEEPS)]
+    plain, sweep, swept = lm.Owner(data, words), lm.Owner.sweep, []
+    monkeypatch.setattr(lm.Owner, "sweep", lambda self, n, root: (swept.append(n), sweep(self, n, root)))
+    plain.reach(lm.SWEEPS, roots)
+    want = list(lm.answers(lm.Owner(data, words), roots))
+    swept.clear()
+    for number in range(lm.SWEEPS + 1):  # as a task for each sweep
+        again = lm.Owner(data, words)
+        again.reach(number, roots, lm.Seatings(str(tmp_path), 0))
+    assert (again.tables == plain.tables).all() and (again.up_tables == plain.up_tables).all() and (again.up_customers == plain.up_customers).all()
+    got = list(lm.answers(lm.Owner(data, words), roots, lm.Seatings(str(tmp_path), 0)))
+    assert swept == list(range(1, lm.SWEEPS + 1)) and all((a[2] == b[2]).all() for a, b in zip(got, want, strict=True))
+
+
 def test_seating_has_the_expected_tables():
     keys = np.arange(20000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for c, base, share, d in ((5, 1.4, 0.5, 0.3), (200, 4.0, 0.3, 0.5), (300, 0.5, 0.01, 0.7)):
