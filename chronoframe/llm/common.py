@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextvars import ContextVar
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,39 @@ def made() -> list[str]:
     return list(_made.get())
 
 
+#: Of the driver's largest heap, from which on its garbage is collected between jobs, so that the heap shrinks again.
+HEAP_SHARE = 0.6
+
+
+def give_back(spark: SparkSession, collect: bool = False) -> None:
+    """Return to the machine what the driver has freed: of the heap if it grew large or `collect` is set, and of native memory.
+
+    Planning, compiling and packing take native memory in many threads, and the allocator keeps what they free; after many small jobs
+    that is hundreds of MB. Collecting also lets Spark delete the shuffle files of plans that nothing refers to.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    heap = jvm.Runtime.getRuntime()
+    if collect or heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+        gc.collect()
+        jvm.System.gc()
+
+    def array(kind, *items):
+        out = new(kind, len(items))
+        for i, item in enumerate(items):
+            out[i] = item
+        return out
+
+    named, command = jvm.Class.forName, jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    kinds = [named(n) for n in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    invoke = named("javax.management.MBeanServer").getMethod("invoke", array(jvm.Class, *kinds))  # the server's own class is not public
+    given = array(jvm.Object, command, "systemTrimNativeHeap", array(jvm.Object), array(jvm.String))
+    with contextlib.suppress(Py4JJavaError):  # a JVM without that command
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Writer options of tables whose values are compressed already and large.
 PACKED = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 
@@ -62,6 +99,7 @@ def written(df: DataFrame, name: str, options: dict[str, str] | None = None) ->
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.options(**(options or {})).parquet(path)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

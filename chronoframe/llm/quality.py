@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm import textkernel as tk
-from chronoframe.llm.common import fold, free_name, small_batches
+from chronoframe.llm.common import fold, free_name, give_back, small_batches
 
 BUCKETS = 1 << 15
 DIMENSIONS = 48
@@ -226,6 +226,7 @@ def train_by_task(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     found = [] if texts is None else texts.mapInArrow(run, "model binary").collect()
+    give_back(docs.sparkSession)
     return pickle.loads(found[0]["model"]) if found else _fit_table(_SAMPLE.empty_table(), shares)
 
 

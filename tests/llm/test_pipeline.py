@@ -73,3 +73,31 @@ def test_a_cluster_needs_a_shared_folder():
     for folder in (common.shared_dir, storage.shared_folder):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             folder(cluster)
+
+
+def test_the_driver_returns_what_it_freed(spark, monkeypatch):
+    import re
+
+    from chronoframe.llm import common
+
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def held():
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read()))) / 1024
+
+    common.written(spark.range(3), "warm")
+    small = [jvm.java.util.zip.Deflater() for _ in range(3000)]  # some 256 kB of native memory each
+    for one in small[:-1]:
+        one.end()
+    before = held()
+    common.written(spark.range(3), "freed")
+    assert held() < before - 50
+    begun = []
+    monkeypatch.setattr(common, "give_back", lambda spark, collect=False: begun.append(collect))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        begun.append("stage")
+        stage(spark, docs, SF)
+    assert all(begun[i + 1 : i + 2] == [True] for i, x in enumerate(begun) if x == "stage")
