@@ -54,7 +54,8 @@ STRENGTH = (1.0, 2.0, 2.0)  # of the root, of a word, of a pair
 BLOCK_TOKENS, OWNER_TOKENS = 1_500_000, 1_500_000
 END, START, BEFORE_START = (int(h) for h in tk.word_hash([" ", "  ", "   "]))
 CHUNK = 1 << 12
-RARE_ROWS = 1 << 16
+CHUNK_BYTES = 1 << 20
+RARE_TOKENS = 1 << 19
 ONE_BY_ONE = 10
 #: Parts of log10 that base scores of rare words are added up in, as whole numbers, so that their order does not matter.
 PARTS = float(1 << 40)
@@ -73,9 +74,15 @@ def batch_rows(spark: SparkSession, n: int):
 
 
 def give_back() -> None:
-    """Let the allocators return freed arrays to the machine at once, as owners follow each other in a worker."""
+    """Return freed arrays to the machine, as owners and blocks follow each other in a worker.
+
+    Within one of them the allocator keeps what is freed for the next array: fresh pages take nearly as long as what is computed on them.
+    """
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, not raised by what was freed
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD: arrays of up to so many bytes, the most it takes, come from the heap
+        libc.mallopt(-1, 1 << 30)  # M_TRIM_THRESHOLD: which is not cut whenever its end is free
+        libc.malloc_trim(0)
     pa.default_memory_pool().release_unused()
 
 
@@ -109,16 +116,28 @@ def unpack(data: bytes, types: list) -> list[np.ndarray]:
 def distinct(columns: list[tuple[np.ndarray, int]]) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of columns (values, upper bound) in their order, and for each row which of these it is."""
     columns = list(columns)
-    bits = [max(1, (bound - 1).bit_length()) for _, bound in columns]
-    if sum(bits) > 63:  # number the first two columns' pairs first
+    bits, n = [max(1, (bound - 1).bit_length()) for _, bound in columns], len(columns[0][0])
+    if sum(bits) + n.bit_length() > 63 and len(columns) > 2:  # number the first two columns' pairs first
         head, at = distinct(columns[:2])
         found, inverse = distinct([(at, len(head[0])), *columns[2:]])
         return [c[found[0]] for c in head] + found[1:], inverse
-    key = np.zeros(len(columns[0][0]), np.int64)
+    key = np.zeros(n, np.int64)
     for (values, _), width in zip(columns, bits, strict=True):
         key <<= width
         key |= values
-    key, inverse = np.unique(key, return_inverse=True)
+    if sum(bits) + n.bit_length() > 63:
+        key, inverse = np.unique(key, return_inverse=True)
+    else:  # keys with their rows' numbers are sorted faster than rows by key
+        key <<= n.bit_length()
+        key |= np.arange(n)
+        key.sort()
+        row = key & ((1 << n.bit_length()) - 1)
+        key >>= n.bit_length()
+        new = np.ones(n, bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        inverse = np.empty(n, np.int64)
+        inverse[row] = np.cumsum(new) - 1
+        key = key[new]
     out = []
     for width in reversed(bits):
         out.append(key & ((1 << width) - 1))
@@ -126,6 +145,16 @@ def distinct(columns: list[tuple[np.ndarray, int]]) -> tuple[list[np.ndarray], n
     return out[::-1], inverse
 
 
+def distinct_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in their order, and for each which of these it is."""
+    found = pa.array(hashes).dictionary_encode()
+    values = found.dictionary.to_numpy()
+    order = np.argsort(values)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return values[order], place[found.indices.to_numpy()]
+
+
 class Words:
     """The frequent words' hashes and training counts by rank; of all words the tokens and how many are known."""
 
@@ -173,7 +202,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         return np.concatenate([w for w, *_ in held]), np.concatenate(([0], np.cumsum(sizes))), [p for *_, p in held]
 
     for batch in batches:
-        for part in tk.chunks(batch, "text"):
+        for part in tk.chunks(batch, "text", CHUNK_BYTES):
             words, bounds = tokens_of(part.column(part.schema.get_field_index("text")))
             if held and size + len(words) > BLOCK_TOKENS:
                 yield together()
@@ -192,7 +221,8 @@ def count_words(rows: DataFrame, frequent: int) -> tuple[DataFrame, Words, int]:
     """A written table (hash, train) of all words, what is known of the frequent ones, and the tokens of all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, bounds, parts in _blocks(batches):
-            vocabulary, at = np.unique(words, return_inverse=True)
+            give_back()
+            vocabulary, at = distinct_hashes(words)
             held = np.repeat(_flags(parts), np.diff(bounds))
             every, train = np.bincount(at, minlength=len(vocabulary)), np.bincount(at[held == 0], minlength=len(vocabulary))
             yield pa.RecordBatch.from_arrays([pa.array(vocabulary.view(np.int64)), pa.array(train), pa.array(every)], ["hash", "train", "every"])
@@ -274,6 +304,32 @@ def _summed(steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[starts] - steps[starts], lengths)
 
 
+#: Writer options of tables whose rows are long arrays.
+LONG_ROWS = {"parquet.enable.dictionary": "false"}
+
+
+def as_rows(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary column whose rows are the parts of a whole-number array between edges."""
+    data = np.ascontiguousarray(values).astype(np.int64, copy=False)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def of_rows(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of such a column as one array, and how long each is."""
+    parts = [pa.array([], pa.large_binary()), *(c.cast(pa.large_binary()) for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]))]
+    column = pa.concat_arrays(parts)
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 8
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.int64, edges[-1])[edges[0] :] if data is not None else np.zeros(0, np.int64)), np.diff(edges)
+
+
+def slices_of(words: Words) -> int:
+    """In how many parts, by their hashes, rarer words are seated."""
+    return 1 + int(words.tokens - words.counts.sum()) // RARE_TOKENS
+
+
 def hashes_of(words: Words, rare: np.ndarray) -> np.ndarray:
     return np.concatenate((words.by_rank, rare))
 
@@ -335,7 +391,7 @@ def _merged(blobs: list[tuple[int, int, bytes]], ranks: int) -> bytes:
 
 def coded(tokens: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Codes of a block's tokens, and the hashes of its words without a rank, the starts among them."""
-    vocabulary, at = np.unique(np.append(tokens, np.array([START, BEFORE_START], np.uint64)), return_inverse=True)
+    vocabulary, at = distinct_hashes(np.append(tokens, np.array([START, BEFORE_START], np.uint64)))
     codes = words.codes(vocabulary)
     return codes[at[:-2]], vocabulary[codes >= words.n]
 
@@ -348,8 +404,8 @@ def deal(rows: DataFrame, words, owners: int) -> tuple[DataFrame, DataFrame]:
     names = [part.split()[0] for part in ddl.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         for tokens, bounds, parts in _blocks(batches):
+            give_back()
             held = _flags(parts)
             first = pa.array([parts[0].column(0)[0].as_py()])
             ids = pa.concat_arrays([p.column(1) for p in parts])
@@ -383,6 +439,7 @@ def deal(rows: DataFrame, words, owners: int) -> tuple[DataFrame, DataFrame]:
                 if blobs and p != now:
                     yield out(batch.schema)
                     blobs = []
+                    give_back()
                 if p < 0:
                     yield batch.slice(at, 1)
                 else:
@@ -390,6 +447,8 @@ def deal(rows: DataFrame, words, owners: int) -> tuple[DataFrame, DataFrame]:
                 now = p
         if blobs:
             yield out(batch.schema)
+        blobs = []
+        give_back()
 
     # As many partitions as owners, so that a task's share does not grow with the input.
     dealt = blocks.repartition(owners, "p", F.when(F.col("p") < 0, F.col("first"))).sortWithinPartitions("p", "first")
@@ -477,7 +536,7 @@ class States:
             fs, path = file_system(f"{self.folders[number]}/p={self.owner}")
             files = [f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
             parts = [pq.ParquetFile(fs.open_input_file(f)).read(names) for f in files]
-            columns = [np.concatenate([np.zeros(0, np.int64), *(p.column(name).to_numpy() for p in parts)]) for name in names]
+            columns = [np.concatenate([np.zeros(0, np.int64), *(of_rows(p.column(name))[0] for p in parts)]) for name in names]
             hashes = columns[0].view(np.uint64)
             order = np.argsort(hashes)
             self.found[number] = (hashes[order], columns[1][order], columns[2][order])
@@ -615,25 +674,30 @@ class Found(NamedTuple):
     before: np.ndarray
 
 
-def _sums(owned: DataFrame, of: Callable[[int, bytes], Found], rare: bool) -> tuple[dict[int, np.ndarray], np.ndarray, DataFrame | None]:
-    """Add up the two arrays of fixed sizes that `of` gives for each owner; of the rarer words, if any, a written table (p, hash, n, before)."""
-    ddl = "chunk int, data binary" + ", p int, hash long, n long, before long" * rare
-    nothing = lambda n: [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64())] if rare else []
+def _sums(owned: DataFrame, of: Callable[[int, bytes], Found], slices: int) -> tuple[dict[int, np.ndarray], np.ndarray, DataFrame | None]:
+    """Add up the two arrays of fixed sizes that `of` gives for each owner; of the rarer words, if they have slices, a written table (p, slice, hash, n, before) with a row for each slice of an owner."""
+    ddl = "chunk int, data binary" + ", p int, slice int, hash binary, n binary, before binary" * (slices > 0)
+    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    nothing = lambda n, columns: [pa.nulls(n, t) for t in kinds[columns]]
     names = [part.split()[0] for part in ddl.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            give_back()
             for p, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                give_back()
                 found = of(p, data)
                 large = found.large
                 rows = [(-1, pack([found.small.astype(np.int64)]))]
                 rows += [(at // CHUNK, pack([large[at : at + CHUNK].astype(np.int64)])) for at in range(0, len(large), CHUNK) if large[at : at + CHUNK].any()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *nothing(len(rows))], names)
-                for at in range(0, len(found.hashes), RARE_ROWS):
-                    own = [pa.array(x[at : at + RARE_ROWS].astype(np.int64, copy=False)) for x in (found.hashes.view(np.int64), found.customers, found.before)]
-                    n = len(own[0])
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.full(n, p, np.int32)), *own], names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *nothing(len(rows), slice(2, len(names)))], names)
+                if len(found.hashes):  # in order, so each slice is one part
+                    which = ((found.hashes >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+                    starts = np.flatnonzero(np.diff(which, prepend=-1))
+                    edges, n = np.append(starts, len(which)), len(starts)
+                    own = [as_rows(x, edges) for x in (found.hashes.view(np.int64), found.customers, found.before)]
+                    yield pa.RecordBatch.from_arrays([*nothing(n, slice(0, 2)), pa.array(np.full(n, p, np.int32)), pa.array(which[starts].astype(np.int32)), *own], names)
+                del found
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
@@ -649,11 +713,11 @@ def _sums(owned: DataFrame, of: Callable[[int, bytes], Found], rare: bool) -> tu
 
     with batch_rows(owned.sparkSession, 1):
         parts = owned.mapInArrow(run, ddl)
-        if rare:
-            parts = written(parts, "root-customers")
+        if slices:
+            parts = written(parts, "root-customers", LONG_ROWS)
         chunks = parts.where("chunk is not null").select("chunk", "data").repartition("chunk").sortWithinPartitions("chunk")
         found = {r["chunk"]: unpack(bytes(r["data"]), [np.int64])[0] for r in chunks.mapInArrow(add, "chunk int, data binary").collect()}
-    return {c: v for c, v in found.items() if c >= 0}, found.get(-1, np.zeros(6, np.int64)), parts.where("hash is not null").select("p", "hash", "n", "before") if rare else None
+    return {c: v for c, v in found.items() if c >= 0}, found.get(-1, np.zeros(6, np.int64)), parts.where("slice is not null").select("p", "slice", "hash", "n", "before") if slices else None
 
 
 def _state(owner: Owner) -> tuple[np.ndarray, np.ndarray]:
@@ -671,24 +735,49 @@ def _found(owner: Owner, number: int) -> Found:
 def _rarer(parts: DataFrame, words: Words, number: int, before: Root | None, owners: int) -> tuple[str, np.ndarray]:
     """Seat the rarer words at the root: a folder with their customers and tables for each owner, and the sums of both with how many come once or twice."""
     known, old = words.known, None if before is None else (int(before.tables.sum()), before.discounts[0])
+    names = ["p", "hash", "customers", "tables"]
+
+    def seated(blobs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Of a slice's rows (owners, their lengths, hashes, customers, tables before) the same with all customers and new tables; as owner -1 their sums."""
+        owner, lengths, hashes, n, tables = (np.concatenate(c) for c in zip(*blobs, strict=True))
+        hashes, at = distinct_hashes(hashes.view(np.uint64))
+        customers, last = np.bincount(at, n, len(hashes)).astype(np.int64), np.zeros(len(hashes), np.int64)
+        last[at] = tables  # the same in all rows of a word
+        if old is None:
+            tables = np.minimum(customers, 1)
+        else:
+            keys = tk.mix(hashes) + np.uint64(number << 32)
+            tables = seat(customers, old[0] - last, old[1], STRENGTH[0], np.full(len(customers), 1 / (known + 1)), keys)
+        edges = np.concatenate(([0], np.cumsum(lengths)))
+        yield pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int32)), *(as_rows(x, edges) for x in (hashes[at].view(np.int64), customers[at], tables[at]))], names)
+        sums = np.array([customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum()])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), as_rows(sums, np.array([0, 4])), *(as_rows(sums[:0], np.array([0, 0])) for _ in names[2:])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        now, blobs = None, []
         for batch in batches:
-            hashes, customers, tables = (c.to_numpy() for c in batch.columns)
-            if old is None:
-                tables = np.minimum(customers, 1)
-            else:
-                keys = tk.mix(hashes.astype(np.int64).view(np.uint64)) + np.uint64(number << 32)
-                tables = seat(customers, old[0] - tables, old[1], STRENGTH[0], np.full(len(customers), 1 / (known + 1)), keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tables.astype(np.int64))], ["hash", "customers", "tables"])
-
-    summed = parts.groupBy("hash").agg(F.sum("n").alias("n"), F.max("before").alias("before"))
-    with batch_rows(parts.sparkSession, RARE_ROWS):
-        state = written(summed.mapInArrow(run, "hash long, customers long, tables long"), "root-rarer")
-    sums = state.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "tables")), *(F.count_if(F.col("customers") == n) for n in (1, 2))).first()
-    folder = new_folder(parts.sparkSession, "root-states")
-    parts.select("p", "hash").hint("merge").join(state, "hash").repartition(owners, "p").write.partitionBy("p").parquet(folder)
-    return folder, np.array(list(sums), np.int64)
+            which = batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.diff(which, prepend=-1))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(which)], strict=True):
+                if blobs and which[a] != now:
+                    yield from seated(blobs)
+                    blobs = []
+                    give_back()
+                now, part = which[a], batch.slice(a, b - a)
+                hashes, lengths = of_rows(part.column(2))
+                blobs.append((part.column(0).to_numpy(), lengths, hashes, *(of_rows(part.column(i))[0] for i in (3, 4))))
+        if blobs:
+            yield from seated(blobs)
+        blobs = []
+        give_back()
+
+    spark, slices, folder = parts.sparkSession, slices_of(words), new_folder(parts.sparkSession, "root-states")
+    with batch_rows(spark, 64):
+        states = parts.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(run, "p int, hash binary, customers binary, tables binary")
+        states.repartition(owners, "p").write.options(**LONG_ROWS).partitionBy("p").parquet(folder)
+    sums = spark.read.schema("hash binary").parquet(f"{folder}/p=-1").collect()
+    return folder, np.sum([np.frombuffer(r["hash"], np.int64) for r in sums], axis=0)
 
 
 def _root(found: tuple[dict[int, np.ndarray], np.ndarray], words: Words, number: int, before: Root | None, rarer: np.ndarray | None = None) -> Root:
@@ -727,7 +816,7 @@ def train(owned: DataFrame, words, owners: int) -> tuple[list[Root], list[str],
             return _found(owner, number)
 
         before, kept = roots[-1] if roots else None, made()
-        *found, parts = _sums(owned, step, words.value.rare > 0)
+        *found, parts = _sums(owned, step, slices_of(words.value) if words.value.rare else 0)
         rarer = None
         if parts is not None:
             folder, rarer = _rarer(parts, words.value, number, before, owners)
@@ -768,10 +857,11 @@ def score_documents(docs: DataFrame, frequent: int = FREQUENT, owners: int | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            give_back()
             for p, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                give_back()
                 for first, start, values in answers(Owner(data, words.value, States(folders, p) if folders else None), roots.value, Seatings(seatings, p)):
                     yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([start]), pa.array([pack([values])], pa.binary())], ["first", "start", "answer"])
+        give_back()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -801,6 +891,7 @@ def score_documents(docs: DataFrame, frequent: int = FREQUENT, owners: int | Non
                 if not answer.is_valid:
                     if held:
                         yield out()
+                    give_back()
                     codes = unpack(data.as_py(), [np.uint32])[0].astype(np.int64)
                     held = (first.as_py(), codes, np.frombuffer(rare.as_py(), np.uint64), ids.values, sizes.values.to_numpy(), np.frombuffer(flags.as_py(), np.uint8))
                     values = np.zeros(start.as_py())

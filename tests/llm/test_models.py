@@ -2,6 +2,7 @@ import math
 import os
 import random
 import re
+import resource
 import zlib
 from collections import Counter
 
@@ -232,6 +233,52 @@ def test_types_of_blocks_and_owners():
     assert all((x == y).all() for x, y in zip(lm.unpack(lm.pack(arrays), [a.dtype for a in arrays]), arrays, strict=True))
 
 
+@pytest.mark.parametrize("bounds", [(7, 50), (1 << 30, 1 << 33), (1 << 20, 1 << 20, 1 << 20), (1, 1)])
+def test_distinct_rows_whether_or_not_their_numbers_fit_the_key(bounds):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 700):
+        columns = [rng.integers(0, 20, n) * (b // 20) for b in bounds]
+        found, at = lm.distinct(list(zip(columns, bounds)))
+        assert [tuple(r) for r in np.array(found).T.tolist()] == sorted({*zip(*(c.tolist() for c in columns))})
+        assert all((f[at] == c).all() for f, c in zip(found, columns, strict=True))
+    hashes = rng.integers(0, 1 << 63, 90).astype(np.uint64)[rng.integers(0, 90, 500)] * np.uint64(2)
+    found, at = lm.distinct_hashes(hashes)
+    assert (found == np.unique(hashes)).all() and (found[at] == hashes).all() and not len(lm.distinct_hashes(hashes[:0])[0])
+
+
+def test_arrays_of_an_owner_do_not_take_fresh_pages_each_time():
+    lm.give_back()
+    began = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(60):
+        np.ones(1 << 18)  # 512 pages
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - began < 10_000
+
+
+def test_long_rows():
+    values, edges = np.arange(-3, 9), np.array([0, 5, 5, 12])
+    column = lm.as_rows(values, edges)
+    for some in (column, pa.chunked_array([column[:1], column[1:]]), pa.chunked_array([column[:0], column])):
+        found, lengths = lm.of_rows(some)
+        assert (found == values).all() and lengths.tolist() == [5, 0, 7]
+    found, lengths = lm.of_rows(column.slice(1, 2))
+    assert (found == values[5:]).all() and lengths.tolist() == [0, 7]
+    assert not len(lm.of_rows(column[:0])[0]) and not len(lm.of_rows(pa.chunked_array([], pa.binary()))[0])
+
+
+def test_an_owner_sends_its_rarer_words_as_a_row_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(lm, "RARE_TOKENS", 20)
+    words, data, _ = small_model([" ".join(f"w{i * k % 97}" for i in range(60)) for k in range(1, 9)], 5, owners=2)
+    slices = lm.slices_of(words)
+    owned = spark.createDataFrame(list(enumerate(map(bytearray, data))), "p int, data binary")
+    states = {p: lm.Owner(d, words, lm.States([], p)) for p, d in enumerate(data)}
+    *_, rows = lm._sums(owned, lambda p, d: lm._found(lm.Owner(d, words, lm.States([], p)), 0), slices)
+    rows = rows.collect()
+    assert slices > 10 and len(rows) == len({(r["p"], r["slice"]) for r in rows}) <= 2 * slices and all(0 <= r["slice"] < slices for r in rows)
+    for p, owner in states.items():
+        sent = np.concatenate([np.frombuffer(r["hash"], np.uint64) for r in sorted(rows, key=lambda r: r["slice"]) if r["p"] == p])
+        assert (sent == owner.own).all()
+
+
 def test_frequent_words_have_several_restaurants(monkeypatch):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "the", "of", f"w{rng.randrange(300)}"]) for _ in range(40)) for _ in range(50)]
